@@ -16,7 +16,7 @@ from usagelens.plans import latency, layouts, quality, tables
 
 
 def _base(r: Roles, created: bool = False) -> DataFrame:
-    return bases.activity_base(r.extracts(created), PERIOD, SETTINGS)
+    return r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
 
 
 def _table(r: Roles) -> DataFrame:

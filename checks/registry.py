@@ -19,7 +19,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Roles(spark, folder))
+        return self.build(Roles.of(spark, folder))
 
 
 QUERIES: dict[str, Query] = {}

@@ -8,6 +8,7 @@ seen a month earlier. ``checks.oracles`` states the same views in SQL.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,123 +42,137 @@ SETTINGS = KpiSettings(
 
 
 class Roles:
-    """Role views over the Parquet files of one folder."""
+    """Role views over the Parquet files of one folder. Views are plans; nothing is computed here."""
+
+    _known: dict[tuple[str, str], Roles] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._plans: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Roles:
+        """The views of a folder, analysed once per application."""
+        place = (spark.sparkContext.applicationId, folder)
+        if place not in cls._known:
+            cls._known[place] = cls(spark, folder)
+        return cls._known[place]
+
+    def plan(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._plans:
+            self._plans[name] = build()
+        return self._plans[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.plan(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def people(self) -> DataFrame:
         """Customers with their nation and region: a lookup along a two-step path."""
-        places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        return self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        places = self.table("nation").join(self.table("region"), F.expr("n_regionkey = r_regionkey"), "left")
+        return self.table("customer").join(places, F.expr("c_nationkey = n_nationkey"), "left")
 
     def users(self, created: bool = False, last_login: bool = False) -> DataFrame:
-        key = F.col("c_custkey")
-        net_id = F.when(key % 10 != 0, F.concat(F.lit("u"), key))
+        return self.plan(f"users {created} {last_login}", lambda: self._users(created, last_login))
+
+    def _users(self, created: bool, last_login: bool) -> DataFrame:
         nations = self.table("nation").select("n_nationkey", "n_name")
-        users = self.table("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-            key.alias("id"),
-            net_id.alias("net_id"),
-            F.when(key % 11 == 0, net_id).otherwise(F.concat(net_id, F.lit("@example.com"))).alias("email"),
-            F.col("c_name").alias("name"),
-            F.col("c_mktsegment").alias("profile_name"),
-            F.concat("n_name", F.lit(" team")).alias("role_name"),
-            (F.col("c_acctbal") > 0).alias("is_active"),
+        users = self.table("customer").join(nations, F.expr("c_nationkey = n_nationkey"), "left").selectExpr(
+            "c_custkey AS id",
+            "CASE WHEN c_custkey % 10 <> 0 THEN concat('u', c_custkey) END AS net_id",
+            """CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN concat('u', c_custkey)
+                    ELSE concat('u', c_custkey, '@example.com') END AS email""",
+            "c_name AS name",
+            "c_mktsegment AS profile_name",
+            "concat(n_name, ' team') AS role_name",
+            "c_acctbal > 0 AS is_active",
         )
-        missing = F.lit(None).cast("timestamp_ntz")
         if created:
-            dates = self.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("created_ts"))
-            users = users.join(dates, "id", "left")
+            dates = self.table("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_ts"))
+            users = users.join(dates.withColumnRenamed("o_custkey", "id"), "id", "left")
         else:
-            users = users.withColumn("created_ts", missing)
+            users = users.selectExpr("*", "CAST(NULL AS timestamp_ntz) AS created_ts")
         if last_login:
-            seen = self.table("events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_login_ts"))
-            users = users.join(seen, "id", "left")
+            seen = self.table("events").groupBy("user_id").agg(F.max("ts").alias("last_login_ts"))
+            users = users.join(seen.withColumnRenamed("user_id", "id"), "id", "left")
         else:
-            users = users.withColumn("last_login_ts", missing)
+            users = users.selectExpr("*", "CAST(NULL AS timestamp_ntz) AS last_login_ts")
         return users
 
     def contacts(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.table("customer").where(key % 10 != 0).select(
-            (key * 10 + 1).alias("id"),
-            key.alias("user_id"),
-            F.when(key % 17 != 0, F.concat(F.lit("u"), key)).alias("net_id"),
-            F.when(key % 13 != 0, F.concat(F.lit("u"), key, F.lit("@example.com"))).alias("email"),
-            F.concat(F.lit("Dept "), (key % 12).cast("string")).alias("primary_department"),
-            F.when(key % 4 == 0, F.lit("staff")).when(key % 4 == 1, F.lit("student")).alias("primary_type"),
-        )
+        return self.plan("contacts", lambda: self.table("customer").where("c_custkey % 10 <> 0").selectExpr(
+            "c_custkey * 10 + 1 AS id",
+            "c_custkey AS user_id",
+            "CASE WHEN c_custkey % 17 <> 0 THEN concat('u', c_custkey) END AS net_id",
+            "CASE WHEN c_custkey % 13 <> 0 THEN concat('u', c_custkey, '@example.com') END AS email",
+            "concat('Dept ', c_custkey % 12) AS primary_department",
+            "CASE WHEN c_custkey % 4 = 0 THEN 'staff' WHEN c_custkey % 4 = 1 THEN 'student' END AS primary_type",
+        ))
 
     def login_history(self) -> DataFrame:
-        return self.table("events").select(
-            "user_id", F.col("ts").alias("login_ts"), F.col("event_type").alias("login_type")
-        )
+        return self.table("events").selectExpr("user_id", "ts AS login_ts", "event_type AS login_type")
 
     def report(self, event_type: str, key: str = "net_id") -> DataFrame:
-        user, day = F.col("user_id"), F.to_date("ts")
-        person = F.when(user % 25 != 0, F.concat(F.lit("u"), user))
-        if key == "email":
-            person = F.concat(person, F.lit("@example.com"))
-        seen = F.when(user % 3 == 0, F.add_months(day, -1)).otherwise(day)
-        rows = self.table("events").where(F.col("event_type") == event_type)
-        last = rows.groupBy(person.alias(key)).agg(F.max(seen).alias("day"))
-        return last.select(key, F.date_format("day", "M/d/yyyy").alias("max_timestamp"))
+        """Last day per person as text, one row per person id or, with ``key="email"``, per email."""
+        domain = "" if key == "net_id" else ", '@example.com'"
+        return self.plan(f"report {event_type} {key}", lambda: (
+            self.table("events")
+            .where(F.col("event_type") == event_type)
+            .selectExpr(
+                f"CASE WHEN user_id % 25 <> 0 THEN concat('u', user_id{domain}) END AS {key}",
+                "CASE WHEN user_id % 3 = 0 THEN add_months(date(ts), -1) ELSE date(ts) END AS day",
+            )
+            .groupBy(key)
+            .agg(F.max("day").alias("day"))
+            .selectExpr(key, "date_format(day, 'M/d/yyyy') AS max_timestamp")
+        ))
 
     def marketing_accounts(self) -> DataFrame:
         """Accounts by email, every ninth without a domain, some without a user."""
-        user = F.col("user_id")
-        rows = self.table("events").where((F.col("event_type") == "click") & (user % 2 == 0))
-        return rows.select(
-            F.when(user % 9 == 0, F.concat(F.lit("u"), user))
-            .otherwise(F.concat(F.lit("u"), user, F.lit("@mail.example.com")))
-            .alias("email"),
-            F.concat(F.lit("Account "), user).alias("name"),
-        ).distinct()
+        rows = self.table("events").where("event_type = 'click' AND user_id % 2 = 0")
+        return rows.select("user_id").distinct().selectExpr(
+            """CASE WHEN user_id % 9 = 0 THEN concat('u', user_id)
+                    ELSE concat('u', user_id, '@mail.example.com') END AS email""",
+            "concat('Account ', user_id) AS name",
+        )
 
     def assignments(self) -> DataFrame:
-        items = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("permission_name"))
-        orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("assignee_id"))
-        return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("assignee_id", "permission_name")
+        items = self.table("lineitem").select("l_orderkey", "l_partkey")
+        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        joined = orders.join(items, F.expr("o_orderkey = l_orderkey"))
+        return joined.selectExpr("o_custkey AS assignee_id", "l_partkey AS permission_name")
 
     def mapping(self) -> DataFrame:
-        size = F.col("p_size")
-        return self.table("part").where(size <= 25).select(
-            F.col("p_partkey").alias("permission_name"),
-            F.when(size % 9 != 0, size.cast("long")).alias("n"),
-            F.col("p_type").alias("product"),
+        return self.table("part").where("p_size <= 25").selectExpr(
+            "p_partkey AS permission_name",
+            "CASE WHEN p_size % 9 <> 0 THEN CAST(p_size AS bigint) END AS n",
+            "p_type AS product",
         )
 
     def affiliations(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.people().select(
-            (key * 10 + 1).alias("contact_id"),
-            (key % 7 != 0).alias("is_primary"),
-            F.col("n_name").alias("account_name"),
-            F.col("r_name").alias("parent_organization"),
+        return self.people().selectExpr(
+            "c_custkey * 10 + 1 AS contact_id",
+            "c_custkey % 7 <> 0 AS is_primary",
+            "n_name AS account_name",
+            "r_name AS parent_organization",
         )
 
     def licensed(self) -> DataFrame:
-        key = F.col("c_custkey")
+        """Every third customer as a licence, with text dates."""
         spans = self.table("orders").groupBy("o_custkey").agg(
             F.max("o_orderdate").alias("last"), F.min("o_orderdate").alias("first")
         )
-        rows = self.table("customer").where(key % 3 == 0).join(spans, key == F.col("o_custkey"), "left")
-        return rows.select(
-            F.concat(F.lit("u"), key, F.lit("@example.com")).alias("username"),
-            key.alias("user_id"),
-            F.col("c_mktsegment").alias("profile"),
-            F.date_format("last", "M/d/yyyy H:mm").alias("last_login"),
-            F.date_format("first", "M/d/yyyy H:mm").alias("created_date"),
+        rows = self.table("customer").where("c_custkey % 3 = 0")
+        return rows.join(spans, F.expr("c_custkey = o_custkey"), "left").selectExpr(
+            "concat('u', c_custkey, '@example.com') AS username",
+            "c_custkey AS user_id",
+            "c_mktsegment AS profile",
+            "date_format(last, 'M/d/yyyy H:mm') AS last_login",
+            "date_format(first, 'M/d/yyyy H:mm') AS created_date",
         )
 
     def user_organizations(self) -> DataFrame:
         """Several organisations per user."""
-        return self.table("orders").select(
-            F.col("o_custkey").alias("user_key"), F.col("o_orderpriority").alias("parent_organization")
-        )
+        return self.table("orders").selectExpr("o_custkey AS user_key", "o_orderpriority AS parent_organization")
 
     def extracts(self, created: bool = False, last_login: bool = True) -> Extracts:
         return Extracts(
@@ -169,5 +184,4 @@ class Roles:
             mapping=self.mapping(),
             marketing=self.report("click"),
             social=self.report("signup"),
-            licensed=self.licensed(),
         )

@@ -39,22 +39,23 @@ class Extracts:
     mapping: DataFrame
     marketing: DataFrame
     social: DataFrame
-    licensed: DataFrame | None = None
 
 
-def _report_rows(
-    report: DataFrame, key: str, label: str, prefix: str, period: Period | None, carry: str | None = None
-) -> DataFrame:
-    profile, last_login = f"{prefix}_profile", f"{prefix}_last_login"
-    dated = "max_timestamp" in report.columns
-    day = parse_report_date(F.col("max_timestamp")) if dated else F.lit(None).cast("date")
-    rows = report.select(key, *([carry] if carry else []), F.lit(label).alias(profile), day.alias(last_login))
-    return rows if period is None else rows.where(period.contains(last_login))
+def _report_rows(report: DataFrame, key: str, prefix: str, period: Period | None) -> DataFrame:
+    """Key, a mark and the day of each report row, in the month when ``period`` is given."""
+    day = parse_report_date(F.col("max_timestamp")) if "max_timestamp" in report.columns else F.lit(None).cast("date")
+    named = [c for c in ("mc_name",) if c in report.columns]
+    rows = report.select(key, *named, F.lit(True).alias(f"{prefix}_used"), day.alias(f"{prefix}_last_login"))
+    return rows if period is None else rows.where(period.contains(f"{prefix}_last_login"))
 
 
-def _fold(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key; the largest value of every other column."""
-    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rows.columns if c not in keys])
+def _fold(rows: DataFrame, keys: list[str], labels: dict[str, str]) -> DataFrame:
+    """One row per key with the profile label and last login of each report."""
+    folded = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rows.columns if c not in keys])
+    columns = list(keys)
+    for prefix, label in labels.items():
+        columns += [F.when(F.col(f"{prefix}_used"), label).alias(f"{prefix}_profile"), f"{prefix}_last_login"]
+    return folded.select(columns)
 
 
 def report_logins(
@@ -66,15 +67,15 @@ def report_logins(
     add no rows. Without ``period`` every report row counts, dated or not. Account names of
     the marketing report, where it has any, stay apart as ``mc_name``.
     """
-    named = "name" in marketing.columns
-    if named:
+    keys, labels = [key], {"mc": MARKETING_LABEL}
+    if "name" in marketing.columns:
         marketing = marketing.withColumn("mc_name", F.when(F.col(key).isNotNull(), F.col("name")))
-    both = _report_rows(marketing, key, MARKETING_LABEL, "mc", period, "mc_name" if named else None)
+        keys.append("mc_name")
+    rows = _report_rows(marketing, key, "mc", period)
     if social is not None:
-        both = both.unionByName(
-            _report_rows(social, key, SOCIAL_LABEL, "social", period), allowMissingColumns=True
-        )
-    return _fold(both, key, *(["mc_name"] if named else []))
+        rows = rows.unionByName(_report_rows(social, key, "social", period), allowMissingColumns=True)
+        labels["social"] = SOCIAL_LABEL
+    return _fold(rows, keys, labels)
 
 
 def users_with_login(users: DataFrame, login_history: DataFrame, period: Period) -> DataFrame:
@@ -159,10 +160,8 @@ def activity_base_by_email(extracts: Extracts, period: Period, settings: KpiSett
     """
     users = base_users(users_with_login(extracts.users, extracts.login_history, period), settings)
     users, products = _product_users(users, extracts, settings)
-    marketing = _report_rows(extracts.marketing, "email", MARKETING_LABEL, "mc", period)
-    marketing = _fold(marketing, "email")
-    social = _report_rows(extracts.social, "net_id", SOCIAL_LABEL, "social", period)
-    social = _fold(social, "net_id")
+    marketing = _fold(_report_rows(extracts.marketing, "email", "mc", period), ["email"], {"mc": MARKETING_LABEL})
+    social = _fold(_report_rows(extracts.social, "net_id", "social", period), ["net_id"], {"social": SOCIAL_LABEL})
     contacts = _contact_columns(extracts.contacts).where(F.col("net_id").isNotNull())
     known = keyed_join(contacts, marketing, "email", "full", heavy=heavy_keys(contacts, None, "email"))
     active = keyed_join(social, products, "net_id", "full", heavy=heavy_keys(None, users, "net_id"))

@@ -80,8 +80,9 @@ def report_path(root: str, report: str, period: Period, layout: str = REPORT_LAY
 def read_reports(spark: SparkSession, root: str, report: str, schema: T.StructType) -> DataFrame:
     """All months of one report, with ``source_file`` and the run month taken from the file name."""
     df = read_csv(spark, f"{root.rstrip('/')}/* Reports/*/{report}-*-01.csv", schema, source_file="source_file")
-    run = F.regexp_extract("source_file", r"-(\d{4}-\d{2})-01\.csv$", 1)
-    return df.withColumn("report_month", F.date_format(F.add_months(F.to_date(F.concat(run, F.lit("-01"))), -1), "yyyy-MM"))
+    run = F.regexp_extract("source_file", r"-(\d{4}-\d{2})-01\.csv(?:/|$)", 1)
+    month = F.add_months(F.to_date(F.concat(run, F.lit("-01"))), -1)
+    return df.withColumn("report_month", F.date_format(month, "yyyy-MM"))
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str, period: Period) -> DataFrame:
