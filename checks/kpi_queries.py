@@ -13,6 +13,7 @@ from usagelens.operators.filters import with_fewer_nulls
 from usagelens.operators.select import keep_existing
 from usagelens.plans import base as bases
 from usagelens.plans import latency, layouts, quality, tables
+from usagelens.sources.workspace import cut_lineage
 
 
 def _base(r: Roles, created: bool = False) -> DataFrame:
@@ -71,16 +72,13 @@ def users_by_unit(r):
 
 
 @query(
-    "A5 A6",
-    """SELECT unit, CAST(sum(freq) AS BIGINT) AS total_users, count(*) AS total_products
-       FROM cells GROUP BY unit""",
+    "A5",
+    """SELECT product, CAST(sum(freq) AS BIGINT) AS total_users FROM cells GROUP BY product""",
     "cells",
 )
-def unit_totals_from_cells(r):
+def product_totals_from_cells(r):
     cells = tables.users_by_product_and_unit(_table(r))
-    sums = counts.group_sum(cells, ["unit"], "total_users", "total_users")
-    sizes = counts.group_count(cells, "unit", name="total_products")
-    return sums.join(sizes, "unit")
+    return counts.group_sum(cells, ["product"], "total_users", "total_users")
 
 
 @query("K6 A6", "SELECT unit, count(*) AS total_products FROM cells GROUP BY unit", "cells")
@@ -243,7 +241,7 @@ _ON7 = " AND ".join(f"c.{c} IS NOT DISTINCT FROM e.{c}" for c in bases.REPORT_CO
     "fortable",
 )
 def reconcile_versions(r):
-    base = _base(r)
+    base = cut_lineage(_base(r))
     earlier = base.select(*bases.REPORT_COLUMNS, "sf_last_login", "mc_last_login", "social_last_login")
     current = bases.reporting_table(base)
     return _dates_as_text(quality.reconcile(current, earlier, bases.REPORT_COLUMNS, first_by="sf_last_login"))
@@ -264,7 +262,7 @@ _PER_USER = """
     "fortable",
 )
 def user_product_enriched(r):
-    base = _base(r)
+    base = cut_lineage(_base(r))
     per_user = tables.user_product_table(base, *WINDOW)
     return tables.enrich(per_user, bases.reporting_table(base))
 

@@ -12,6 +12,7 @@ from usagelens.functions.period import month_start
 from usagelens.functions.text import percent_with_count
 from usagelens.operators.reshape import wide_values
 from usagelens.operators.select import text_columns
+from usagelens.sources.workspace import cut_lineage
 
 
 def group_count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -55,7 +56,11 @@ def row_total(df: DataFrame, columns: Sequence[str], name: str = "total") -> Dat
 
 
 def with_share(counts: DataFrame, column: str = "n", name: str = "share") -> DataFrame:
-    """Each row's part of the grand total, which is read as a one-value subquery."""
+    """Each row's part of the grand total.
+
+    The counts are computed once and kept; the total then is a one-value subquery over them.
+    """
+    counts = cut_lineage(counts)
     total = counts.agg(F.sum(column)).scalar()
     return counts.withColumn(name, F.col(column) / total)
 
@@ -74,19 +79,16 @@ def crosstab_percent(
     ``column`` is null go under ``NA_``.
     """
     values = wide_values(df, column) if values is None else values
-    heading = F.coalesce(F.col(column).cast("string"), F.lit("NA_"))
-    headings = [*values, "NA_"]
-    cells = (
-        df.withColumn("__heading", heading)
-        .groupBy(F.coalesce(F.col(row).cast("string"), F.lit("NA")).alias(row))
-        .pivot("__heading", headings)
-        .agg(F.count(F.lit(1)))
-        .fillna(0, subset=headings)
+    cells = df.groupBy(row).agg(
+        *[F.count_if(F.col(column) == v).alias(v) for v in values],
+        F.count_if(F.col(column).isNull()).alias("NA_"),
+        F.count(F.lit(1)).alias("__all"),
     )
-    totals = cells.agg(*[F.sum(F.col(f"`{h}`")).alias(h) for h in headings])
-    table = cells.unionByName(totals.withColumn(row, F.lit("Total")))
-    grand = df.agg(F.count(F.lit(1))).scalar()
-    return table.select(
+    cells = cut_lineage(cells.withColumn(row, F.coalesce(F.col(row).cast("string"), F.lit("NA"))))
+    headings = [*values, "NA_"]
+    totals = cells.agg(F.lit("Total").alias(row), *[F.sum(F.col(f"`{h}`")).alias(h) for h in headings])
+    grand = cells.agg(F.sum("__all")).scalar()
+    return cells.drop("__all").unionByName(totals).select(
         row,
         *[percent_with_count(F.col(f"`{h}`") / grand, F.col(f"`{h}`"), digits).alias(h) for h in headings],
     )

@@ -86,15 +86,20 @@ def number_rows(
     numbered slice by slice, each starting after the rows of the slices before, so a large
     group is as many tasks as it has slices.
     """
+    # A struct of the keys matches null with null in a plain equality, so numbering and join
+    # share one shuffle.
     keys = list(keys)
-    sliced = df.withColumn("__slice", slice_by)
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "__slice", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*keys, "__slice").orderBy(*order)
-    placed = sliced.withColumn("__place", F.row_number().over(inside))
-    joined = keyed_join(placed, starts, keys + ["__slice"], "left")
-    return joined.withColumn(name, F.col("__start") + F.col("__place")).drop("__slice", "__place", "__start")
+    sliced = df.withColumn("__group", F.struct(*keys, slice_by.alias("__slice")))
+    sizes = sliced.groupBy("__group").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = (
+        Window.partitionBy(*[F.col(f"__group.`{k}`") for k in keys])
+        .orderBy("__group.__slice")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = sizes.select("__group", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__group").orderBy(*order)
+    placed = sliced.withColumn("__place", F.row_number().over(inside)).join(starts, "__group")
+    return placed.withColumn(name, F.col("__start") + F.col("__place")).drop("__group", "__place", "__start")
 
 
 def sorted_head(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:

@@ -19,7 +19,6 @@ from usagelens.functions.period import Period
 from usagelens.functions.rules import fill_by_rules, replace_values
 from usagelens.functions.text import key_from_email
 from usagelens.operators.joins import heavy_keys, keyed_join, lookup
-from usagelens.operators.reshape import to_long
 from usagelens.settings import MARKETING_LABEL, SOCIAL_LABEL, KpiSettings
 
 DATES = ["mc_last_login", "social_last_login", "sf_last_login"]
@@ -221,9 +220,10 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
         fallback, kept = "user_name", []
     chain = person_chain(reports.drop(*DATES), products, users, contacts)
 
+    # Equal rows merge once, at the end: merging here too would send every permission row over twice.
     ids = [c for c in chain.columns if c not in (*labels, "product")]
-    long = to_long(chain, ids, [*labels, "product"], "product_column", "product_name")
-    long = long.drop("product_column").withColumnRenamed("product_name", "product").distinct()
+    long = chain.unpivot(ids, [*labels, "product"], "product_column", "product_name").drop("product_column")
+    long = long.where(F.col("product_name").isNotNull()).withColumnRenamed("product_name", "product")
     units = keyed_join(long, primary_units(extracts.affiliations), "contact_id", "left")
     rows = units.where(not_in(F.col("profile_name"), settings.excluded_profiles))
     rows = rows.withColumn("user_key", F.coalesce(F.col("net_id"), F.col(fallback).cast("string")))

@@ -14,10 +14,11 @@ from usagelens.functions.text import snake_case
 from usagelens.operators.counts import distinct_users, group_count, row_total
 from usagelens.operators.filters import in_days, with_fewer_nulls
 from usagelens.operators.joins import keyed_join
-from usagelens.operators.reshape import marker_matrix, stack
+from usagelens.operators.reshape import marker_matrix
 from usagelens.operators.windows import with_group_stats
 from usagelens.plans.base import DATES, PRODUCTS, reporting_table
 from usagelens.settings import KpiSettings
+from usagelens.sources.workspace import cut_lineage
 
 
 def used_products(table: DataFrame) -> DataFrame:
@@ -108,13 +109,17 @@ def active_users_in_window(base: DataFrame, first: dt.date, last: dt.date) -> Da
 
 
 def user_product_table(base: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """Row counts per user and product of all three sources; the window limits the first only."""
-    recent = in_days(base, "sf_last_login", first, last)
-    return stack(
-        group_count(recent, "email", "sf_product", name="total").withColumnRenamed("sf_product", "product"),
-        group_count(base, "email", "mc_profile", name="total").withColumnRenamed("mc_profile", "product"),
-        group_count(base, "email", "social_profile", name="total").withColumnRenamed("social_profile", "product"),
+    """Row counts per user and product of all three sources; the window limits the first only.
+
+    One pass: the three product columns become rows before they are counted.
+    """
+    day = F.col("sf_last_login")
+    recent = (day >= F.lit(first)) & (day < F.lit(last + dt.timedelta(days=1)))
+    cells = base.select("email", recent.alias("recent"), *PRODUCTS).unpivot(
+        ["email", "recent"], PRODUCTS, "product_column", "product"
     )
+    counted = cells.where((F.col("product_column") != "sf_product") | F.col("recent"))
+    return group_count(counted, "email", "product_column", "product", name="total").drop("product_column")
 
 
 def enrich(per_user: DataFrame, table: DataFrame, drop: Sequence[str] = ("total",)) -> DataFrame:
@@ -127,7 +132,7 @@ def product_share(base: DataFrame) -> DataFrame:
     pairs = base.where(F.col("sf_product").isNotNull()).groupBy("sf_product", "email").agg(
         F.count_distinct("sf_product").alias("n")
     )
-    shared = with_group_stats(pairs, ["sf_product"], group_n=F.sum("n"))
+    shared = with_group_stats(cut_lineage(pairs), ["sf_product"], group_n=F.sum("n"))
     return shared.withColumn("share", F.col("n") / F.col("group_n")).drop("group_n")
 
 
