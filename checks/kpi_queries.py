@@ -17,7 +17,8 @@ from usagelens.sources.workspace import cut_lineage
 
 
 def _base(r: Roles, created: bool = False) -> DataFrame:
-    return r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
+    base = r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
+    return base.select("*")  # a new run each time: an executed plan would hand out its finished shuffles
 
 
 def _table(r: Roles) -> DataFrame:
@@ -519,6 +520,7 @@ def last_login_users_by_product(r):
     users = bases.base_users(bases.users_with_last_login(r.users(last_login=True), PERIOD), SETTINGS)
     users = users.select(F.col("id").alias("sf_user_id"), F.col("profile_name").alias("sf_profile"))
     products = bases.user_products(users, r.assignments(), r.mapping())
+    products = products.withColumn("sf_product", F.explode("sf_products"))
     return counts.distinct_per_group(products, ["sf_profile", "sf_product"], "sf_user_id", name="users")
 
 

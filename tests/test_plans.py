@@ -70,11 +70,13 @@ def test_activity_base(extracts, rows):
     ]
 
 
-def test_activity_base_is_the_same_with_split_joins(extracts, rows, monkeypatch):
+def test_bases_are_the_same_with_split_joins(extracts, rows, monkeypatch):
     plain = rows(bases.activity_base(extracts, JANUARY, MINE))
     found = joins.heavy_keys
+    entitled = rows(bases.entitlement_base(extracts, MINE))
     monkeypatch.setattr(bases, "heavy_keys", lambda left, right, on: found(left, right, on, min_rows=1))
     assert rows(bases.activity_base(extracts, JANUARY, MINE)) == plain
+    assert rows(bases.entitlement_base(extracts, MINE)) == entitled
 
 
 def test_many_null_ids_stay_one_row_each(extracts, spark, rows):

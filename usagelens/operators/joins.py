@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HEAVY_ROWS = 1_000_000
-HEAVY_LIMIT = 500
+HEAVY_LIMIT = 200
+SKETCHES = 256
 _RIGHT = "__right_"
 
 
@@ -35,25 +36,29 @@ def heavy_keys(
     on: str | tuple[str, str],
     min_rows: int = HEAVY_ROWS,
 ) -> list[HeavyKey]:
-    """The largest keys with at least ``min_rows`` rows on one side, null counted as a key.
+    """The largest keys with about ``min_rows`` rows or more on one side, null counted as a key.
 
-    Map-side counting makes this a scan of the key columns. A side that is unique per key may
-    be ``None``. At most ``HEAVY_LIMIT`` keys come back: a key that is not among them holds
-    less than 1/``HEAVY_LIMIT`` of its side.
+    A scan of the key columns that shuffles sketches, not keys: frequent items per group of
+    tasks, then added up. At most ``HEAVY_LIMIT`` keys come back. The counts are estimates,
+    which is enough, for any choice of keys leaves the joined rows the same. A side that is
+    unique per key may be ``None``.
     """
     lk, rk = (on, on) if isinstance(on, str) else on
-    sides = []
-    if left is not None:
-        sides.append(left.select(F.col(lk).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")))
-    if right is not None:
-        sides.append(right.select(F.col(rk).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
-    rows = reduce(lambda a, b: a.unionByName(b), sides)
-    counts = rows.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    sides = [(left, lk, 1, 0), (right, rk, 0, 1)]
+    found = [_frequent(df, key).selectExpr("k", f"n * {l} AS l", f"n * {r} AS r") for df, key, l, r in sides if df is not None]
+    counts = reduce(lambda a, b: a.unionByName(b), found).groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     size = F.greatest("l", "r")
     top = counts.where(size >= min_rows).orderBy(size.desc()).limit(HEAVY_LIMIT)
     return [HeavyKey(row["k"], row["l"] >= row["r"]) for row in top.collect()]
 
 
+def _frequent(df: DataFrame, key: str) -> DataFrame:
+    tasks = F.pmod(F.spark_partition_id(), F.lit(SKETCHES))
+    top = F.expr(f"approx_top_k(k, {HEAVY_LIMIT}, {HEAVY_LIMIT * 10})")
+    sketched = df.select(F.col(key).alias("k")).groupBy(tasks).agg(top.alias("top"))
+    return sketched.select(F.inline("top")).toDF("k", "n")
+
+
 def keyed_join(
     left: DataFrame,
     right: DataFrame,

@@ -1,9 +1,11 @@
 """Base tables: one row per person, product and unit, login-based or entitlement-based.
 
-Both start from the same person chain. The full outer chain contacts, marketing report, social
-report, product users on one person key ends in a filter that drops persons with contact data
-only. So the contact table, by far the largest, is joined last and as a left join; the two
-reports are folded into one row per key by an aggregate. That leaves a single full outer join.
+The definition is a full outer chain of contacts, marketing report, social report and product
+users on one person key, followed by a filter that drops persons with contact data only. So
+the contact table, by far the largest of them, is joined as a left join; the two reports are
+folded into one row per key by an aggregate; a single full outer join is left. The chain has
+one row per user: products and permissions are attached to a user at the end, and so cross
+the network once instead of once per join.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from usagelens.functions.nulls import any_present, not_in
 from usagelens.functions.period import Period
 from usagelens.functions.rules import fill_by_rules, replace_values
 from usagelens.functions.text import key_from_email
-from usagelens.operators.joins import heavy_keys, keyed_join, lookup
+from usagelens.operators.joins import HeavyKey, heavy_keys, keyed_join, lookup
 from usagelens.settings import MARKETING_LABEL, SOCIAL_LABEL, KpiSettings
 
 DATES = ["mc_last_login", "social_last_login", "sf_last_login"]
@@ -107,26 +109,28 @@ def base_users(users: DataFrame, settings: KpiSettings) -> DataFrame:
 
 
 def user_products(users: DataFrame, assignments: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Users with each distinct product their permissions grant, as ``sf_product``.
+    """Users whose permissions grant a product, with the list of those products.
 
-    Permissions become products, and equal products of one user merge, before users are joined:
-    the assignment table crosses the network as (user, product) only.
+    Permissions become products, and equal products of one user merge, before users are joined.
+    A list is no longer than the product catalogue.
     """
     granted = lookup(assignments.select("assignee_id", "permission_name"), mapping, "permission_name", ["product"])
-    granted = granted.where(F.col("product").isNotNull())
-    granted = granted.select("assignee_id", F.col("product").alias("sf_product")).distinct()
-    return keyed_join(users, granted, [("sf_user_id", "assignee_id")], "inner", null_match=False)
+    granted = granted.where(F.col("product").isNotNull()).select("assignee_id", "product").distinct()
+    per_user = granted.groupBy("assignee_id").agg(F.collect_list("product").alias("sf_products"))
+    return keyed_join(users, per_user, [("sf_user_id", "assignee_id")], "inner", null_match=False)
 
 
-def person_chain(reports: DataFrame, products: DataFrame, users: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Report rows full-joined to product users on the person id, then contacts attached.
+def person_chain(reports: DataFrame, users: DataFrame, contacts: DataFrame, probe: DataFrame) -> DataFrame:
+    """Users full-joined to report rows on the person id, then contacts attached.
 
-    ``users`` is the small table to look for heavy ids in; the products multiply its rows by a
-    bounded number only.
+    ``probe`` is a cheap table with the person ids of the users, to look for heavy ids in.
     """
-    active = keyed_join(reports, products, "net_id", "full", heavy=heavy_keys(None, users, "net_id"))
     known = contacts.where(F.col("net_id").isNotNull())
-    return keyed_join(active, known, "net_id", "left", null_match=False)
+    heavy = heavy_keys(probe, known, "net_id")
+    # The reports have one row per id, so the users are the side to deal out.
+    dealt = [HeavyKey(h.value, left_larger=True) for h in heavy]
+    active = keyed_join(users, reports, "net_id", "full", heavy=dealt)
+    return keyed_join(active, known, "net_id", "left", null_match=False, heavy=heavy)
 
 
 def primary_units(affiliations: DataFrame) -> DataFrame:
@@ -145,9 +149,9 @@ def activity_base(extracts: Extracts, period: Period, settings: KpiSettings) ->
 
 def activity_base_of(users: DataFrame, extracts: Extracts, period: Period, settings: KpiSettings) -> DataFrame:
     """The same for users chosen in another way (``users_with_last_login``, ``licensed_users``)."""
-    users, products = _product_users(users, extracts, settings)
     reports = report_logins(extracts.marketing, extracts.social, period)
-    chain = person_chain(reports, products, users, _contact_columns(extracts.contacts))
+    product_users = _product_users(users, extracts, settings)
+    chain = person_chain(reports, product_users, _contact_columns(extracts.contacts), extracts.users)
     return _with_units(chain, extracts, settings)
 
 
@@ -158,24 +162,24 @@ def activity_base_by_email(extracts: Extracts, period: Period, settings: KpiSett
     who lack one.
     """
     users = base_users(users_with_login(extracts.users, extracts.login_history, period), settings)
-    users, products = _product_users(users, extracts, settings)
     marketing = _fold(_report_rows(extracts.marketing, "email", "mc", period), ["email"], {"mc": MARKETING_LABEL})
     social = _fold(_report_rows(extracts.social, "net_id", "social", period), ["net_id"], {"social": SOCIAL_LABEL})
     contacts = _contact_columns(extracts.contacts).where(F.col("net_id").isNotNull())
     known = keyed_join(contacts, marketing, "email", "full", heavy=heavy_keys(contacts, None, "email"))
-    active = keyed_join(social, products, "net_id", "full", heavy=heavy_keys(None, users, "net_id"))
-    heavy = heavy_keys(contacts, users, "net_id")
-    chain = keyed_join(known, active, "net_id", "full", null_match=False, heavy=heavy)
+    heavy = heavy_keys(extracts.users, contacts, "net_id")
+    dealt = [HeavyKey(h.value, left_larger=True) for h in heavy]
+    active = keyed_join(_product_users(users, extracts, settings), social, "net_id", "full", heavy=dealt)
+    chain = keyed_join(active, known, "net_id", "full", null_match=False, heavy=heavy)
     return _with_units(chain, extracts, settings)
 
 
-def _product_users(users: DataFrame, extracts: Extracts, settings: KpiSettings) -> tuple[DataFrame, DataFrame]:
+def _product_users(users: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
     users = users.where(F.col("profile_name") != settings.admin_profile).select(
         F.col("id").alias("sf_user_id"), "net_id", F.col("profile_name").alias("sf_profile"),
         F.col("created_ts").cast("date").alias("sf_created"),
         F.col("last_login_ts").cast("date").alias("sf_last_login"),
     )
-    return users, user_products(users, extracts.assignments, extracts.mapping)
+    return user_products(users, extracts.assignments, extracts.mapping)
 
 
 def _contact_columns(contacts: DataFrame) -> DataFrame:
@@ -184,7 +188,9 @@ def _contact_columns(contacts: DataFrame) -> DataFrame:
 
 def _with_units(chain: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
     active = chain.where(any_present(*DATES)).where(not_in(F.col("net_id"), settings.excluded_net_ids))
-    return keyed_join(active, primary_units(extracts.affiliations), "contact_id", "left").distinct()
+    placed = keyed_join(active, primary_units(extracts.affiliations), "contact_id", "left")
+    others = [c for c in placed.columns if c != "sf_products"]
+    return placed.select(*others, F.explode_outer("sf_products").alias("sf_product")).distinct()
 
 
 def reporting_table(base: DataFrame) -> DataFrame:
@@ -204,12 +210,8 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
         F.col("id").alias("sf_user_id"), "net_id", F.col("name").alias("user_name"), "role_name",
         "profile_name", F.col("created_ts").cast("date").alias("created"),
     ).distinct()
-    granted = lookup(
-        extracts.assignments.select("assignee_id", "permission_name").distinct(),
-        extracts.mapping, "permission_name", ["product"],
-    )
-    products = keyed_join(users, granted, [("sf_user_id", "assignee_id")], "inner", null_match=False)
-    products = products.withColumn("product", fill_by_rules(F.col("product"), settings.default_rules))
+    assigned = extracts.assignments.select(F.col("assignee_id").alias("sf_user_id")).distinct()
+    users = keyed_join(users, assigned, "sf_user_id", "left_semi", null_match=False)
     contacts = extracts.contacts.select("net_id", F.col("id").alias("contact_id"))
     if two_systems:
         accounts = extracts.marketing.select(key_from_email(F.col("email")).alias("net_id"), "name")
@@ -218,18 +220,27 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
     else:
         reports, labels = report_logins(extracts.marketing, extracts.social, None), ["mc_profile", "social_profile"]
         fallback, kept = "user_name", []
-    chain = person_chain(reports.drop(*DATES), products, users, contacts)
-
-    # Equal rows merge once, at the end: merging here too would send every permission row over twice.
-    ids = [c for c in chain.columns if c not in (*labels, "product")]
-    long = chain.unpivot(ids, [*labels, "product"], "product_column", "product_name").drop("product_column")
-    long = long.where(F.col("product_name").isNotNull()).withColumnRenamed("product_name", "product")
-    units = keyed_join(long, primary_units(extracts.affiliations), "contact_id", "left")
-    rows = units.where(not_in(F.col("profile_name"), settings.excluded_profiles))
-    rows = rows.withColumn("user_key", F.coalesce(F.col("net_id"), F.col(fallback).cast("string")))
+    chain = person_chain(reports.drop(*DATES), users, contacts, extracts.users)
+    chain = chain.where(not_in(F.col("profile_name"), settings.excluded_profiles))
+    chain = chain.withColumn("user_key", F.coalesce(F.col("net_id"), F.col(fallback).cast("string")))
     if settings.excluded_user_keys:
-        rows = rows.where(~F.col("user_key").isin(list(settings.excluded_user_keys)))
-    return rows.select(
-        "user_key", "net_id", *kept, "user_name", "role_name", "profile_name", "product", "permission_name",
-        "created", "parent_organization", "account_name",
-    ).distinct()
+        chain = chain.where(~F.col("user_key").isin(list(settings.excluded_user_keys)))
+    persons = keyed_join(chain, primary_units(extracts.affiliations), "contact_id", "left")
+
+    granted = lookup(
+        extracts.assignments.select("assignee_id", "permission_name").distinct(),
+        extracts.mapping, "permission_name", ["product"],
+    )
+    of_users = persons.where(F.col("sf_user_id").isNotNull())
+    of_users = keyed_join(of_users, granted, [("sf_user_id", "assignee_id")], "inner", null_match=False)
+    of_users = of_users.withColumn("product", fill_by_rules(F.col("product"), settings.default_rules))
+    others = persons.where(F.col("sf_user_id").isNull())
+    rows = of_users.unionByName(others, allowMissingColumns=True)
+
+    ids = [
+        "user_key", "net_id", *kept, "user_name", "role_name", "profile_name", "permission_name", "created",
+        "parent_organization", "account_name",
+    ]
+    used = rows.unpivot(ids, [*labels, "product"], "product_column", "used_product")
+    used = used.where(F.col("used_product").isNotNull()).withColumnRenamed("used_product", "product")
+    return used.drop("product_column").distinct()

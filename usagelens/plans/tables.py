@@ -13,7 +13,7 @@ from usagelens.functions.rules import replace_values
 from usagelens.functions.text import snake_case
 from usagelens.operators.counts import distinct_users, group_count, row_total
 from usagelens.operators.filters import in_days, with_fewer_nulls
-from usagelens.operators.joins import keyed_join
+from usagelens.operators.joins import heavy_keys, keyed_join
 from usagelens.operators.reshape import marker_matrix
 from usagelens.operators.windows import with_group_stats
 from usagelens.plans.base import DATES, PRODUCTS, reporting_table
@@ -123,8 +123,12 @@ def user_product_table(base: DataFrame, first: dt.date, last: dt.date) -> DataFr
 
 
 def enrich(per_user: DataFrame, table: DataFrame, drop: Sequence[str] = ("total",)) -> DataFrame:
-    """Attach the user's rows of ``table`` to each product row."""
-    return keyed_join(per_user, table, "email", "left").drop(*drop)
+    """Attach the user's rows of ``table`` to each product row.
+
+    A left join leaves a skewed right side whole, so emails with very many rows are joined apart.
+    """
+    heavy = heavy_keys(None, table, "email")
+    return keyed_join(per_user, table, "email", "left", heavy=heavy).drop(*drop)
 
 
 def product_share(base: DataFrame) -> DataFrame:
