@@ -231,11 +231,14 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
         extracts.assignments.select("assignee_id", "permission_name").distinct(),
         extracts.mapping, "permission_name", ["product"],
     )
-    of_users = persons.where(F.col("sf_user_id").isNotNull())
-    of_users = keyed_join(of_users, granted, [("sf_user_id", "assignee_id")], "inner", null_match=False)
-    of_users = of_users.withColumn("product", fill_by_rules(F.col("product"), settings.default_rules))
-    others = persons.where(F.col("sf_user_id").isNull())
-    rows = of_users.unionByName(others, allowMissingColumns=True)
+    # Persons known from a report only meet one row without permission. An inner join can split
+    # a user with very many permissions; a left join could not.
+    granted = granted.where(F.col("assignee_id").isNotNull())
+    nothing = granted.sparkSession.range(1).select(
+        [F.lit(None).cast(f.dataType).alias(f.name) for f in granted.schema.fields]
+    )
+    rows = keyed_join(persons, granted.unionByName(nothing), [("sf_user_id", "assignee_id")], "inner")
+    rows = rows.withColumn("product", fill_by_rules(F.col("product"), settings.default_rules))
 
     ids = [
         "user_key", "net_id", *kept, "user_name", "role_name", "profile_name", "permission_name", "created",
