@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.roles import CREATED_SINCE, PERIOD, PRODUCTS, SETTINGS, WINDOW, Roles
+from usagelens.functions import dates
 from usagelens.functions.nulls import any_present, n_distinct_when
+from usagelens.functions.period import month_start
 from usagelens.operators import counts
-from usagelens.operators.filters import with_fewer_nulls
+from usagelens.operators.filters import in_days, with_fewer_nulls
 from usagelens.operators.select import keep_existing
 from usagelens.plans import base as bases
 from usagelens.plans import latency, layouts, quality, tables
@@ -26,7 +30,7 @@ def _table(r: Roles) -> DataFrame:
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
-    return df.select([F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "date" else f.name for f in df.schema.fields])
+    return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema.fields if f.dataType.typeName() == "date"})
 
 
 @query(
@@ -289,11 +293,10 @@ _USERS_WIDE = f"""
           FROM two_systems GROUP BY user_key, user_name, mc_name, created, profile_name, parent_organization)"""
 
 
-def _users_wide(r: Roles) -> DataFrame:
-    extracts = r.extracts(created=True, last_login=False)
-    extracts = bases.Extracts(**{**extracts.__dict__, "marketing": r.marketing_accounts(), "social": None})
-    long = bases.entitlement_base(extracts, SETTINGS, two_systems=True)
-    return layouts.product_users_wide(long, _WIDE_PRODUCTS)
+def _two_systems(r: Roles, created: bool = False) -> DataFrame:
+    extracts = r.extracts(created, last_login=False)
+    extracts = replace(extracts, marketing=r.marketing_accounts(), social=None)
+    return bases.entitlement_base(extracts, SETTINGS, two_systems=True)
 
 
 @query(
@@ -302,7 +305,7 @@ def _users_wide(r: Roles) -> DataFrame:
     "two_systems",
 )
 def product_users_wide(r):
-    return _dates_as_text(_users_wide(r))
+    return _dates_as_text(layouts.product_users_wide(_two_systems(r, created=True), _WIDE_PRODUCTS))
 
 
 @query(
@@ -532,7 +535,68 @@ def last_login_users_by_product(r):
     "email_base",
 )
 def users_by_email_key(r):
-    extracts = r.extracts()
-    extracts = bases.Extracts(**{**extracts.__dict__, "marketing": r.report("click", key="email")})
+    extracts = replace(r.extracts(), marketing=r.report("click", key="email"))
     base = bases.activity_base_by_email(extracts, PERIOD, SETTINGS)
     return counts.distinct_users(base, "email", bases.PRODUCTS)
+
+
+@query(
+    "K12 A13 P17",
+    """SELECT sf_product, count(*) AS user_days
+       FROM (SELECT DISTINCT contact_id, sf_product, sf_last_login FROM base
+             WHERE sf_last_login >= DATE '2024-01-28' AND sf_last_login < DATE '2024-01-31')
+       GROUP BY sf_product""",
+    "base",
+)
+def user_days_in_window(r):
+    recent = in_days(_base(r), "sf_last_login", *WINDOW)
+    return counts.distinct_users(recent, ["contact_id", "sf_last_login"], ["sf_product"], name="user_days")
+
+
+@query(
+    "K12 A13",
+    """SELECT parent_organization, count(*) AS n
+       FROM (SELECT DISTINCT user_key, profile_name, parent_organization FROM two_systems) GROUP BY parent_organization""",
+    "two_systems",
+)
+def entitled_profiles_by_unit(r):
+    return counts.distinct_users(_two_systems(r), ["user_key", "profile_name"], ["parent_organization"])
+
+
+@query(
+    "K12 A13 A10",
+    "SELECT profile_name, count(*) AS n FROM (SELECT DISTINCT user_key, profile_name FROM entitled) GROUP BY profile_name",
+    "entitled",
+)
+def entitled_users_by_profile(r):
+    rows = bases.entitlement_base(r.extracts(last_login=False), SETTINGS)
+    return counts.distinct_users(rows, "user_key", ["profile_name"])
+
+
+@query(
+    "K11 F2 F4 F5",
+    """SELECT user_id, strftime(strptime(last_login, '%m/%d/%Y %H:%M'), '%Y-%m') AS login_month,
+              strftime(strptime(created_date, '%m/%d/%Y %H:%M'), '%Y-%m') AS created_month
+       FROM licensed""",
+    "licensed",
+)
+def month_floors_from_text(r):
+    floors = {
+        name: month_start(dates.parse_mdy_hm(F.col(text)))
+        for name, text in (("login_month", "last_login"), ("created_month", "created_date"))
+    }
+    return r.licensed().select("user_id", *[F.date_format(c, "yyyy-MM").alias(n) for n, c in floors.items()])
+
+
+@query(
+    "K9 A7 F5",
+    """SELECT unit, CAST(month(first) AS BIGINT) AS first_month, CAST(year(first) AS BIGINT) AS first_year
+       FROM (SELECT profile AS unit, min(strptime(created_date, '%m/%d/%Y %H:%M')) AS first FROM licensed GROUP BY profile)
+       WHERE first IS NOT NULL""",
+    "licensed",
+)
+def first_month_from_text(r):
+    created = dates.parse_mdy_hm(F.col("created_date")).cast("date")
+    base = r.licensed().select(F.col("profile").alias("parent_organization"), created.alias("sf_created"))
+    first = tables.unit_first_month(base)
+    return first.withColumns({c: F.col(c).cast("long") for c in ("first_month", "first_year")})

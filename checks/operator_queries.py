@@ -649,3 +649,16 @@ def written_report(r):
         T.StructField("distinct_users", T.LongType()),
     ])
     return readers.read_csv(r.spark, path, schema)
+
+
+@query(
+    "A1 S7",
+    "SELECT permission_name, count(*) AS n FROM assignments GROUP BY permission_name",
+    "assignments",
+)
+def permission_tally(r):
+    """Assignments per permission, written and read back."""
+    tally = counts.group_count(r.assignments(), "permission_name")
+    path = writers.write_table(tally, fresh_path(r.spark, "tally"), "permissions", PERIOD)
+    schema = T.StructType([T.StructField("permission_name", T.LongType()), T.StructField("n", T.LongType())])
+    return readers.read_csv(r.spark, path, schema)

@@ -83,6 +83,16 @@ def test_nest_spreads_large_groups_and_loses_nothing(spark, rows):
     assert reshape.nest(df, ["g"]).count() == 3
 
 
+def test_nest_keeps_copies(spark, rows):
+    df = spark.range(25_003).selectExpr("'g' AS g", "CAST(null AS string) AS t").unionByName(
+        spark.createDataFrame([(None, "x"), (None, "x"), ("g", "y")], "g string, t string"))
+    nested = reshape.nest(df, ["g"])
+    assert nested.agg(F.max(F.size("rows"))).first()[0] == 2
+    back = reshape.unnest(nested, ["g"])
+    assert back.columns == ["g", "t"]
+    assert rows(counts.group_count(back, "g", "t")) == rows(counts.group_count(df, "g", "t"))
+
+
 def test_draws(spark):
     grid = spark.createDataFrame([(0.0, 1.0), (100.0, 0.5)], "m double, s double")
     drawn = reshape.normal_draws(grid, F.col("m"), F.col("s"), 500, seed=1)

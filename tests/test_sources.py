@@ -114,12 +114,11 @@ from usagelens.sources import workspace
 spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
          .config("spark.checkpoint.dir", "{tmp_path}").getOrCreate())
 print("FOLDER", workspace.shared_folder(spark), workspace.fresh_path(spark, "x"))
-workspace.cut_lineage(spark.range(5)).count()
-print("DIR", spark.sparkContext.getCheckpointDir())
+print("FILES", workspace.cut_lineage(spark.range(5)).inputFiles()[0])
 """
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120)
     assert f"FOLDER {tmp_path} {tmp_path}/x-" in done.stdout, done.stderr
-    assert f"DIR file:{tmp_path}" in done.stdout
+    assert f"FILES file://{tmp_path}/kept-" in done.stdout
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark):

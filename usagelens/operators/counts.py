@@ -36,14 +36,17 @@ def distinct_per_group(df: DataFrame, keys: Sequence[str], column: str, name: st
 
 
 def distinct_users(
-    df: DataFrame, user: str, keys: Sequence[str], name: str = "n", drop_null_keys: bool = False
+    df: DataFrame, user: str | Sequence[str], keys: Sequence[str], name: str = "n", drop_null_keys: bool = False
 ) -> DataFrame:
-    """Distinct (user, keys) combinations counted per keys. A null user counts as one user."""
-    keys = list(keys)
-    pairs = df.select([user] + [k for k in keys if k != user])
+    """Distinct (user, keys) combinations counted per keys. A null user counts as one user.
+
+    ``user`` may be several columns: user and day, say, for the days on which users were active.
+    """
+    users, keys = [user] if isinstance(user, str) else list(user), list(keys)
+    rows = df.select(users + [k for k in keys if k not in users])
     if drop_null_keys:
-        pairs = pairs.dropna("any", subset=keys)
-    return group_count(pairs.distinct(), *keys, name=name)
+        rows = rows.dropna("any", subset=keys)
+    return group_count(rows.distinct(), *keys, name=name)
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:

@@ -72,25 +72,31 @@ def ordinal_wide(
 
 
 def nest(df: DataFrame, keys: Sequence[str], name: str = "rows", per_list: int = 1_000) -> DataFrame:
-    """Rows of each group as a list of structs.
+    """Rows of each group as a list of structs; equal rows are one struct with their ``copies``.
 
-    A group of more than ``per_list`` rows is spread over several lists, numbered in ``part``,
-    by a hash of the row, so no task holds a whole large group.
+    A group of more than ``per_list`` different rows is spread over several lists, numbered in
+    ``part``, by a hash of the row, so no task holds a whole large group.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    sized = with_group_stats(df, keys, __size=F.count(F.lit(1)))
+    merged = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    sized = with_group_stats(merged, keys, __size=F.count(F.lit(1)))
     parts = F.ceil(F.col("__size") / per_list)
     return (
         sized.withColumn("part", F.pmod(F.xxhash64(*df.columns), parts))
         .groupBy(*keys, "part")
-        .agg(F.collect_list(F.struct(*rest)).alias(name))
+        .agg(F.collect_list(F.struct(*rest, "copies")).alias(name))
     )
 
 
 def unnest(df: DataFrame, keys: Sequence[str], name: str = "rows") -> DataFrame:
-    """Back to one row per list element."""
-    return df.select(*keys, F.inline(name))
+    """Back to one row per nested row and copy. Copies are laid out block by block."""
+    block = 10_000
+    rows = df.select(*keys, F.inline(name))
+    starts = F.sequence(F.lit(0), F.col("copies") - 1, F.lit(block))
+    rows = rows.withColumn("__start", F.explode(starts))
+    inside = F.sequence(F.lit(1), F.least(F.lit(block), F.col("copies") - F.col("__start")))
+    return rows.withColumn("__copy", F.explode(inside)).drop("copies", "__start", "__copy")
 
 
 def normal_draws(grid: DataFrame, mean: Column, sd: Column, n: int, seed: int, name: str = "value") -> DataFrame:

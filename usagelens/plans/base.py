@@ -99,7 +99,8 @@ def licensed_users(
     username or on the user id.
     """
     licences = licensed.withColumnsRenamed({c: f"licence_{c}" for c in licensed.columns if c != on[1]})
-    return keyed_join(users, licences, [on], how).distinct()
+    heavy = heavy_keys(users, licences, on) if how in ("right", "full") else []
+    return keyed_join(users, licences, [on], how, heavy=heavy).distinct()
 
 
 def base_users(users: DataFrame, settings: KpiSettings) -> DataFrame:

@@ -30,16 +30,16 @@ def reconcile(
     """Dates of an earlier table version attached to the rows of the current one.
 
     With ``first_by`` the earlier version keeps one row per value of that column. Rows without
-    any date are left out, and one row per ``keys`` remains.
+    any date are left out, and one row per ``keys`` remains: the first in the order of the
+    other columns. That row is picked before the join, so both sides have one row per key.
     """
     keys = list(keys)
     rest = [c for c in earlier.columns if c not in keys]
-    order = [F.col(c).asc_nulls_last() for c in keys + rest]
     if first_by:
-        earlier = first_per_key(earlier, [first_by], order)
-    joined = keyed_join(current.select(keys), earlier, keys, "left")
-    dated = with_fewer_nulls(joined, DATES, limit=len(DATES))
-    return first_per_key(dated, keys, [F.col(c).asc_nulls_last() for c in rest])
+        earlier = first_per_key(earlier, [first_by], [F.col(c).asc_nulls_last() for c in keys + rest])
+    dated = with_fewer_nulls(earlier, DATES, limit=len(DATES))
+    first = first_per_key(dated, keys, [F.col(c).asc_nulls_last() for c in rest])
+    return keyed_join(first, current.select(keys).distinct(), keys, "left_semi")
 
 
 def table_profile(table: DataFrame) -> DataFrame:

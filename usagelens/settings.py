@@ -1,4 +1,8 @@
-"""Report settings. Person lists have no defaults: they belong to the organisation that runs the report."""
+"""Report settings.
+
+Staff lists, id corrections and profile names of one organisation have no defaults: whoever runs
+the report passes them.
+"""
 
 from __future__ import annotations
 
