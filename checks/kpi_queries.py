@@ -129,7 +129,7 @@ def unit_first_month(r):
 
 def _mean_days(r: Roles, *keys: str) -> DataFrame:
     accounts = latency.first_logins(r.users(created=True), r.login_history(), CREATED_SINCE)
-    means = latency.mean_days(accounts, keys).where(F.col("avg_days").isNotNull())
+    means = latency.mean_days(accounts, keys)
     return means.withColumns({
         "create_month": F.col("create_month").cast("long"),
         "create_year": F.col("create_year").cast("long"),
@@ -140,7 +140,7 @@ def _mean_days(r: Roles, *keys: str) -> DataFrame:
 def _mean_sql(*keys: str) -> str:
     names = "".join(k + ", " for k in keys)
     return f"""SELECT {names}create_month, create_year, round(avg(days), 4) AS avg_days
-               FROM first_logins GROUP BY {names}create_month, create_year HAVING avg(days) IS NOT NULL"""
+               FROM first_logins GROUP BY {names}create_month, create_year"""
 
 
 @query("K10 A8 A9 F6 J4 P18", _mean_sql(), "first_logins")

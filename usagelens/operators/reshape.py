@@ -34,16 +34,20 @@ def wide_values(df: DataFrame, column: str) -> list:
     return sorted(row[0] for row in rows)
 
 
-def value_as_marker(df: DataFrame, ids: Sequence[str], column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``ids`` and one column per value, holding the value itself where it occurs."""
+def marker_matrix(
+    df: DataFrame, rows: str | Sequence[str], column: str, values: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per ``rows`` and one column per value, holding 1 where the pair occurs, else null."""
     headings = list(values) if values is not None else wide_values(df, column)
-    return df.groupBy(*ids).pivot(column, headings).agg(F.max(column))
+    ids = [rows] if isinstance(rows, str) else list(rows)
+    return df.groupBy(*ids).pivot(column, headings).agg(F.max(F.lit(1)))
 
 
-def marker_matrix(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``row`` and one column per value, holding 1 where the pair occurs, else null."""
+def value_as_marker(df: DataFrame, ids: Sequence[str], column: str, values: Sequence[str] | None = None) -> DataFrame:
+    """One row per ``ids`` and one column per value, holding the value itself where it occurs."""
     headings = list(values) if values is not None else wide_values(df, column)
-    return df.groupBy(row).pivot(column, headings).agg(F.max(F.lit(1)))
+    marks = marker_matrix(df, ids, column, headings)
+    return marks.select(*ids, *[F.when(F.col(f"`{h}`") == 1, h).alias(h) for h in headings])
 
 
 def ordinal_wide(
