@@ -20,9 +20,27 @@ from usagelens.plans import latency, layouts, quality, tables
 from usagelens.sources.workspace import cut_lineage
 
 
+def _fresh(plan: DataFrame) -> DataFrame:
+    """The same plan to be run anew: one that has run would hand out its finished shuffles."""
+    return plan.select("*")
+
+
 def _base(r: Roles, created: bool = False) -> DataFrame:
-    base = r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
-    return base.select("*")  # a new run each time: an executed plan would hand out its finished shuffles
+    plan = r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
+    return _fresh(plan)
+
+
+def _entitled(r: Roles, created: bool = False) -> DataFrame:
+    extracts = r.extracts(created, last_login=False)
+    return _fresh(r.plan(f"entitled {created}", lambda: bases.entitlement_base(extracts, SETTINGS)))
+
+
+def _two_systems(r: Roles, created: bool = False) -> DataFrame:
+    def build() -> DataFrame:
+        extracts = replace(r.extracts(created, last_login=False), marketing=r.marketing_accounts(), social=None)
+        return bases.entitlement_base(extracts, SETTINGS, two_systems=True)
+
+    return _fresh(r.plan(f"two systems {created}", build))
 
 
 def _table(r: Roles) -> DataFrame:
@@ -293,12 +311,6 @@ _USERS_WIDE = f"""
           FROM two_systems GROUP BY user_key, user_name, mc_name, created, profile_name, parent_organization)"""
 
 
-def _two_systems(r: Roles, created: bool = False) -> DataFrame:
-    extracts = r.extracts(created, last_login=False)
-    extracts = replace(extracts, marketing=r.marketing_accounts(), social=None)
-    return bases.entitlement_base(extracts, SETTINGS, two_systems=True)
-
-
 @query(
     "K17 U4 P22 P7 F11",
     f"SELECT * REPLACE (CAST(created AS VARCHAR) AS created) FROM ({_USERS_WIDE})",
@@ -452,7 +464,7 @@ def monthly_activity(r):
     "entitled",
 )
 def entitlement_base(r):
-    return _dates_as_text(bases.entitlement_base(r.extracts(created=True, last_login=False), SETTINGS))
+    return _dates_as_text(_entitled(r, created=True))
 
 
 @query(
@@ -462,7 +474,7 @@ def entitlement_base(r):
     "entitled",
 )
 def entitled_users_by_product(r):
-    rows = bases.entitlement_base(r.extracts(last_login=False), SETTINGS)
+    rows = _entitled(r)
     return counts.distinct_users(rows.where(F.col("account_name") != "NATION_4"), "user_key", ["product"])
 
 
@@ -569,8 +581,7 @@ def entitled_profiles_by_unit(r):
     "entitled",
 )
 def entitled_users_by_profile(r):
-    rows = bases.entitlement_base(r.extracts(last_login=False), SETTINGS)
-    return counts.distinct_users(rows, "user_key", ["profile_name"])
+    return counts.distinct_users(_entitled(r), "user_key", ["profile_name"])
 
 
 @query(
