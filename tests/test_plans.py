@@ -11,7 +11,7 @@ from usagelens.functions.period import Period
 from usagelens.functions.rules import DefaultRule
 from usagelens.operators import joins
 from usagelens.plans import base as bases
-from usagelens.plans import latency, layouts, quality, tables
+from usagelens.plans import latency, layouts, monthly, quality, tables
 from usagelens.settings import KpiSettings
 
 JANUARY = Period(2022, 1)
@@ -158,6 +158,19 @@ def test_unmatched_accounts(extracts, rows):
     assert rows(quality.unmatched_accounts(extracts.social, extracts.contacts), "net_id") == [("ghost",)]
 
 
+def test_a_month_from_frozen_extracts_to_files(extracts, spark, rows, tmp_path):
+    out = str(tmp_path)
+    frozen = monthly.freeze(extracts, out, JANUARY)
+    assert rows(frozen.users) == rows(extracts.users)
+    paths = monthly.run_month(frozen, JANUARY, MINE, out, dt.date(2021, 3, 1))
+    assert len(paths) == 13 and all("period=2022-01" in p for p in paths.values())
+    table = bases.reporting_table(bases.activity_base(extracts, JANUARY, MINE))
+    written = spark.read.csv(paths["users_by_unit"], header=True, schema="unit string, total_users long, distinct_users long")
+    assert rows(written) == rows(tables.users_by_unit(table))
+    ghosts = spark.read.csv(paths["social_without_contact"], header=True)
+    assert [r["net_id"] for r in ghosts.collect()] == ["ghost"]
+
+
 def test_ways_to_choose_users(extracts, spark, rows):
     assert rows(bases.users_with_last_login(extracts.users, JANUARY), "id") == [(1,), (2,), (3,), (4,), (6,)]
     licences = spark.createDataFrame([("ann@x", "5"), ("zz@x", "6")], "username string, profile string")
