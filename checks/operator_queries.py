@@ -618,7 +618,7 @@ def monthly_glob(r):
     for period in (PERIOD.previous, PERIOD):
         rows = report.where(period.contains(dates.parse_mdy(F.col("max_timestamp"))))
         rows.write.option("header", True).csv(readers.report_path(root, "last_login", period))
-    read = readers.read_reports(r.spark, root, "last_login", schemas.SCHEMAS["marketing_logins"])
+    read = readers.read_reports(r.spark, root, "last_login", "marketing_logins")
     return read.drop("source_file")
 
 

@@ -68,12 +68,16 @@ def test_monthly_files(spark, tmp_path, rows):
     for period in (Period(2021, 12), Period(2022, 1)):
         path = readers.report_path(str(tmp_path), "last_login", period)
         write(tmp_path / path[len(str(tmp_path)) + 1:], f"NetID,max(timestamp)\nu1,{period.month}/5/{period.year}\n")
-    aliased = T.StructType([T.StructField("net_id", T.StringType()), T.StructField("max_timestamp", T.StringType())])
-    got = readers.read_reports(spark, str(tmp_path), "last_login", aliased)
+    got = readers.read_reports(spark, str(tmp_path), "last_login", "marketing_logins")
     assert rows(got, "net_id", "max_timestamp", "report_month") == [("u1", "1/5/2022", "2022-01"), ("u1", "12/5/2021", "2021-12")]
     assert got.where(F.col("source_file").endswith("last_login-2022-01-01.csv")).count() == 1
 
 
+def test_report_headers_of_other_runs(spark, tmp_path):
+    path = write(tmp_path / "r.csv", "user,lastlogindatetime\nu1,1/5/2022\n")
+    assert tuple(readers.read_source(spark, "social_logins", path).first()) == ("u1", "1/5/2022")
+
+
 def test_files_with_other_column_order_are_refused(spark, tmp_path):
     write(tmp_path / "one.csv", "A,B\n1,2\n")
     write(tmp_path / "two.csv", "B,A\n1,2\n")

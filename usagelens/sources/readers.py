@@ -12,7 +12,9 @@ from usagelens.functions.period import Period
 from usagelens.operators.select import normalise_names
 from usagelens.sources.schemas import ALIASES, SCHEMAS
 
+# Where monthly reports are filed.
 REPORT_LAYOUT = "{year} Reports/{month_name} {year}/{report}-{run}-01.csv"
+REPORT_PATTERN = "* Reports/*/{report}-*-01.csv"
 
 
 def read_csv(
@@ -31,7 +33,7 @@ def read_csv(
     )
     named = normalise_names(raw)
     named = named.withColumnsRenamed(
-        {old: new for old, new in (aliases or {}).items() if old in named.columns}
+        {old: new for old, new in (aliases or {}).items() if old in named.columns and new not in named.columns}
     )
     missing = [f.name for f in schema.fields if f.name not in named.columns]
     if missing:
@@ -77,9 +79,14 @@ def report_path(root: str, report: str, period: Period, layout: str = REPORT_LAY
     return f"{root.rstrip('/')}/{part}"
 
 
-def read_reports(spark: SparkSession, root: str, report: str, schema: T.StructType) -> DataFrame:
-    """All months of one report, with ``source_file`` and the run month taken from the file name."""
-    df = read_csv(spark, f"{root.rstrip('/')}/* Reports/*/{report}-*-01.csv", schema, source_file="source_file")
+def read_reports(spark: SparkSession, root: str, report: str, table: str, pattern: str = REPORT_PATTERN) -> DataFrame:
+    """All months of one report as a declared table, with ``source_file`` and ``report_month``.
+
+    The report month is the one before the run month in the file name. The month's files must
+    agree in their columns; Spark stops at one that does not.
+    """
+    path = f"{root.rstrip('/')}/{pattern.format(report=report)}"
+    df = read_csv(spark, path, SCHEMAS[table], ALIASES.get(table), source_file="source_file")
     run = F.regexp_extract("source_file", r"-(\d{4}-\d{2})-01\.csv(?:/|$)", 1)
     month = F.add_months(F.to_date(F.concat(run, F.lit("-01"))), -1)
     return df.withColumn("report_month", F.date_format(month, "yyyy-MM"))

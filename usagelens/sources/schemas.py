@@ -73,4 +73,18 @@ ALIASES = {
         "permission_set_group_id": "permission_group_id",
     },
     "perm_to_product": {"permission_set_name": "permission_name"},
+    "marketing_logins": {
+        "net_id_c": "net_id",
+        "netid": "net_id",
+        "user": "net_id",
+        "last_login": "max_timestamp",
+        "lastlogindatetime": "max_timestamp",
+    },
+    "social_logins": {
+        "net_id_c": "net_id",
+        "netid": "net_id",
+        "user": "net_id",
+        "last_login": "max_timestamp",
+        "lastlogindatetime": "max_timestamp",
+    },
 }
