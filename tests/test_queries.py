@@ -10,7 +10,7 @@ from checks.registry import QUERIES
 from checks.roles import Roles
 from usagelens.operators import joins, windows
 
-QUERY_NAMES = sorted(entry.queries())
+QUERY_NAMES = sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", QUERY_NAMES)
