@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import mixing
+from usagelens.llm import mixing, warc
 from usagelens.llm.common import table
+from usagelens.sources.workspace import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,3 +55,21 @@ taken AS (
   SELECT doc_id, sum(size) AS taken FROM ordered WHERE words <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
 SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM served LEFT JOIN taken USING (doc_id)"""
+
+
+@query
+def op4_warc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    archives = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_pages(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+ORACLE_SQL["op4_warc_roundtrip"] = r"""
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (
+  SELECT digest, min(page_id) AS first_page FROM page WHERE octet_length(payload) >= 100 GROUP BY digest)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to, true AS intact
+FROM page LEFT JOIN firsts USING (digest)"""
