@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from usagelens.llm import mixing, warc
+from usagelens.llm import mixing, topk, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -73,3 +74,20 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payloa
        CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_page <> page_id THEN first_page END AS refers_to, true AS intact
 FROM page LEFT JOIN firsts USING (digest)"""
+
+
+@query
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLE_SQL["op10_top_k"] = r"""
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5"""
