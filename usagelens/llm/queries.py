@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import mixing, topk, warc
+from usagelens.llm import covertree, mixing, topk, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -20,6 +20,28 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_embedding_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
+
+
+ORACLE_SQL["op1_embedding_near_dups"] = r"""
+WITH RECURSIVE whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM whole a JOIN whole b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (
+  SELECT a AS vec_id, a AS other FROM links UNION SELECT vec_id, b FROM reached JOIN links ON other = a),
+labels AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN degrees USING (vec_id) LEFT JOIN labels USING (vec_id)"""
+
+
 @query
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, folder, "documents"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.vectors import bounded_sample, usable
+from usagelens.llm.vectors import bounded_sample, common_length, farthest_first, matrix, usable
 from usagelens.sources.workspace import cut_lineage
 
 #: Integers up to this size multiply exactly in double precision for up to 2^20 dimensions.
@@ -32,13 +32,15 @@ class PivotIndex:
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, vector``: components as floor(scale * x), x as double. Unusable vectors are left out."""
+    """``vec_id, vector``: components as floor(scale * x), x as double. Vectors that are unusable or not of the
+    commonest length are left out, and so are null ids."""
     vector = F.col(vector_col)
     rows = vectors.where(usable(vector)).select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("vector"),
     )
-    return rows.where(F.col("vec_id").isNotNull())
+    rows = rows.where(F.col("vec_id").isNotNull())
+    return rows.where(F.size("vector") == common_length(rows, "vector"))
 
 
 def build_index(rows: DataFrame, max_pivots: int = 16, sample: int = 512, rings: int = 32) -> PivotIndex:
@@ -48,7 +50,7 @@ def build_index(rows: DataFrame, max_pivots: int = 16, sample: int = 512, rings:
     choice; they bear on the speed only, and every row is indexed. Rings are of equal width.
     """
     drawn = bounded_sample(rows, "vector", sample).astype(float)
-    pivots = _farthest_first(drawn, max_pivots)
+    pivots = farthest_first(drawn, max_pivots)
     keyed = cut_lineage(rows.mapInArrow(_keyed(pivots), "vec_id long, vector array<long>, pivot int, distance double, norm double"))
     widest = (keyed.agg(F.max("distance")).first()[0] or 0.0) + 1e-9
     keyed = keyed.withColumn("ring", F.least(F.floor(F.col("distance") / (widest / rings)), F.lit(rings - 1)).cast("int"))
@@ -59,21 +61,6 @@ def build_index(rows: DataFrame, max_pivots: int = 16, sample: int = 512, rings:
     return PivotIndex(keyed, {k: np.array([row[k] for row in found]) for k in names}, pivots)
 
 
-def _farthest_first(drawn: np.ndarray, count: int) -> np.ndarray:
-    if not len(drawn):
-        return drawn
-    chosen, distance = [0], np.linalg.norm(drawn - drawn[0], axis=1)
-    while len(chosen) < count and distance.max() > 0:
-        chosen.append(int(distance.argmax()))
-        distance = np.minimum(distance, np.linalg.norm(drawn - drawn[chosen[-1]], axis=1))
-    return drawn[chosen]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Exact up to rounding: the squares are whole numbers."""
     squares = (points**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * points @ pivots.T
@@ -85,7 +72,7 @@ def _keyed(pivots: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = _matrix(batch.column("vector"))
+            points = matrix(batch.column("vector"))
             distances = _distances(points, pivots)
             nearest = distances.argmin(1)
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +92,7 @@ def top_k(
 
     ``is_query`` is a condition on ``vec_id``. Result: ``query_id, rank, vec_id, score``; fewer
     rows for a query with fewer candidates. Rows of null id, and vectors that are null, empty
-    or hold null or non-finite components, take no part; all vectors need one length. Rows that
+    or hold null or non-finite components, or are not of the commonest length, take no part. Rows that
     repeat an id with an equal vector are one candidate; an id's own rows are never candidates.
 
     Rows lie in rings around their nearest pivot. With d the distance of a query from a pivot,
@@ -163,7 +150,7 @@ def _pack(order: tuple[str, ...]):
             for i in range(batch.num_rows):
                 members = batch.column("members")[i].values
                 ids, at = members.field("vec_id").to_numpy(), members.field("distance").to_numpy()
-                points = _matrix(members.field("vector"))
+                points = matrix(members.field("vector"))
                 by = np.lexsort((ids, at))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("unit").slice(i, 1), batch.column("part").slice(i, 1), pa.array([ids[by].tobytes()]),
@@ -204,7 +191,7 @@ def _pick(index: PivotIndex, rings: int, k: int, first: bool):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                points = _matrix(batch.column("vector"))
+                points = matrix(batch.column("vector"))
                 distance, gap, high = bounds(points)
                 order = np.argsort(gap, axis=1, kind="stable")
                 held = np.cumsum(stats["n"][order], axis=1)
@@ -233,7 +220,7 @@ def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for i in range(batch.num_rows):
             members = batch.column("members")[i].values
-            points = _matrix(members.field("vector")).astype(np.int32)
+            points = matrix(members.field("vector")).astype(np.int32)
             floors = members.field("floor").to_pandas().to_numpy(dtype=float)
             floors = np.where(np.isnan(floors), -np.inf, floors)
             ids, at = members.field("vec_id").to_numpy(), members.field("distance").to_numpy()
