@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, mixing, topk, warc
+from usagelens.llm import covertree, mixing, quality, topk, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -98,6 +98,12 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payloa
 FROM page LEFT JOIN firsts USING (digest)"""
 
 
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, folder, "labels"))
+    return quality.classify(table(spark, folder, "documents"), trusted)
+
+
 @query
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
