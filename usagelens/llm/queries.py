@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, mixing, quality, topk, warc
+from usagelens.llm import covertree, lines, mixing, quality, topk, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -42,6 +42,11 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, v
 FROM embeddings LEFT JOIN degrees USING (vec_id) LEFT JOIN labels USING (vec_id)"""
 
 
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_classes(table(spark, folder, "documents"))
+
+
 @query
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, folder, "documents"))
