@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.sources.workspace import cut_lineage
 
+#: Words of the bounded filter: 2^23 bits, 1 MB.
+FILTER_WORDS = 1 << 17
+
 #: Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bounded_filter(hashes: DataFrame, column: str):
+    """A filter of 2^23 bits over a column of evenly spread longs, sent to all executors.
+
+    ``maybe_in`` passes all of them, and some others. It thins rows before a join that does the
+    rest; when it fills up it only stops saving.
+    """
+    word, bit = F.expr(f"(`{column}` >> 6) & {FILTER_WORDS - 1}"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    table = np.zeros(FILTER_WORDS, np.int64)
+    for row in hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        table[row["word"]] = row["bits"]
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def maybe_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return ((table[(hashes >> 6) & (FILTER_WORDS - 1)] >> (hashes & 63)) & 1).astype(bool)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """Connected components of an undirected graph: ``node`` and ``component``, its smallest node.
 

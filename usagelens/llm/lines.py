@@ -10,14 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import components
+from usagelens.llm.common import bounded_filter, components, maybe_in
+from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
 from usagelens.sources.workspace import cut_lineage
 
-#: Odd base of the rolling hash, and its inverse, modulo 2^64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
-#: Words of the bounded filter (2^23 bits) that thins lines before a shuffle. When it fills up it only stops saving.
-FILTER_WORDS = 1 << 17
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -30,24 +26,12 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all lines in one array, and where each line begins (with the end last)."""
     flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     return flat, np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
 
 
-def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count + 1, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
-
-
 def segment_keys(lines: list[str], distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the segment partition join: ``line, key, is_index`` arrays.
 
@@ -61,7 +45,7 @@ def segment_keys(lines: list[str], distance: int) -> tuple[np.ndarray, np.ndarra
     flat, at = _points(lines)
     length = np.diff(at)
     with np.errstate(over="ignore"):
-        powers, inverse = (_powers(x, len(flat)) for x in (BASE, INVERSE))
+        powers, inverse = (powers_of(x, len(flat) + 1) for x in (BASE, INVERSE))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
     rows, keys, index = [], [], []
     parts = distance + 1
@@ -70,7 +54,7 @@ def segment_keys(lines: list[str], distance: int) -> tuple[np.ndarray, np.ndarra
         begin = at[who] + start
         with np.errstate(over="ignore"):
             code = (prefix[begin + size] - prefix[begin]) * inverse[begin]
-            code = _mixed(code + _mixed(indexed.astype(np.uint64) * np.uint64(parts) + np.uint64(i)))
+            code = mixed(code + mixed(indexed.astype(np.uint64) * np.uint64(parts) + np.uint64(i)))
         rows.append(who)
         keys.append(code.view(np.int64))
         index.append(np.full(len(who), is_index))
@@ -296,19 +280,14 @@ def letter_parity(line: str) -> int:
 def _texts_of(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """``id, line, n_chars, letters`` of the given line ids."""
     ids = cut_lineage(ids)
-    word, bit = F.expr(f"(id >> 7) & {FILTER_WORDS - 1}"), F.expr("shiftleft(1L, cast((id >> 1) & 63 as int))")
-    words = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
-    table = np.zeros(FILTER_WORDS, np.int64)
-    table[[r["word"] for r in words]] = [r["bits"] for r in words]
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    shared = bounded_filter(ids.select(F.shiftright("id", 1).alias("h")), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 lines = _distinct_lines(whole.slice(start, 512), least)
                 found = np.array([line_id(x) & -2 for x in lines], np.int64)
-                maybe = (shared.value[(found >> 7) & (FILTER_WORDS - 1)] >> ((found >> 1) & 63)) & 1
-                chosen = np.flatnonzero(maybe).tolist()
+                chosen = np.flatnonzero(maybe_in(shared.value, found >> 1)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[chosen]), pa.array([lines[k] for k in chosen], pa.string()),
                      pa.array([len(lines[k]) for k in chosen], pa.int32()), pa.array([letter_parity(lines[k]) for k in chosen], pa.int64())],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, lines, mixing, quality, topk, warc
+from usagelens.llm import covertree, lines, minhash, mixing, quality, topk, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -103,6 +103,11 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payloa
 FROM page LEFT JOIN firsts USING (digest)"""
 
 
+@query
+def op6_minhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, folder, "labels"))
