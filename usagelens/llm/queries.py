@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, lines, minhash, mixing, packing, quality, topk, warc
+from usagelens.llm import covertree, lines, minhash, mixing, packing, quality, topk, toxicity, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -104,6 +104,14 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payloa
 FROM page LEFT JOIN firsts USING (digest)"""
 
 
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    machine = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_minhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
