@@ -4,22 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from usagelens.llm import mixing
-from usagelens.llm.common import table
+from usagelens.llm import lines, minhash, mixing, packing, quality
+from usagelens.llm.common import importable, table
 from usagelens.sources.workspace import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that read like trusted text of their language; those the classifier rejects go."""
+    trusted = quality.trusted_ids(table(spark, folder, "labels"))
+    rejected = quality.classify(docs, trusted).where("NOT kept").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each line once in the corpus, at its first place; a document all of whose lines went goes too."""
+    importable(spark)
+    left = lines.without_repeats(docs, lines.line_classes(docs))
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies."""
+    importable(spark)
+    return minhash.without_copies(docs, minhash.near_duplicates(docs)).select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn; a document is as many rows as the mix takes it times."""
+    importable(spark)
     return mixing.mixed_documents(docs, mixing.mix_sources(docs))
 
 
+def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Where each token piece lies in the training sequences."""
+    importable(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("near_copies", drop_near_copies),
     ("mix", mix),
+    ("pack", pack),
 ]
 
 #: The stages learn models, join by edit distance and cut tokens, which SQL cannot state.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, lines, minhash, mixing, packing, quality, topk, toxicity, warc
+from usagelens.llm import covertree, lines, minhash, mixing, packing, quality, secrets, topk, toxicity, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -123,6 +123,12 @@ def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    learn_from = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True))
+    return secrets.scan(table(spark, folder, "documents"), learn_from=learn_from)
+
+
 @query
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, folder, "labels"))
