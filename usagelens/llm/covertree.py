@@ -16,6 +16,9 @@ from usagelens.sources.workspace import cut_lineage
 
 #: Slack of the bounds against rounding; pairs between the bounds are always computed.
 SLACK = 1e-9
+#: Row pairs that are computed at once rather than by way of their nodes, and the share of a node
+#: pair's row pairs left by the bounds from which on all of them are.
+SMALL, DENSE = 4_096, 0.01
 #: Levels below the widest node, each of half the radius.
 DEPTH = 6
 
@@ -84,12 +87,21 @@ def build_tree(unit: np.ndarray, depth: int = DEPTH) -> Tree:
 
 
 def _cover(unit: np.ndarray, rows: np.ndarray, radius: float) -> list[np.ndarray]:
-    parts = []
-    while len(rows):
-        near = _distance(unit[rows], unit[rows[:1]])[:, 0] <= radius
-        near[0] = True
-        parts.append(rows[near])
-        rows = rows[~near]
+    """Greedy cover of rows by balls around rows, in their order. Distances are computed for many rows at a time."""
+    least, parts = 1 - radius**2 / 2, []
+    open_rows = np.ones(len(rows), bool)
+    for s in range(0, len(rows), 256):
+        chunk = np.flatnonzero(open_rows[s: s + 256]) + s
+        if not len(chunk):
+            continue
+        later = np.flatnonzero(open_rows)
+        near = unit[rows[chunk]] @ unit[rows[later]].T >= least
+        for k, i in enumerate(chunk.tolist()):
+            if open_rows[i]:
+                mine = later[near[k] & open_rows[later]]
+                mine = np.concatenate([[i], mine[mine != i]])
+                open_rows[mine] = False
+                parts.append(rows[mine])
     return parts
 
 
@@ -139,7 +151,8 @@ def traverse(raw: np.ndarray, a: Tree, b: Tree, shift: int, threshold: float, li
     ``raw`` has the rows of ``a`` and, from ``shift`` on, those of ``b``. Pairs of nodes whose
     centres are farther apart than both covering radii and the limit are dropped; pairs that
     lie within the limit as a whole are added without looking at their rows; of the rest, the
-    children are paired. Single rows left over are compared by their cosine.
+    children are paired. Small pairs of nodes, and those of which the bounds leave much, are
+    multiplied out. What comes near the limit is compared by its cosine.
     """
     norm = np.linalg.norm(raw, axis=1)
     unit = raw / norm[:, None]
@@ -152,47 +165,51 @@ def traverse(raw: np.ndarray, a: Tree, b: Tree, shift: int, threshold: float, li
             linked = np.einsum("ij,ij->i", raw[p], raw[q]) / (norm[p] * norm[q]) >= threshold
             links.pairs(p[linked], q[linked])
 
-    def blocks(i: np.ndarray, j: np.ndarray, own: bool) -> None:
+    def dense(m: int, n: int) -> None:
+        own = same and m == n
+        i, j = np.arange(a.start[m], a.end[m]), shift + np.arange(b.start[n], b.end[n])
         for s in range(0, len(i), 1_024):
-            close = _distance(unit[i[s: s + 1_024]], unit[j]) <= limit + SLACK
+            part = i[s: s + 1_024]
+            p, q = np.nonzero(unit[part] @ unit[j].T >= 1 - (limit + SLACK) ** 2 / 2)
             if own:
-                close &= i[s: s + 1_024, None] < j[None]
-            p, q = np.nonzero(close)
-            compare(i[s: s + 1_024][p], j[q])
+                p, q = p[part[p] < j[q]], q[part[p] < j[q]]
+            compare(part[p], j[q])
 
+    size_a, size_b = a.end - a.start, b.end - b.start
     stack = [(0, 0)] if len(a.centre) and len(b.centre) else []
     while stack:
         m, n = stack.pop()
         own = same and m == n
         inner_a, inner_b = a.last[m] > 0, b.last[n] > 0
-        if not inner_a and not inner_b:
-            blocks(np.arange(a.start[m], a.end[m]), shift + np.arange(b.start[n], b.end[n]), own)
+        if not inner_a and not inner_b or size_a[m] * size_b[n] <= SMALL:
+            dense(m, n)
             continue
         ours = np.arange(a.child[m], a.last[m]) if inner_a else np.array([m])
         theirs = np.arange(b.child[n], b.last[n]) if inner_b else np.array([n])
+        found = []
         for s in range(0, len(ours), 1_024):
             part = ours[s: s + 1_024]
-            apart = _distance(unit[a.centre[part]], unit[shift + b.centre[theirs]])
+            dots = unit[a.centre[part]] @ unit[shift + b.centre[theirs]].T
             reach = a.radius[part][:, None] + b.radius[theirs][None]
-            p, q = np.nonzero(apart <= limit + reach + SLACK)
+            p, q = np.nonzero(dots >= 1 - (limit + reach + SLACK) ** 2 / 2)
             if own:
                 p, q = p[part[p] <= theirs[q]], q[part[p] <= theirs[q]]
-            x, y = part[p], theirs[q]
-            whole = apart[p, q] + reach[p, q] <= limit - SLACK
-            single = ~whole & (a.end[x] - a.start[x] == 1) & (b.end[y] - b.start[y] == 1)
-            if own:
-                single &= x != y
-            compare(a.start[x[single]], shift + b.start[y[single]])
-            for i, j, all_linked in zip(x[~single].tolist(), y[~single].tolist(), whole[~single].tolist()):
-                if own and i == j:
-                    if a.end[i] - a.start[i] == 1:
-                        continue
-                    if all_linked:
-                        links.within(np.arange(a.start[i], a.end[i]))
-                        continue
-                elif all_linked:
-                    links.product(np.arange(a.start[i], a.end[i]), shift + np.arange(b.start[j], b.end[j]))
-                    continue
+            whole = np.sqrt(np.maximum(0, 2 - 2 * dots[p, q])) + reach[p, q] <= limit - SLACK
+            found.append((part[p], theirs[q], whole))
+        x, y, whole = (np.concatenate(f) for f in zip(*found))
+        if len(x) > 64 and (size_a[x] * size_b[y])[~whole].sum() > DENSE * size_a[m] * size_b[n]:
+            # The bounds hold off too little here for their price.
+            dense(m, n)
+            continue
+        for i, j, all_linked in zip(x.tolist(), y.tolist(), whole.tolist()):
+            if own and i == j:
+                if size_a[i] > 1 and all_linked:
+                    links.within(np.arange(a.start[i], a.end[i]))
+                elif size_a[i] > 1:
+                    stack.append((i, j))
+            elif all_linked:
+                links.product(np.arange(a.start[i], a.end[i]), shift + np.arange(b.start[j], b.end[j]))
+            else:
                 stack.append((i, j))
 
 
