@@ -20,27 +20,17 @@ from usagelens.plans import latency, layouts, quality, tables
 from usagelens.sources.workspace import cut_lineage
 
 
-def _fresh(plan: DataFrame) -> DataFrame:
-    """The same plan to be run anew: one that has run would hand out its finished shuffles."""
-    return plan.select("*")
+def _base(r: Roles) -> DataFrame:
+    return bases.activity_base(r.extracts(), PERIOD, SETTINGS)
 
 
-def _base(r: Roles, created: bool = False) -> DataFrame:
-    plan = r.plan(f"base {created}", lambda: bases.activity_base(r.extracts(created), PERIOD, SETTINGS))
-    return _fresh(plan)
+def _entitled(r: Roles) -> DataFrame:
+    return bases.entitlement_base(r.extracts(), SETTINGS)
 
 
-def _entitled(r: Roles, created: bool = False) -> DataFrame:
-    extracts = r.extracts(created, last_login=False)
-    return _fresh(r.plan(f"entitled {created}", lambda: bases.entitlement_base(extracts, SETTINGS)))
-
-
-def _two_systems(r: Roles, created: bool = False) -> DataFrame:
-    def build() -> DataFrame:
-        extracts = replace(r.extracts(created, last_login=False), marketing=r.marketing_accounts(), social=None)
-        return bases.entitlement_base(extracts, SETTINGS, two_systems=True)
-
-    return _fresh(r.plan(f"two systems {created}", build))
+def _two_systems(r: Roles) -> DataFrame:
+    extracts = replace(r.extracts(), marketing=r.marketing_accounts(), social=None)
+    return bases.entitlement_base(extracts, SETTINGS, two_systems=True)
 
 
 def _table(r: Roles) -> DataFrame:
@@ -61,7 +51,7 @@ def _dates_as_text(df: DataFrame) -> DataFrame:
     "base",
 )
 def activity_base(r):
-    return _dates_as_text(_base(r, created=True))
+    return _dates_as_text(_base(r))
 
 
 @query(
@@ -141,12 +131,12 @@ def units_per_product(r):
     "base",
 )
 def unit_first_month(r):
-    first = tables.unit_first_month(_base(r, created=True))
+    first = tables.unit_first_month(_base(r))
     return first.withColumns({c: F.col(c).cast("long") for c in ("first_month", "first_year")})
 
 
 def _mean_days(r: Roles, *keys: str) -> DataFrame:
-    accounts = latency.first_logins(r.users(created=True), r.login_history(), CREATED_SINCE)
+    accounts = latency.first_logins(r.users(), r.login_history(), CREATED_SINCE)
     means = latency.mean_days(accounts, keys)
     return means.withColumns({
         "create_month": F.col("create_month").cast("long"),
@@ -317,7 +307,7 @@ _USERS_WIDE = f"""
     "two_systems",
 )
 def product_users_wide(r):
-    return _dates_as_text(layouts.product_users_wide(_two_systems(r, created=True), _WIDE_PRODUCTS))
+    return _dates_as_text(layouts.product_users_wide(_two_systems(r), _WIDE_PRODUCTS))
 
 
 @query(
@@ -464,7 +454,7 @@ def monthly_activity(r):
     "entitled",
 )
 def entitlement_base(r):
-    return _dates_as_text(_entitled(r, created=True))
+    return _dates_as_text(_entitled(r))
 
 
 @query(
@@ -532,7 +522,7 @@ def null_count_filter(r):
     "users assignments mapping",
 )
 def last_login_users_by_product(r):
-    users = bases.base_users(bases.users_with_last_login(r.users(last_login=True), PERIOD), SETTINGS)
+    users = bases.base_users(bases.users_with_last_login(r.users(), PERIOD), SETTINGS)
     users = users.select(F.col("id").alias("sf_user_id"), F.col("profile_name").alias("sf_profile"))
     products = bases.user_products(users, r.assignments(), r.mapping())
     products = products.withColumn("sf_product", F.explode("sf_products"))

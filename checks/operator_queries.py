@@ -29,7 +29,7 @@ from usagelens.sources.workspace import fresh_path
     "users",
 )
 def calendar_month_filter(r):
-    users = filters.in_period(r.users(last_login=True), "last_login_ts", PERIOD)
+    users = filters.in_period(r.users(), "last_login_ts", PERIOD)
     users = users.where(F.col("profile_name").isin(list(SETTINGS.base_profiles)))
     return users.select("id", "profile_name", F.date_format("last_login_ts", "yyyy-MM-dd").alias("last_login"))
 
@@ -175,8 +175,7 @@ def full_join_licensed(r):
 )
 def full_join_null_keys(r):
     contacts, report = r.contacts().select("net_id", "id"), r.report("click")
-    heavy = joins.heavy_keys(contacts, None, "net_id")
-    return joins.keyed_join(contacts, report, "net_id", "full", heavy=heavy)
+    return joins.keyed_join(contacts, report, "net_id", "full")
 
 
 @query(
@@ -186,10 +185,9 @@ def full_join_null_keys(r):
     "contacts marketing",
 )
 def full_join_split_keys(r):
-    """The same join with every key of more than one row treated as heavy, the null key above all."""
+    """The same join in the form whose left side Spark can split: the report has one row per key, the null key too."""
     contacts, report = r.contacts().select("net_id", "id"), r.report("click")
-    heavy = joins.heavy_keys(contacts, report, "net_id", min_rows=2)
-    return joins.keyed_join(contacts, report, "net_id", "full", heavy=heavy)
+    return joins.keyed_join(contacts, report, "net_id", "full", right_unique=True)
 
 
 @query(
@@ -430,7 +428,7 @@ def ordinal_columns(r):
 @query("U7", "SELECT event_type, event_id, value FROM events")
 def nest_unnest(r):
     events = r.table("events").select("event_type", "event_id", "value")
-    nested = reshape.nest(events, ["event_type"], per_list=500)
+    nested = reshape.nest(events, ["event_type"], parts=16)
     return reshape.unnest(nested, ["event_type"])
 
 
@@ -439,7 +437,7 @@ def nest_unnest(r):
     """SELECT event_type, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY event_type""",
 )
 def nested_group_sizes(r):
-    nested = reshape.nest(r.table("events").select("event_type", "event_id"), ["event_type"], per_list=500)
+    nested = reshape.nest(r.table("events").select("event_type", "event_id"), ["event_type"], parts=16)
     return nested.groupBy("event_type").agg(
         F.sum(F.size("rows")).alias("n"), F.min(F.array_min("rows.event_id")).alias("first_event")
     )

@@ -20,11 +20,11 @@ VIEWS = {
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "contacts": """
         SELECT c_custkey * 10 + 1 AS id, c_custkey AS user_id,
-               CASE WHEN c_custkey % 17 <> 0 THEN 'u' || c_custkey END AS net_id,
-               CASE WHEN c_custkey % 13 <> 0 THEN 'u' || c_custkey || '@example.com' END AS email,
+               CASE WHEN c_custkey % 17 <> 0 THEN if(c_custkey % 10 <> 0, 'u', 'c') || c_custkey END AS net_id,
+               CASE WHEN c_custkey % 13 <> 0 THEN if(c_custkey % 10 <> 0, 'u', 'c') || c_custkey || '@example.com' END AS email,
                'Dept ' || (c_custkey % 12) AS primary_department,
                CASE WHEN c_custkey % 4 = 0 THEN 'staff' WHEN c_custkey % 4 = 1 THEN 'student' END AS primary_type
-        FROM customer WHERE c_custkey % 10 <> 0""",
+        FROM customer""",
     "login_history": "SELECT user_id, ts AS login_ts, event_type AS login_type FROM events",
     "seen": """
         SELECT event_type, user_id,
@@ -39,17 +39,17 @@ VIEWS = {
         SELECT net_id, strftime(max(day), '%-m/%-d/%Y') AS max_timestamp
         FROM seen WHERE event_type = 'signup' GROUP BY net_id""",
     "marketing_accounts": """
-        SELECT DISTINCT CASE WHEN user_id % 9 = 0 THEN 'u' || user_id
-                             ELSE 'u' || user_id || '@mail.example.com' END AS email,
+        SELECT DISTINCT CASE WHEN user_id % 9 = 0 THEN if(user_id % 2 = 0, 'u', 'v') || user_id
+                             ELSE if(user_id % 2 = 0, 'u', 'v') || user_id || '@mail.example.com' END AS email,
                'Account ' || user_id AS name
-        FROM events WHERE event_type = 'click' AND user_id % 2 = 0""",
+        FROM events WHERE event_type = 'click'""",
     "assignments": """
         SELECT o_custkey AS assignee_id, l_partkey AS permission_name
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "mapping": """
-        SELECT p_partkey AS permission_name, CASE WHEN p_size % 9 <> 0 THEN CAST(p_size AS BIGINT) END AS n,
+        SELECT if(p_size <= 25, p_partkey, -p_partkey) AS permission_name, CASE WHEN p_size % 9 <> 0 THEN CAST(p_size AS BIGINT) END AS n,
                p_type AS product
-        FROM part WHERE p_size <= 25""",
+        FROM part""",
     "affiliations": """
         SELECT c_custkey * 10 + 1 AS contact_id, c_custkey % 7 <> 0 AS is_primary, n_name AS account_name,
                r_name AS parent_organization
@@ -58,11 +58,12 @@ VIEWS = {
     "units": """
         SELECT DISTINCT contact_id, parent_organization, account_name FROM affiliations WHERE is_primary""",
     "licensed": """
-        SELECT 'u' || c_custkey || '@example.com' AS username, c_custkey AS user_id, c_mktsegment AS profile,
+        SELECT if(c_custkey % 3 = 0, 'u', 'l') || c_custkey || '@example.com' AS username,
+               if(c_custkey % 3 = 0, c_custkey, -c_custkey) AS user_id, c_mktsegment AS profile,
                strftime(max(o_orderdate), '%-m/%-d/%Y %-H:%M') AS last_login,
                strftime(min(o_orderdate), '%-m/%-d/%Y %-H:%M') AS created_date
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-        WHERE c_custkey % 3 = 0 GROUP BY c_custkey, c_mktsegment""",
+        GROUP BY c_custkey, c_mktsegment""",
     "mc": """
         SELECT net_id, 'MC' AS mc_profile, CAST(strptime(max_timestamp, '%m/%d/%Y') AS DATE) AS mc_last_login
         FROM marketing

@@ -1,14 +1,13 @@
 """The driver tables in the role of the source tables of ``usagelens.sources.schemas``.
 
-Invented ids and gaps: every tenth customer is a user without person id, every seventeenth
-contact has none, every twenty-fifth report row neither, and every third report user was last
+Invented ids and gaps: every tenth customer is a user without person id, and its contact is
+another person; every seventeenth contact has no person id, every twenty-fifth report row neither, and every third report user was last
 seen a month earlier. ``checks.oracles`` states the same views in SQL.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,37 +43,18 @@ SETTINGS = KpiSettings(
 class Roles:
     """Role views over the Parquet files of one folder. Views are plans; nothing is computed here."""
 
-    _known: dict[tuple[str, str], Roles] = {}
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._plans: dict[str, DataFrame] = {}
-
-    @classmethod
-    def of(cls, spark: SparkSession, folder: str) -> Roles:
-        """The views of a folder, analysed once per application."""
-        place = (spark.sparkContext.applicationId, folder)
-        if place not in cls._known:
-            cls._known[place] = cls(spark, folder)
-        return cls._known[place]
-
-    def plan(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._plans:
-            self._plans[name] = build()
-        return self._plans[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.plan(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def people(self) -> DataFrame:
         """Customers with their nation and region: a lookup along a two-step path."""
         places = self.table("nation").join(self.table("region"), F.expr("n_regionkey = r_regionkey"), "left")
         return self.table("customer").join(places, F.expr("c_nationkey = n_nationkey"), "left")
 
-    def users(self, created: bool = False, last_login: bool = False) -> DataFrame:
-        return self.plan(f"users {created} {last_login}", lambda: self._users(created, last_login))
-
-    def _users(self, created: bool, last_login: bool) -> DataFrame:
+    def users(self) -> DataFrame:
         nations = self.table("nation").select("n_nationkey", "n_name")
         users = self.table("customer").join(nations, F.expr("c_nationkey = n_nationkey"), "left").selectExpr(
             "c_custkey AS id",
@@ -86,27 +66,19 @@ class Roles:
             "concat(n_name, ' team') AS role_name",
             "c_acctbal > 0 AS is_active",
         )
-        if created:
-            dates = self.table("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_ts"))
-            users = users.join(dates.withColumnRenamed("o_custkey", "id"), "id", "left")
-        else:
-            users = users.selectExpr("*", "CAST(NULL AS timestamp_ntz) AS created_ts")
-        if last_login:
-            seen = self.table("events").groupBy("user_id").agg(F.max("ts").alias("last_login_ts"))
-            users = users.join(seen.withColumnRenamed("user_id", "id"), "id", "left")
-        else:
-            users = users.selectExpr("*", "CAST(NULL AS timestamp_ntz) AS last_login_ts")
-        return users
+        dates = self.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("created_ts"))
+        seen = self.table("events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_login_ts"))
+        return users.join(dates, "id", "left").join(seen, "id", "left")
 
     def contacts(self) -> DataFrame:
-        return self.plan("contacts", lambda: self.table("customer").where("c_custkey % 10 <> 0").selectExpr(
+        return self.table("customer").selectExpr(
             "c_custkey * 10 + 1 AS id",
             "c_custkey AS user_id",
-            "CASE WHEN c_custkey % 17 <> 0 THEN concat('u', c_custkey) END AS net_id",
-            "CASE WHEN c_custkey % 13 <> 0 THEN concat('u', c_custkey, '@example.com') END AS email",
+            "CASE WHEN c_custkey % 17 <> 0 THEN concat(if(c_custkey % 10 <> 0, 'u', 'c'), c_custkey) END AS net_id",
+            "CASE WHEN c_custkey % 13 <> 0 THEN concat(if(c_custkey % 10 <> 0, 'u', 'c'), c_custkey, '@example.com') END AS email",
             "concat('Dept ', c_custkey % 12) AS primary_department",
             "CASE WHEN c_custkey % 4 = 0 THEN 'staff' WHEN c_custkey % 4 = 1 THEN 'student' END AS primary_type",
-        ))
+        )
 
     def login_history(self) -> DataFrame:
         return self.table("events").selectExpr("user_id", "ts AS login_ts", "event_type AS login_type")
@@ -114,7 +86,7 @@ class Roles:
     def report(self, event_type: str, key: str = "net_id") -> DataFrame:
         """Last day per person as text, one row per person id or, with ``key="email"``, per email."""
         domain = "" if key == "net_id" else ", '@example.com'"
-        return self.plan(f"report {event_type} {key}", lambda: (
+        return (
             self.table("events")
             .where(F.col("event_type") == event_type)
             .selectExpr(
@@ -124,14 +96,14 @@ class Roles:
             .groupBy(key)
             .agg(F.max("day").alias("day"))
             .selectExpr(key, "date_format(day, 'M/d/yyyy') AS max_timestamp")
-        ))
+        )
 
     def marketing_accounts(self) -> DataFrame:
         """Accounts by email, every ninth without a domain, some without a user."""
-        rows = self.table("events").where("event_type = 'click' AND user_id % 2 = 0")
+        rows = self.table("events").where("event_type = 'click'")
         return rows.select("user_id").distinct().selectExpr(
-            """CASE WHEN user_id % 9 = 0 THEN concat('u', user_id)
-                    ELSE concat('u', user_id, '@mail.example.com') END AS email""",
+            """CASE WHEN user_id % 9 = 0 THEN concat(if(user_id % 2 = 0, 'u', 'v'), user_id)
+                    ELSE concat(if(user_id % 2 = 0, 'u', 'v'), user_id, '@mail.example.com') END AS email""",
             "concat('Account ', user_id) AS name",
         )
 
@@ -142,8 +114,8 @@ class Roles:
         return joined.selectExpr("o_custkey AS assignee_id", "l_partkey AS permission_name")
 
     def mapping(self) -> DataFrame:
-        return self.table("part").where("p_size <= 25").selectExpr(
-            "p_partkey AS permission_name",
+        return self.table("part").selectExpr(
+            "if(p_size <= 25, p_partkey, -p_partkey) AS permission_name",
             "CASE WHEN p_size % 9 <> 0 THEN CAST(p_size AS bigint) END AS n",
             "p_type AS product",
         )
@@ -157,14 +129,13 @@ class Roles:
         )
 
     def licensed(self) -> DataFrame:
-        """Every third customer as a licence, with text dates."""
+        """A licence for each customer, two of three of them of other people, with text dates."""
         spans = self.table("orders").groupBy("o_custkey").agg(
             F.max("o_orderdate").alias("last"), F.min("o_orderdate").alias("first")
         )
-        rows = self.table("customer").where("c_custkey % 3 = 0")
-        return rows.join(spans, F.expr("c_custkey = o_custkey"), "left").selectExpr(
-            "concat('u', c_custkey, '@example.com') AS username",
-            "c_custkey AS user_id",
+        return self.table("customer").join(spans, F.expr("c_custkey = o_custkey"), "left").selectExpr(
+            "concat(if(c_custkey % 3 = 0, 'u', 'l'), c_custkey, '@example.com') AS username",
+            "if(c_custkey % 3 = 0, c_custkey, -c_custkey) AS user_id",
             "c_mktsegment AS profile",
             "date_format(last, 'M/d/yyyy H:mm') AS last_login",
             "date_format(first, 'M/d/yyyy H:mm') AS created_date",
@@ -174,10 +145,10 @@ class Roles:
         """Several organisations per user."""
         return self.table("orders").selectExpr("o_custkey AS user_key", "o_orderpriority AS parent_organization")
 
-    def extracts(self, created: bool = False, last_login: bool = True) -> Extracts:
+    def extracts(self) -> Extracts:
         return Extracts(
             contacts=self.contacts(),
-            users=self.users(created, last_login),
+            users=self.users(),
             login_history=self.login_history(),
             affiliations=self.affiliations(),
             assignments=self.assignments(),

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from usagelens.operators import joins
 
-HOWS = ["inner", "left", "right", "full", "left_semi", "left_anti"]
 
 
 @pytest.fixture(scope="module")
@@ -32,33 +31,16 @@ def test_null_keys_pair_or_stay_apart(spark, rows):
 
 
 @pytest.mark.parametrize("null_match", [True, False])
-@pytest.mark.parametrize("how", HOWS)
-def test_split_join_equals_plain_join(sides, rows, how, null_match):
+def test_full_join_on_a_unique_right_side_equals_the_plain_one(sides, rows, null_match):
     left, right = sides
-    heavy = joins.heavy_keys(left, right, ("k", "key"), min_rows=10)
-    assert {h.value for h in heavy} >= {"hot", None, "big_right", "only_left"}
-    plain = joins.keyed_join(left, right, [("k", "key")], how, null_match)
-    split = joins.keyed_join(left, right, [("k", "key")], how, null_match, heavy)
-    assert split.columns == plain.columns
-    assert rows(split) == rows(plain)
+    right = right.groupBy("key").agg(F.max("w").alias("w"))
+    plain = joins.keyed_join(left, right, [("k", "key")], "full", null_match)
+    other = joins.keyed_join(left, right, [("k", "key")], "full", null_match, right_unique=True)
+    assert other.columns == plain.columns
+    assert rows(other) == rows(plain)
+    assert "FullOuter" not in other._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("how", HOWS)
-def test_split_join_does_not_rely_on_heavy_keys_being_there(sides, rows, how):
-    left, right = sides
-    heavy = [joins.HeavyKey("nowhere", True), joins.HeavyKey("only_left", False), joins.HeavyKey(None, True)]
-    left = left.where("k IS NOT NULL")
-    plain = joins.keyed_join(left, right, [("k", "key")], how)
-    assert rows(joins.keyed_join(left, right, [("k", "key")], how, heavy=heavy)) == rows(plain)
-
-
-def test_heavy_keys_of_one_side(sides):
-    left, _ = sides
-    sizes = {r["k"]: r["count"] for r in left.groupBy("k").count().collect()}
-    heavy = joins.heavy_keys(left, None, "k", min_rows=30)
-    assert {h.value for h in heavy} == {k for k, n in sizes.items() if n >= 30}
-    assert all(h.left_larger for h in heavy)
-
 
 def test_composite_keys_match_null_with_null(spark, rows):
     left = spark.createDataFrame([("a", None, 1), ("a", "b", 2)], "x string, y string, v int")
@@ -91,9 +73,3 @@ def test_value_grid(spark):
     grid = joins.value_grid(df, mean=[1, 2, 3], sd=[1, 2])
     assert grid.distinct().count() == 12
     assert "CartesianProduct" not in grid._jdf.queryExecution().toString()
-
-
-def test_salts_are_repeatable(sides, rows):
-    left, _ = sides
-    salted = joins._salted(left, F.lit(True))
-    assert rows(salted) == rows(salted.repartition(7))

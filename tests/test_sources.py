@@ -1,6 +1,7 @@
 import subprocess
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,13 +122,34 @@ print("FOLDER", workspace.shared_folder(spark), workspace.fresh_path(spark, "x")
 print("FILES", workspace.cut_lineage(spark.range(5)).inputFiles()[0])
 """
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120)
-    assert f"FOLDER {tmp_path} {tmp_path}/x-" in done.stdout, done.stderr
-    assert f"FILES file://{tmp_path}/kept-" in done.stdout
+    assert f"FOLDER {tmp_path} {tmp_path}/work-" in done.stdout, done.stderr
+    assert f"FILES file://{tmp_path}/work-" in done.stdout and "/kept-" in done.stdout
+
+
+def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
+    names = ['Ann "A", B', "two\nlines", "plain", 'a "quoted" word']
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id string, name string")
+    path = writers.write_table(df.coalesce(1), str(tmp_path), "people", Period(2022, 1))
+    back = readers.read_csv(spark, path, df.schema)
+    assert sorted(r["name"] for r in back.collect()) == sorted(names)
+    found = duckdb.sql(f"SELECT name FROM read_csv('{path}/*.csv', header = true, all_varchar = true)").fetchall()
+    assert sorted(n for n, in found) == sorted(names)
+
+
+def test_reports_of_any_day_and_names_without_a_date(spark, tmp_path):
+    folder = tmp_path / "2022 Reports" / "January 2022"
+    folder.mkdir(parents=True)
+    schema = schemas.SCHEMAS["social_logins"]
+    line = ",".join(schema.fieldNames()) + "\n" + ",".join("x" for _ in schema.fields) + "\n"
+    for name in ("social-2022-02-25.csv", "social-old.csv"):
+        (folder / name).write_text(line)
+    months = {r["report_month"] for r in readers.read_reports(spark, str(tmp_path), "social", "social_logins").collect()}
+    assert months == {"2022-01", None}
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert workspace.shared_folder(spark) == named if named else "usagelens-" in workspace.shared_folder(spark)
+    assert workspace.shared_folder(spark) == named if named else "usagelens-work" in workspace.shared_folder(spark)
     kept = workspace.cut_lineage(spark.range(5).selectExpr("id * 2 AS n"))
     assert kept.count() == 5 and "Range" not in kept._jdf.queryExecution().toString()
 

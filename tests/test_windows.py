@@ -14,10 +14,7 @@ def table(spark):
     return spark.createDataFrame(data, "g string, x int, id int")
 
 
-@pytest.mark.parametrize("limit", [100_000, 2])
-def test_group_stats_equal_window(table, rows, monkeypatch, limit):
-    monkeypatch.setattr(windows, "BROADCAST_GROUPS", limit)
-    monkeypatch.setattr(windows, "HEAVY_LIMIT", 2)
+def test_group_stats_equal_window(table, rows):
     got = windows.with_group_stats(table, ["g"], total=F.sum("x"), n=F.count(F.lit(1)))
     place = Window.partitionBy("g")
     want = table.withColumns({"total": F.sum("x").over(place), "n": F.count(F.lit(1)).over(place)})

@@ -1,77 +1,38 @@
-"""Equi-joins with explicit null-key matching, clash checks and splitting of heavy keys.
+"""Equi-joins with explicit null-key matching and clash checks.
 
 Spark splits a skewed side of an inner, left or anti join at run time, but never of a full
-outer join, and not where a later step relies on the join's partitioning. ``heavy_keys``
-measures such keys beforehand; ``keyed_join`` then joins them apart from the rest: the
-larger side is dealt over ``SALTS`` buckets and the matching rows of the other side are
-copied to each. Every row goes one of the two ways, so the result is the plain join's.
+outer join. Where the right side has one row per key, ``keyed_join`` writes a full join as a
+left join and an anti join, which it can split; both are lazy, and the plan is the same for
+any data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HEAVY_ROWS = 1_000_000
-HEAVY_LIMIT = 200
-SKETCHES = 256
 _RIGHT = "__right_"
 
 
-@dataclass(frozen=True)
-class HeavyKey:
-    value: object
-    left_larger: bool
-
-
-def heavy_keys(
-    left: DataFrame | None,
-    right: DataFrame | None,
-    on: str | tuple[str, str],
-    min_rows: int = HEAVY_ROWS,
-) -> list[HeavyKey]:
-    """The largest keys with about ``min_rows`` rows or more on one side, null counted as a key.
-
-    A scan of the key columns that shuffles sketches, not keys: frequent items per group of
-    tasks, then added up. At most ``HEAVY_LIMIT`` keys come back. The counts are estimates,
-    which is enough, for any choice of keys leaves the joined rows the same. A side that is
-    unique per key may be ``None``.
-    """
-    lk, rk = (on, on) if isinstance(on, str) else on
-    sides = [(left, lk, 1, 0), (right, rk, 0, 1)]
-    found = [_frequent(df, key).selectExpr("k", f"n * {l} AS l", f"n * {r} AS r") for df, key, l, r in sides if df is not None]
-    counts = reduce(lambda a, b: a.unionByName(b), found).groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    size = F.greatest("l", "r")
-    top = counts.where(size >= min_rows).orderBy(size.desc()).limit(HEAVY_LIMIT)
-    return [HeavyKey(row["k"], row["l"] >= row["r"]) for row in top.collect()]
-
-
-def _frequent(df: DataFrame, key: str) -> DataFrame:
-    tasks = F.pmod(F.spark_partition_id(), F.lit(SKETCHES))
-    top = F.expr(f"approx_top_k(k, {HEAVY_LIMIT}, {HEAVY_LIMIT * 10})")
-    sketched = df.select(F.col(key).alias("k")).groupBy(tasks).agg(top.alias("top"))
-    return sketched.select(F.inline("top")).toDF("k", "n")
-
-
 def keyed_join(
     left: DataFrame,
     right: DataFrame,
     on: str | Sequence[str | tuple[str, str]],
     how: str = "inner",
     null_match: bool = True,
-    heavy: Sequence[HeavyKey] = (),
+    right_unique: bool = False,
 ) -> DataFrame:
     """Join on ``on``: a name, or a list of names or ``(left, right)`` pairs.
 
     Key columns come out once, under the left name. ``null_match`` pairs null keys with null
-    keys. ``heavy`` applies to joins on one column. Other columns with equal names are an
-    error: rename them by role first (``select.with_role``).
+    keys. Other columns with equal names are an error: rename them by role first
+    (``select.with_role``). Say ``right_unique`` of a full join whose right side has one row per
+    key at most: it then is a left join, whose left side Spark can split, and the right rows
+    without partner.
     """
     pairs = [(p, p) if isinstance(p, str) else tuple(p) for p in ([on] if isinstance(on, str) else on)]
     keys = [lk for lk, _ in pairs]
@@ -80,17 +41,18 @@ def keyed_join(
         clash = sorted(set(left.columns) & set(right.columns))
         if clash:
             raise ValueError(f"columns on both sides: {clash}; rename them by role first")
-    if not heavy:
-        return _tidy(left.join(right, _match(keys, null_match), how), keys, how)
-    if len(keys) != 1:
-        raise ValueError("heavy keys need a join on one column")
-    return _split_join(left, right, keys, how, null_match, list(heavy))
+    match = _match(keys, null_match)
+    if how == "full" and right_unique:
+        matched = _tidy(left.join(right, match, "left"), keys, "left")
+        alone = right.join(left.select(keys), match, "left_anti").withColumnsRenamed({_RIGHT + k: k for k in keys})
+        return matched.unionByName(alone, allowMissingColumns=True)
+    return _tidy(left.join(right, match, how), keys, how)
 
 
 def unmatched(left: DataFrame, right: DataFrame, on, null_match: bool = True) -> DataFrame:
-    """Rows of ``left`` without partner. The right side shrinks to its distinct keys first."""
+    """Rows of ``left`` without partner. Only the key columns of the right side are read."""
     pairs = [(p, p) if isinstance(p, str) else tuple(p) for p in ([on] if isinstance(on, str) else on)]
-    return keyed_join(left, right.select([rk for _, rk in pairs]).distinct(), pairs, "left_anti", null_match)
+    return keyed_join(left, right.select([rk for _, rk in pairs]), pairs, "left_anti", null_match)
 
 
 def lookup(df: DataFrame, table: DataFrame, on, columns: Sequence[str]) -> DataFrame:
@@ -124,50 +86,3 @@ def _tidy(joined: DataFrame, keys: list[str], how: str) -> DataFrame:
     elif how == "full":
         joined = joined.withColumns({k: F.coalesce(k, _RIGHT + k) for k in keys})
     return joined.drop(*[_RIGHT + k for k in keys])
-
-
-def _split_join(left, right, keys, how, null_match, heavy):
-    (key,) = keys
-    left_is, right_is = _is_one_of(key, heavy), _is_one_of(_RIGHT + key, heavy)
-    match = _match(keys, null_match)
-    left_hot, right_hot = left.where(left_is), right.where(right_is)
-    # At most one row per heavy key, so at most HEAVY_LIMIT rows are broadcast.
-    left_keys = F.broadcast(left_hot.select(key).distinct())
-    right_keys = F.broadcast(right_hot.select(_RIGHT + key).distinct())
-
-    rest = _tidy(left.where(~left_is).join(right.where(~right_is), match, how), keys, how)
-    if how in ("left_semi", "left_anti"):
-        return rest.unionByName(left_hot.join(right_keys, match, how))
-
-    left_heavy = _is_one_of(key, [h for h in heavy if h.left_larger])
-    right_heavy = _is_one_of(_RIGHT + key, [h for h in heavy if not h.left_larger])
-    dealt = _salted(left_hot, left_heavy).join(
-        _salted(right_hot, right_heavy).withColumnRenamed("__salt", "__right_salt"),
-        match & (F.col("__salt") == F.col("__right_salt")),
-        "inner",
-    )
-    parts = [_tidy(dealt.drop("__salt", "__right_salt"), keys, "inner")]
-    if how in ("left", "full"):
-        parts.append(left_hot.join(right_keys, match, "left_anti"))
-    if how in ("right", "full"):
-        alone = right_hot.join(left_keys, match, "left_anti")
-        parts.append(alone.withColumnRenamed(_RIGHT + key, key))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, rest)
-
-
-def _salted(df: DataFrame, dealt: Column) -> DataFrame:
-    """Deal rows of ``dealt`` keys over the buckets, copy the others to each bucket.
-
-    The bucket is a hash of the row, so a recomputed task deals the same way.
-    """
-    one = F.array(F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    return df.withColumn("__salt", F.explode(F.when(dealt, one).otherwise(every)))
-
-
-def _is_one_of(name: str, heavy: list[HeavyKey]) -> Column:
-    """Membership that is true or false, never null."""
-    col = F.col(name)
-    values = [h.value for h in heavy if h.value is not None]
-    found = F.coalesce(col.isin(values), F.lit(False)) if values else F.lit(False)
-    return found | col.isNull() if len(values) < len(heavy) else found

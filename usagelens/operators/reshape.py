@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.operators.windows import with_group_stats
-
-MAX_WIDE = 2_000
 
 
 def stack(*tables: DataFrame) -> DataFrame:
@@ -27,11 +24,8 @@ def to_long(
 
 
 def wide_values(df: DataFrame, column: str) -> list:
-    """Distinct non-null values as headings, sorted. Too many for a wide table is an error."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_WIDE + 1).collect()
-    if len(rows) > MAX_WIDE:
-        raise ValueError(f"{column} has more than {MAX_WIDE} values; keep the long form")
-    return sorted(row[0] for row in rows)
+    """Distinct non-null values, sorted, as headings. They become columns; where there may be very many, keep the long form."""
+    return sorted(row[0] for row in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
 
 
 def marker_matrix(
@@ -56,12 +50,10 @@ def ordinal_wide(
     """Distinct values of each key side by side, in value order, nulls last: ``prefix_1 .. prefix_k``.
 
     ``width`` defaults to the largest number of values of one key. A smaller ``width`` keeps
-    the remaining values as a list in ``prefix_more``. Groups too large for a row are an error.
+    the remaining values as a list in ``prefix_more``; give one where a key may have very many.
     """
     pairs = df.select(key, value).distinct()
     widest = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if widest > MAX_WIDE:
-        raise ValueError(f"a {key} has {widest} values of {value}; keep the long form")
     width = widest if width is None else width
     # collect_list skips nulls, so a null value is carried in a struct.
     listed = pairs.groupBy(key).agg(
@@ -75,32 +67,21 @@ def ordinal_wide(
     return listed.select(key, *columns)
 
 
-def nest(df: DataFrame, keys: Sequence[str], name: str = "rows", per_list: int = 1_000) -> DataFrame:
-    """Rows of each group as a list of structs; equal rows are one struct with their ``copies``.
+def nest(df: DataFrame, keys: Sequence[str], name: str = "rows", parts: int = 1) -> DataFrame:
+    """Rows of each group as lists of structs, one list for each of up to ``parts`` parts of a group.
 
-    A group of more than ``per_list`` different rows is spread over several lists, numbered in
-    ``part``, by a hash of the row, so no task holds a whole large group.
+    ``part`` (from 0) is a hash of the row, so the layout depends on the rows and ``parts`` alone;
+    take more parts where a group may be too large for one task. Equal rows stay rows.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    merged = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
-    sized = with_group_stats(merged, keys, __size=F.count(F.lit(1)))
-    parts = F.ceil(F.col("__size") / per_list)
-    return (
-        sized.withColumn("part", F.pmod(F.xxhash64(*df.columns), parts))
-        .groupBy(*keys, "part")
-        .agg(F.collect_list(F.struct(*rest, "copies")).alias(name))
-    )
+    split = df.withColumn("part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    return split.groupBy(*keys, "part").agg(F.collect_list(F.struct(*rest)).alias(name))
 
 
 def unnest(df: DataFrame, keys: Sequence[str], name: str = "rows") -> DataFrame:
-    """Back to one row per nested row and copy. Copies are laid out block by block."""
-    block = 10_000
-    rows = df.select(*keys, F.inline(name))
-    starts = F.sequence(F.lit(0), F.col("copies") - 1, F.lit(block))
-    rows = rows.withColumn("__start", F.explode(starts))
-    inside = F.sequence(F.lit(1), F.least(F.lit(block), F.col("copies") - F.col("__start")))
-    return rows.withColumn("__copy", F.explode(inside)).drop("copies", "__start", "__copy")
+    """Back to one row per nested row."""
+    return df.select(*keys, F.inline(name))
 
 
 def normal_draws(grid: DataFrame, mean: Column, sd: Column, n: int, seed: int, name: str = "value") -> DataFrame:

@@ -12,38 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.operators.joins import HEAVY_LIMIT, SALTS, keyed_join
-from usagelens.sources.workspace import cut_lineage
-
-BROADCAST_GROUPS = 100_000
+from usagelens.operators.joins import keyed_join
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add aggregates of each row's group to the row, null keys forming a group of their own.
 
-    The group table is computed once and measured: up to ``BROADCAST_GROUPS`` groups are
-    broadcast; beyond that, only the largest groups are, and the rows of the others are joined
-    by key.
+    Groups are aggregated map-side and joined back; how, is left to their measured size.
     """
-    keys, names = list(keys), list(stats)
-    groups = cut_lineage(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *[s.alias(n) for n, s in stats.items()])
-    )
-    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return _attach(df, F.broadcast(groups.drop("__rows")), keys)
-
-    largest = groups.orderBy(F.col("__rows").desc()).limit(HEAVY_LIMIT).drop("__rows")
-    marked = largest.withColumnsRenamed({n: "__hot_" + n for n in names}).withColumn("__hot", F.lit(True))
-    rows = _attach(df, F.broadcast(marked), keys)
-    # Rows that found their group are spread out and meet nothing in the second join.
-    spread = F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(0)
-    rows = rows.withColumn("__salt", spread.cast("int"))
-    rows = _attach(rows, groups.drop("__rows").withColumn("__salt", F.lit(0)), keys + ["__salt"])
-    return rows.select(df.columns + [F.coalesce("__hot_" + n, n).alias(n) for n in names])
-
-
-def _attach(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    return keyed_join(rows, groups, keys, "left")
+    groups = df.groupBy(*keys).agg(*[s.alias(n) for n, s in stats.items()])
+    return keyed_join(df, groups, list(keys), "left")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -20,7 +20,7 @@ from usagelens.functions.nulls import any_present, not_in
 from usagelens.functions.period import Period
 from usagelens.functions.rules import fill_by_rules, replace_values
 from usagelens.functions.text import key_from_email
-from usagelens.operators.joins import HeavyKey, heavy_keys, keyed_join, lookup
+from usagelens.operators.joins import keyed_join, lookup
 from usagelens.settings import MARKETING_LABEL, SOCIAL_LABEL, KpiSettings
 
 DATES = ["mc_last_login", "social_last_login", "sf_last_login"]
@@ -99,8 +99,7 @@ def licensed_users(
     username or on the user id.
     """
     licences = licensed.withColumnsRenamed({c: f"licence_{c}" for c in licensed.columns if c != on[1]})
-    heavy = heavy_keys(users, licences, on) if how in ("right", "full") else []
-    return keyed_join(users, licences, [on], how, heavy=heavy).distinct()
+    return keyed_join(users, licences, [on], how).distinct()
 
 
 def base_users(users: DataFrame, settings: KpiSettings) -> DataFrame:
@@ -112,26 +111,24 @@ def base_users(users: DataFrame, settings: KpiSettings) -> DataFrame:
 def user_products(users: DataFrame, assignments: DataFrame, mapping: DataFrame) -> DataFrame:
     """Users whose permissions grant a product, with the list of those products.
 
-    Permissions become products, and equal products of one user merge, before users are joined.
-    A list is no longer than the product catalogue.
+    Only assignments of the given users are looked up; equal products of one user merge in one
+    aggregation, before users are joined. A list is no longer than the product catalogue.
     """
-    granted = lookup(assignments.select("assignee_id", "permission_name"), mapping, "permission_name", ["product"])
-    granted = granted.where(F.col("product").isNotNull()).select("assignee_id", "product").distinct()
-    per_user = granted.groupBy("assignee_id").agg(F.collect_list("product").alias("sf_products"))
+    chosen = assignments.select("assignee_id", "permission_name")
+    chosen = keyed_join(chosen, users.select("sf_user_id"), [("assignee_id", "sf_user_id")], "left_semi", null_match=False)
+    granted = lookup(chosen, mapping, "permission_name", ["product"]).where(F.col("product").isNotNull())
+    per_user = granted.groupBy("assignee_id").agg(F.collect_set("product").alias("sf_products"))
     return keyed_join(users, per_user, [("sf_user_id", "assignee_id")], "inner", null_match=False)
 
 
-def person_chain(reports: DataFrame, users: DataFrame, contacts: DataFrame, probe: DataFrame) -> DataFrame:
+def person_chain(reports: DataFrame, users: DataFrame, contacts: DataFrame, unique: bool = True) -> DataFrame:
     """Users full-joined to report rows on the person id, then contacts attached.
 
-    ``probe`` is a cheap table with the person ids of the users, to look for heavy ids in.
+    ``unique`` says that the reports have one row per id.
     """
     known = contacts.where(F.col("net_id").isNotNull())
-    heavy = heavy_keys(probe, known, "net_id")
-    # The reports have one row per id, so the users are the side to deal out.
-    dealt = [HeavyKey(h.value, left_larger=True) for h in heavy]
-    active = keyed_join(users, reports, "net_id", "full", heavy=dealt)
-    return keyed_join(active, known, "net_id", "left", null_match=False, heavy=heavy)
+    active = keyed_join(users, reports, "net_id", "full", right_unique=unique)
+    return keyed_join(active, known, "net_id", "left", null_match=False)
 
 
 def primary_units(affiliations: DataFrame) -> DataFrame:
@@ -152,7 +149,7 @@ def activity_base_of(users: DataFrame, extracts: Extracts, period: Period, setti
     """The same for users chosen in another way (``users_with_last_login``, ``licensed_users``)."""
     reports = report_logins(extracts.marketing, extracts.social, period)
     product_users = _product_users(users, extracts, settings)
-    chain = person_chain(reports, product_users, _contact_columns(extracts.contacts), extracts.users)
+    chain = person_chain(reports, product_users, _contact_columns(extracts.contacts))
     return _with_units(chain, extracts, settings)
 
 
@@ -166,11 +163,9 @@ def activity_base_by_email(extracts: Extracts, period: Period, settings: KpiSett
     marketing = _fold(_report_rows(extracts.marketing, "email", "mc", period), ["email"], {"mc": MARKETING_LABEL})
     social = _fold(_report_rows(extracts.social, "net_id", "social", period), ["net_id"], {"social": SOCIAL_LABEL})
     contacts = _contact_columns(extracts.contacts).where(F.col("net_id").isNotNull())
-    known = keyed_join(contacts, marketing, "email", "full", heavy=heavy_keys(contacts, None, "email"))
-    heavy = heavy_keys(extracts.users, contacts, "net_id")
-    dealt = [HeavyKey(h.value, left_larger=True) for h in heavy]
-    active = keyed_join(_product_users(users, extracts, settings), social, "net_id", "full", heavy=dealt)
-    chain = keyed_join(active, known, "net_id", "full", null_match=False, heavy=heavy)
+    known = keyed_join(contacts, marketing, "email", "full", right_unique=True)
+    active = keyed_join(_product_users(users, extracts, settings), social, "net_id", "full", right_unique=True)
+    chain = keyed_join(active, known, "net_id", "full", null_match=False)
     return _with_units(chain, extracts, settings)
 
 
@@ -221,7 +216,7 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
     else:
         reports, labels = report_logins(extracts.marketing, extracts.social, None), ["mc_profile", "social_profile"]
         fallback, kept = "user_name", []
-    chain = person_chain(reports.drop(*DATES), users, contacts, extracts.users)
+    chain = person_chain(reports.drop(*DATES), users, contacts, unique=not two_systems)
     chain = chain.where(not_in(F.col("profile_name"), settings.excluded_profiles))
     chain = chain.withColumn("user_key", F.coalesce(F.col("net_id"), F.col(fallback).cast("string")))
     if settings.excluded_user_keys:

@@ -31,7 +31,8 @@ def run_month(
     """Write the base table, then every report of the month from it. Returns the paths by table name."""
     base_path = snapshot(bases.activity_base(extracts, period, settings), out, "activity_base", period)
     base = read_snapshot(extracts.users.sparkSession, out, "activity_base", period)
-    accounts = latency.first_logins(extracts.users, extracts.login_history, created_since)
+    users = bases.base_users(bases.users_with_login(extracts.users, extracts.login_history, period), settings)
+    accounts = latency.first_logins(users, extracts.login_history, created_since)
     reports = {
         **tables.monthly_report(base, settings),
         "month_activity": tables.month_activity(base),

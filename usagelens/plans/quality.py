@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from usagelens.operators.counts import distinct_profile
 from usagelens.operators.filters import with_fewer_nulls
 from usagelens.operators.joins import keyed_join, unmatched
-from usagelens.operators.windows import first_per_key, repeats
+from usagelens.operators.windows import repeats
 from usagelens.plans.base import DATES
 
 
@@ -36,10 +36,18 @@ def reconcile(
     keys = list(keys)
     rest = [c for c in earlier.columns if c not in keys]
     if first_by:
-        earlier = first_per_key(earlier, [first_by], [F.col(c).asc_nulls_last() for c in keys + rest])
+        earlier = _least_row(earlier, [first_by], keys + rest)
     dated = with_fewer_nulls(earlier, DATES, limit=len(DATES))
-    first = first_per_key(dated, keys, [F.col(c).asc_nulls_last() for c in rest])
-    return keyed_join(first, current.select(keys).distinct(), keys, "left_semi")
+    first = _least_row(dated, keys, rest)
+    return keyed_join(first, current.select(keys), keys, "left_semi")
+
+
+def _least_row(table: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row per ``keys`` in the order of other columns, nulls last, by a partial aggregate."""
+    others = [c for c in order if c not in keys]
+    place = F.struct(*[x for c in others for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+    rows = table.groupBy(*keys).agg(F.min(place).alias("__first"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"__first.`{c}`").alias(c) for c in table.columns])
 
 
 def table_profile(table: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from usagelens.functions.rules import DefaultRule
 # Profile, role and product names that the KPI definitions are written in.
 BASE_PROFILES = ("Salesforce Base", "Advising Base", "Service Desk Base")
 ADMIN_PROFILE = "System Administrator"
-EXCLUDED_PROFILES = ("Marketing User", "System Administrator", "System User")
 MATRIX_PRODUCTS = ("Service Desk", "Marketing - SF", "Scheduling/Notes", "MC", "Social", "Events")
 MARKETING_LABEL = "MC"
 SOCIAL_LABEL = "Social"
@@ -29,11 +28,12 @@ DEFAULT_RULES = (
 
 @dataclass(frozen=True)
 class KpiSettings:
-    """``excluded_net_ids`` and ``net_id_overrides`` are the staff list and the id corrections."""
+    """``excluded_profiles`` (of the entitlement base), ``excluded_net_ids`` (staff) and ``net_id_overrides``
+    (id corrections) are the organisation's own; the first has to be stated."""
 
+    excluded_profiles: tuple[str, ...]
     base_profiles: tuple[str, ...] = BASE_PROFILES
     admin_profile: str = ADMIN_PROFILE
-    excluded_profiles: tuple[str, ...] = EXCLUDED_PROFILES
     excluded_net_ids: tuple[str, ...] = ()
     excluded_user_keys: tuple[str, ...] = ()
     net_id_overrides: Mapping[str, str] = field(default_factory=dict)

@@ -14,21 +14,25 @@ from usagelens.sources.schemas import ALIASES, SCHEMAS
 
 # Where monthly reports are filed.
 REPORT_LAYOUT = "{year} Reports/{month_name} {year}/{report}-{run}-01.csv"
-REPORT_PATTERN = "* Reports/*/{report}-*-01.csv"
+REPORT_PATTERN = "* Reports/*/{report}-*.csv"
 
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType, aliases: dict[str, str] | None = None,
-    empty_as_null: bool = True, source_file: str | None = None,
+    empty_as_null: bool = True, source_file: str | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Read by header name into ``schema``; text that does not parse becomes null.
 
     With ``empty_as_null`` empty text is null. Without it empty text stays empty and only
     ``NA`` is null. ``source_file`` names a column for the path of the file a row came from.
+    Quotes inside quoted text are doubled. ``multi_line`` allows line breaks in it, for which a
+    file is read by one task: turn it off, or land Parquet, where files are large.
     """
     raw = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
     named = normalise_names(raw)
@@ -82,13 +86,14 @@ def report_path(root: str, report: str, period: Period, layout: str = REPORT_LAY
 def read_reports(spark: SparkSession, root: str, report: str, table: str, pattern: str = REPORT_PATTERN) -> DataFrame:
     """All months of one report as a declared table, with ``source_file`` and ``report_month``.
 
-    The report month is the one before the run month in the file name. The month's files must
-    agree in their columns; Spark stops at one that does not.
+    The report month is the one before the run month in the file name, on whatever day of it
+    the report is stamped; null for a name without a date. Files whose columns differ from the
+    declared ones are to be read by ``read_source`` one by one.
     """
     path = f"{root.rstrip('/')}/{pattern.format(report=report)}"
     df = read_csv(spark, path, SCHEMAS[table], ALIASES.get(table), source_file="source_file")
-    run = F.regexp_extract("source_file", r"-(\d{4}-\d{2})-01\.csv(?:/|$)", 1)
-    month = F.add_months(F.to_date(F.concat(run, F.lit("-01"))), -1)
+    run = F.regexp_extract("source_file", r"-(\d{4}-\d{2})-\d{2}\.csv(?:/|$)", 1)
+    month = F.add_months(F.try_to_timestamp(F.concat(run, F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date"), -1)
     return df.withColumn("report_month", F.date_format(month, "yyyy-MM"))
 
 

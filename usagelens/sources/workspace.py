@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: All work files of one application lie in one folder, which ``drop_work_files`` removes.
+_RUN = f"work-{uuid.uuid4().hex}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder. Only a local session without one gets a folder of this machine."""
+    """The folder that the session names, as its setting or its checkpoint directory; only a local session may have none."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named
@@ -20,12 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="usagelens-"))
+    # A local master is one process, whose executors all see its temporary folder.
+    context.setCheckpointDir(f"{context._jvm.System.getProperty('java.io.tmpdir').rstrip('/')}/usagelens-work")
     return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_work_files(spark: SparkSession) -> bool:
+    """Remove the work files of this application; tables read from them are then gone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{_RUN}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

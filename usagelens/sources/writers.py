@@ -16,7 +16,7 @@ def write_table(df: DataFrame, root: str, name: str, period: Period, fmt: str =
     path = table_path(root, name, period)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
     return path
 
