@@ -44,7 +44,7 @@ def reconcile(
 
 def _least_row(table: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per ``keys`` in the order of other columns, nulls last, by a partial aggregate."""
-    others = [c for c in order if c not in keys]
+    others = [c for c in dict.fromkeys([*order, *table.columns]) if c not in keys]
     place = F.struct(*[x for c in others for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
     rows = table.groupBy(*keys).agg(F.min(place).alias("__first"))
     return rows.select(*[F.col(c) if c in keys else F.col(f"__first.`{c}`").alias(c) for c in table.columns])
