@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.common import trimmed
 from usagelens.sources.workspace import cut_lineage
 
 #: Terms are hashed into this many buckets.
@@ -121,7 +122,8 @@ def train(
     if last is None:
         return FactorizationMachine(np.zeros(0, np.int64), -7.0, np.zeros(0), np.zeros((0, 1)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.xxhash64("doc_id") <= last)
-    sample = cut_lineage(texts.join(chosen.select("doc_id", "toxic"), "doc_id").select("text", "toxic"))
+    # At most max_rows ids, so they may be broadcast.
+    sample = cut_lineage(texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("text", "toxic"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -134,7 +136,7 @@ def train(
 
     totals = sample.agg(F.count_if(F.col("toxic") > 0).cast("double"), F.count_if(F.col("toxic") <= 0).cast("double")).first()
     tox, clean = float(totals[0]), float(totals[1])
-    counted = sample.mapInArrow(occurrences, "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = sample.mapInArrow(trimmed(occurrences), "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     n = tox + clean
     part = lambda k, m: F.when(k > 0, k * F.log(k * n / m)).otherwise(0.0)
     t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
@@ -169,5 +171,5 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.7
             scores = [shared.value.score(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = rows.mapInArrow(trimmed(run), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
