@@ -53,9 +53,10 @@ def write_archives(
     page = page.join(copies, ["digest", "bytes"], "left")
     page = page.withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest")))
     page = page.withColumn("first_id", F.when(F.col("first").isNotNull(), _record_id(F.col("first.page_id"), F.col("first.url"), F.col("digest"))))
-    lines = page.withColumn("record", F.explode(F.when(
-        F.col("first_id") != F.col("record_id"), F.array(_revisit(captured))
-    ).otherwise(_responses(segment_bytes, chunk_bytes, captured))))
+    again = F.coalesce(F.col("first_id") != F.col("record_id"), F.lit(False))
+    # A column of its own, or each segment would frame the whole payload anew.
+    page = page.withColumn("block", F.when(~again, _framed(chunk_bytes))).withColumn("block_bytes", F.octet_length("block"))
+    lines = page.withColumn("record", F.explode(F.when(again, F.array(_revisit(captured))).otherwise(_responses(segment_bytes, captured))))
     (
         lines.select(F.col("record").cast("string").alias("value"))
         .write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -116,23 +117,27 @@ def _pieces(data: Column, size: int) -> Column:
     return F.filter(slices, lambda piece: F.octet_length(piece) > 0)
 
 
-def _responses(segment_bytes: int, chunk_bytes: int, captured: str) -> Column:
+def _framed(chunk_bytes: int) -> Column:
+    """The HTTP response of a payload in chunked transfer framing."""
     chunks = F.transform(_pieces(F.col("payload"), chunk_bytes), lambda c: _text(
         F.concat(F.lower(F.hex(F.octet_length(c))), F.lit("\r\n")), c, "\r\n"
     ).cast("string"))
-    block = _text(HTTP_HEAD, F.array_join(chunks, ""), "0\r\n\r\n")
-    segments = _pieces(block, segment_bytes)
+    return _text(HTTP_HEAD, F.array_join(chunks, ""), "0\r\n\r\n")
+
+
+def _responses(segment_bytes: int, captured: str) -> Column:
+    segments = _pieces(F.col("block"), segment_bytes)
 
     def record(piece: Column, index: Column) -> Column:
         number = index + 1
-        cut = F.octet_length(block) > segment_bytes
+        cut = F.col("block_bytes") > segment_bytes
         origin = F.when(index > 0, F.col("record_id"))
         own = F.when(index > 0, _record_id(F.col("page_id"), F.concat_ws("#", F.col("url"), number), F.col("digest"))).otherwise(F.col("record_id"))
-        last = number * segment_bytes >= F.octet_length(block)
+        last = number * segment_bytes >= F.col("block_bytes")
         return _record(F.when(index > 0, F.lit("continuation")).otherwise(F.lit("response")), [
             _field("WARC-Record-ID", own), *_common(captured),
             _field("WARC-Segment-Number", F.when(cut, number)), _field("WARC-Segment-Origin-ID", origin),
-            _field("WARC-Segment-Total-Length", F.when(cut & last, F.octet_length(block))),
+            _field("WARC-Segment-Total-Length", F.when(cut & last, F.col("block_bytes"))),
         ], piece)
 
     return F.transform(segments, record)
