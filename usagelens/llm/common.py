@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,29 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same batch function, which gives its worker's freed memory back when a task ends; workers live on between tasks."""
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def merged(ids: DataFrame) -> DataFrame:
+    """For the id side of a join with texts: ids grow with the data, so they are never broadcast and the plan is one at every size."""
+    return ids.hint("merge")
+
+
 def bounded_filter(hashes: DataFrame, column: str):
     """A filter of 2^23 bits over a column of evenly spread longs, sent to all executors.
 

@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.common import merged, trimmed
 from usagelens.sources.workspace import cut_lineage
 
 #: Symbols are classes of characters, so a table of order n has SYMBOLS**n rows a language at most, whatever the corpus.
 SYMBOLS = 64
+#: One trusted document in so many is kept out of the training, to set the limits.
+CALIBRATION = 5
 #: Name of the model of all languages together; it scores rows whose language has no model.
 POOLED = "*"
 # Punctuation with a symbol of its own.
@@ -46,8 +49,9 @@ _TABLE = _symbol_table()
 def grams(text: str, order: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
     """Codes of all n-grams of a text, which is read as a line of its own, in chunks of bounded size."""
     for start in range(0, len(text) + 1, chunk):
-        part = ("\n" if start == 0 else text[max(0, start - order): start]) + text[start: start + chunk]
-        part = part if start == 0 else part[-(min(len(text), start + chunk) - start + order - 1):]
+        # The n-grams that begin in this chunk of the line feed and the text.
+        end = start + chunk + order - 1
+        part = "\n" + text[: end - 1] if start == 0 else text[start - 1: end - 1]
         symbols = _TABLE[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         size = len(symbols) - order + 1
         if size <= 0:
@@ -112,7 +116,7 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
             codes, counts = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "gram", "c"])
 
-    counted = texts.mapInArrow(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counted = texts.mapInArrow(trimmed(run), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     counted = cut_lineage(counted)
     pooled = counted.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "gram", "c")
     return counted.where(F.col("lang") != POOLED).unionByName(pooled)
@@ -160,14 +164,17 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 def load_model(table: DataFrame, order: int) -> QualityModel:
     """The model on the driver; at most SYMBOLS**order seen n-grams a language, as many as there are otherwise."""
     model = QualityModel(order)
-    rows = table.toPandas()
-    for lang, part in rows.groupby("lang"):
+    rows = table.toArrow()
+    langs = np.array(rows.column("lang").to_pylist(), dtype=object)
+    n_of, is_context, gram, value = (rows.column(c).to_numpy() for c in ("n", "is_context", "gram", "value"))
+    for lang in sorted(set(langs.tolist())):
+        mine = langs == lang
         lower = np.full(1, 1 / SYMBOLS)
         for n in range(1, order + 1):
-            at = {flag: part[(part["n"] == n) & (part["is_context"] == flag)] for flag in (False, True)}
+            seen, contexts = (np.flatnonzero(mine & (n_of == n) & (is_context == flag)) for flag in (False, True))
             weight = np.ones(SYMBOLS ** (n - 1))
-            weight[at[True]["gram"].to_numpy()] = at[True]["value"].to_numpy()
-            codes, values = at[False]["gram"].to_numpy(), at[False]["value"].to_numpy()
+            weight[gram[contexts]] = value[contexts]
+            codes, values = gram[seen], value[seen]
             if n < order:
                 full = np.repeat(weight, SYMBOLS) * np.tile(lower, SYMBOLS)
                 full[codes] = values
@@ -192,14 +199,14 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 ["doc_id", "lang", "n_grams", "perplexity"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, n_grams long, perplexity double")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, lang string, n_grams long, perplexity double")
 
 
 def train(docs: DataFrame, trusted: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
     """A model of all documents whose ids are in ``trusted``; every one of them is counted."""
     ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).distinct()
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    texts = rows.where("text IS NOT NULL").join(ids, F.col("__doc") == F.col("__id"), "left_semi").select("text", "lang")
+    texts = rows.where("text IS NOT NULL").join(merged(ids), F.col("__doc") == F.col("__id"), "left_semi").select("text", "lang")
     return load_model(kneser_ney(gram_counts(texts, order), order), order)
 
 
@@ -211,18 +218,21 @@ def classify(
 
     ``trusted`` has the ids of trusted documents in its first column. A document is kept if its
     perplexity under its language's model is at most the ``quantile`` of that language's trusted
-    documents; a language without trusted documents, the null one included, goes by the model
-    and threshold of all languages together. Texts that are null, empty or too short for one
+    documents; one in ``CALIBRATION`` of these sets the limit and the others train the model. A
+    language without them, the null one included, goes by the model and limit of all languages
+    together. Texts that are null, empty or too short for one
     n-gram have no perplexity and are kept, as nothing speaks against them; without any trusted
     text all rows are. One row per row of ``docs``; extra columns do not matter.
 
     The model grows with the corpus only as far as new n-grams of its symbols turn up, so it
     may be broadcast: ``SYMBOLS**order`` bounds it.
     """
-    model = train(docs, trusted, order, id_col, text_col, lang_col)
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct()
+    # Seen text reads easier than new text, so the limits come from trusted documents outside the training.
+    outside = F.crc32(F.col("id").cast("string")) % CALIBRATION == 0
+    model = train(docs, ids.where(~outside), order, id_col, text_col, lang_col)
     scored = cut_lineage(score(docs, model, id_col, text_col, lang_col))
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).distinct()
-    known = scored.where("perplexity IS NOT NULL").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    known = scored.where("perplexity IS NOT NULL").join(ids.where(outside), F.col("doc_id") == F.col("id"), "left_semi")
     limit = lambda: F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     per_language = known.where("lang IS NOT NULL").groupBy("lang").agg(limit())
     # One row a language, at most as many as there are language models.
