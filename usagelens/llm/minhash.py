@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bounded_filter, components, maybe_in
+from usagelens.llm.common import bounded_filter, components, maybe_in, merged, trimmed
 from usagelens.llm.shingles import batch_shingles, mixed
 from usagelens.sources.workspace import cut_lineage
 
@@ -94,7 +94,7 @@ def _signatures(bands: int, rows: int, words: int, weighted: bool):
             for found in batch_shingles(batch.column("text"), words):
                 group.append(found)
                 held += len(found[1]) + 2 * coordinates
-                if held > 200_000:
+                if held > 100_000:
                     yield _signed(batch, group, coordinates, rows, weighted)
                     group, held = [], 0
             if group:
@@ -158,30 +158,30 @@ def near_duplicates(
     apart = math.ceil(width * odds + 5 * math.sqrt(width * odds * (1 - odds)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = texts.where("doc_id IS NOT NULL").mapInArrow(
-        _signatures(bands, rows, words, weighted),
+        trimmed(_signatures(bands, rows, words, weighted)),
         "doc_id long, size long, d1 long, d2 long, s1 long, s2 long, keys array<long>",
     )
     signed = cut_lineage(signed)
     same = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "s1", "s2", "keys")])
     same = cut_lineage(same)
 
+    # An entry carries what the bounds need, so what they rule out is never a row of a join.
+    traits = ("id", "size", "s1", "s2")
     on_key = Window.partitionBy("key")
-    entries = same.select("id", F.explode("keys").alias("key")).withColumns({"least": F.min("id").over(on_key), "most": F.max("id").over(on_key)})
-    live = cut_lineage(entries.where("least <> most").select("key", "id", "least").distinct())
-    profile = same.select("id", "size", "s1", "s2")
-    sets = _sets_of(texts, live.select("id").distinct(), words)
-    star = live.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    likely = _with_profile(_with_profile(star, profile, "a"), profile, "b").where(_alike(similarity, apart)).select("a", "b")
-    first = cut_lineage(_verified(likely, sets, similarity, weighted))
-
-    labels = components(first)
-    placed = live.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(profile, "id")
-    placed = placed.select("key", "id", F.coalesce("component", "id").alias("class"), "size", "s1", "s2")
-    ours = placed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", "size", "s1", "s2")])
-    theirs = placed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", "size", "s1", "s2")])
+    entries = same.select(*traits, F.explode("keys").alias("key"))
+    entries = entries.withColumns({"least": F.min(F.struct(*traits)).over(on_key), "most": F.max("id").over(on_key)})
+    live = cut_lineage(entries.where("least.id <> most").drop("most"))
+    side = lambda df, of, name: df.withColumns({f"{c}_{name}": of(c) for c in traits[1:]})
+    star = side(side(live.where("id <> least.id"), lambda c: F.col(f"least.{c}"), "a"), F.col, "b").where(_alike(similarity, apart))
+    star = cut_lineage(star.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct())
+    first = cut_lineage(_verified(star, _sets_of(texts, _ends(star), words), similarity, weighted))
+
+    placed = live.drop("least").join(components(first).withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", *traits, F.coalesce("component", "id").alias("class"))
+    ours, theirs = (placed.withColumnsRenamed({c: f"{c}_{name}" for c in (*traits, "class")}) for name in "ab")
     meets = (ours["key"] == theirs["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & _alike(similarity, apart)
-    rest = ours.join(theirs, meets).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = first.unionByName(_verified(rest, sets, similarity, weighted))
+    rest = cut_lineage(ours.join(theirs, meets).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    links = first.unionByName(_verified(rest, _sets_of(texts, _ends(rest), words), similarity, weighted))
 
     classes = same.join(components(links).withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
@@ -197,9 +197,8 @@ def _alike(similarity: float, apart: int):
     return (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (bits <= apart)
 
 
-def _with_profile(pairs: DataFrame, profile: DataFrame, side: str) -> DataFrame:
-    named = profile.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", "s1", "s2")])
-    return pairs.join(named, side)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -219,7 +218,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 )
 
     hashed = texts.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = hashed.mapInArrow(run, "id long, elements binary, counts binary")
+    sets = hashed.mapInArrow(trimmed(run), "id long, elements binary, counts binary")
     return cut_lineage(sets.join(ids, "id", "left_semi"))
 
 
@@ -236,7 +235,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bo
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     met = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "elements_a", "counts_a", "elements_b", "counts_b")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def jaccard(a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.ndarray, weighted: bool = False) -> float:
@@ -252,4 +251,4 @@ def jaccard(a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.nda
 def without_copies(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that their class keeps; columns as before. Needs ids that are unique."""
     gone = classes.where("NOT kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(merged(gone), F.col(id_col) == F.col("__id"), "left_anti")

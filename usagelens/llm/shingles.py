@@ -55,7 +55,7 @@ def _pieces(data: bytes, limit: int) -> Iterator[bytes]:
     yield data[at:]
 
 
-def batch_shingles(texts: pa.Array, words: int = 5, limit: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batch_shingles(texts: pa.Array, words: int = 5, limit: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per text, in order: its place, its distinct shingle hashes in ascending order, and how often each occurs.
 
     A shingle is ``words`` words in a row; a shorter text with any word at all is one shingle.
