@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bounded_filter, components, maybe_in
+from usagelens.llm.common import bounded_filter, components, maybe_in, merged, trimmed
 from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
 from usagelens.sources.workspace import cut_lineage
 
@@ -197,7 +197,7 @@ def line_classes(
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((ids[who] & ~1) | is_index)], ["key", "tag"])
 
     # The last bit of a tag tells an index entry from a probe; ids lose that bit throughout.
-    entries = texts.mapInArrow(keyed, "key long, tag long")
+    entries = texts.mapInArrow(trimmed(keyed), "key long, tag long")
     same_key = Window.partitionBy("key")
     ids = F.col("tag").bitwiseAND(F.lit(-2))
     ranged = entries.withColumns({
@@ -238,12 +238,13 @@ def line_classes(
                 )
 
     kind = dict(rows.dtypes)["doc_id"]
-    every = rows.where("text IS NOT NULL").mapInArrow(occurrences, f"doc_id {kind}, line_no int, n_chars int, id long")
+    every = rows.where("text IS NOT NULL").mapInArrow(trimmed(occurrences), f"doc_id {kind}, line_no int, n_chars int, id long")
     every = every.join(classes, "id", "left").select("doc_id", "line_no", "n_chars", F.coalesce("component", "id").alias("class"))
     every = cut_lineage(every)
-    first_of = every.where("class IS NOT NULL").groupBy("class").agg(
+    # Written, so that the join deals both sides anew and Spark can split a class of many lines.
+    first_of = cut_lineage(every.where("class IS NOT NULL").groupBy("class").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"),
-    ).where("n > 1").drop("n")
+    ).where("n > 1").drop("n"))
     joined = every.join(first_of, "class", "left")
     mine = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no"))
     return joined.select(
@@ -294,7 +295,7 @@ def _texts_of(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
                     ["id", "line", "n_chars", "letters"],
                 )
 
-    lines = texts.mapInArrow(run, "id long, line string, n_chars int, letters long")
+    lines = texts.mapInArrow(trimmed(run), "id long, line string, n_chars int, letters long")
     return cut_lineage(lines.join(ids, "id", "left_semi").dropDuplicates(["id", "line"]))
 
 
@@ -314,7 +315,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
             close = within_distance(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), distance)
             yield batch.select(["a", "b"]).filter(pa.array(close))
 
-    return met.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "line_a", "line_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def without_repeats(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +325,7 @@ def without_repeats(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     and empty texts too. Needs ids that are unique.
     """
     gone = classes.where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    joined = docs.join(merged(gone), F.col(id_col) == F.col("__id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     joined = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))

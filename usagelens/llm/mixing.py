@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import WORD
+from usagelens.llm.common import WORD, merged
 from usagelens.sources.workspace import cut_lineage
 
 #: Slots of virtual time: per unit of time, and again per slot, to find where the budget ends.
@@ -137,5 +137,5 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFr
     Needs ids that are unique and not null.
     """
     times = mix.docs.where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = docs.join(times, F.col(id_col) == F.col("__id"))
+    rows = docs.join(merged(times), F.col(id_col) == F.col("__id"))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from usagelens.llm.common import trimmed
 from usagelens.sources.workspace import cut_lineage
 
 #: Pieces of one length class numbered by one task at most, about.
@@ -26,7 +27,7 @@ class WordTokenizer:
     together, with a digit between them, which is a token of its own; words with digits go alone.
     """
 
-    limit = 500_000
+    limit = 300_000
     _whole = re.compile("[\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|")
 
     def __init__(self, path: str):
@@ -105,7 +106,7 @@ def token_pieces(
                     )
                     at, start, total, parts, held = [], [], [], [], 0
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def combinations(units: int, depth: int) -> np.ndarray:
