@@ -102,3 +102,34 @@ def test_secrets_are_told_from_words_and_numbers(documents):
     assert secrets.scan(docs.limit(0)).count() == 0
     none = secrets.scan(documents([(1, "only one " + "a" * 30)])).collect()
     assert [(r["score"], r["predicted"]) for r in none] == [(None, 0)]
+
+
+def test_letters_outside_latin_are_told_apart(documents):
+    draw = random.Random(6)
+    words = "река камень сад окно письмо вечер утро вода серебро гора".split()
+    line = lambda: " ".join(draw.choice(words) for _ in range(60))
+    mixed = lambda text: "".join(draw.choice("щъыэюяжфхц") if c != " " else c for c in text)
+    rows = [(i, line(), "ru") for i in range(240)] + [(1000 + i, mixed(line()), "ru") for i in range(20)]
+    docs = documents(rows)
+    got = {r["doc_id"]: r for r in quality.classify(docs, docs.where("doc_id < 220").select("doc_id")).collect()}
+    assert sum(got[i]["kept"] for i in range(240)) >= 232
+    assert not any(got[1000 + i]["kept"] for i in range(20))
+
+
+def test_probabilities_and_postings_agree_with_plain_counts(documents):
+    rows = [(1, "ab" * 400 + "\0é𝒳", "en", None), (2, "abab", "en", None), (3, "ba", None, None)]
+    segments = [(k, "\n" + t) for k, (_, t, *_) in enumerate(rows)]
+    grams, counts, postings = quality._posted(segments, 3)
+    want = {}
+    for k, t in segments:
+        t = t.replace("\0", "�")
+        for i in range(len(t) - 2):
+            want.setdefault(t[i: i + 3], {}).setdefault(k, 0)
+            want[t[i: i + 3]][k] += 1
+    got = {}
+    for gram, count, posted in zip(grams, counts, postings.to_pylist()):
+        for k, c in zip(posted[::2], posted[1::2]):
+            got.setdefault(gram, {}).setdefault(k, 0)
+            got[gram][k] += c
+        assert count == sum(got[gram].values())
+    assert got == want

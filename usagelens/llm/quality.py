@@ -1,14 +1,20 @@
-"""Quality by language model: interpolated modified Kneser-Ney n-grams of trusted text, and perplexity thresholds."""
+"""Quality by language model: interpolated modified Kneser-Ney n-grams of trusted text, and perplexity thresholds.
+
+``classify`` counts n-grams of code points in tables spread over their n-grams. ``train`` makes a
+model of character classes for the driver, which ``SYMBOLS**order`` bounds.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import merged, trimmed
@@ -16,10 +22,16 @@ from usagelens.sources.workspace import cut_lineage
 
 #: Symbols are classes of characters, so a table of order n has SYMBOLS**n rows a language at most, whatever the corpus.
 SYMBOLS = 64
-#: One trusted document in so many is kept out of the training, to set the limits.
-CALIBRATION = 5
+#: Trusted documents are dealt into so many folds; each is scored by the counts of the others.
+FOLDS = 5
 #: Name of the model of all languages together; it scores rows whose language has no model.
 POOLED = "*"
+#: Code points there can be; one never seen has this share.
+POINTS = 0x110000
+#: Documents that share postings, and characters that are held before these are given out.
+GROUP, HELD_CHARS = 256, 1 << 21
+#: Logarithms are added up as whole numbers of this fraction, so the order does not matter.
+LOG_UNIT = 1 << 24
 # Punctuation with a symbol of its own.
 MARKS = ".,!?'\"-:;()|#$%&*@/"
 
@@ -83,16 +95,6 @@ class QualityModel:
     order: int
     languages: dict[str, LanguageModel] = field(default_factory=dict)
 
-    def perplexity(self, text: str | None, lang: str | None) -> tuple[int, float | None]:
-        """Number of n-grams of a text and its perplexity per symbol; null for a text without any."""
-        model = self.languages.get(lang or POOLED) or self.languages.get(POOLED)
-        n, total = 0, 0.0
-        if model is not None and text:
-            for codes in grams(text, self.order):
-                n += len(codes)
-                total += float(model.log_probability(codes).sum())
-        return n, math.exp(-total / n) if n else None
-
 
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     """``lang, gram, c`` over all rows of ``text, lang``, and the same under ``POOLED``."""
@@ -122,19 +124,40 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return counted.where(F.col("lang") != POOLED).unionByName(pooled)
 
 
-def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
+def _coded_suffix(gram: Column, n: int) -> Column:
+    return gram % SYMBOLS ** (n - 1)
+
+
+def _coded_context(gram: Column, n: int) -> Column:
+    return F.floor(gram / SYMBOLS)
+
+
+def _suffix(gram: Column, n: int) -> Column:
+    return F.substring(gram, 2, n - 1)
+
+
+def _context(gram: Column, n: int) -> Column:
+    return F.substring(gram, 1, n - 1)
+
+
+def kneser_ney(
+    counts: DataFrame, order: int, symbols: int = SYMBOLS,
+    suffix: Callable[[Column, int], Column] = _coded_suffix, context: Callable[[Column, int], Column] = _coded_context,
+) -> DataFrame:
     """Interpolated modified Kneser-Ney probabilities: ``lang, n, gram, p`` and ``lang, n, context, weight``.
 
     The highest order has the counts themselves, a lower one the number of different symbols
     seen before its n-gram. Three discounts per order and language, for counts of 1, 2 and more,
     come from the counts of counts. Each order's table is joined by n-gram to the next lower one,
     and by context to its sums: joins of tables spread over their n-grams, none of them a window.
+    ``suffix`` and ``context`` give an n-gram of n symbols without its first and its last one;
+    ``symbols`` is how many symbols there can be.
     """
     level, levels = cut_lineage(counts), []
     for n in range(order, 0, -1):
         levels.append((n, level))
         if n > 1:
-            level = cut_lineage(level.groupBy("lang", (F.col("gram") % SYMBOLS ** (n - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
+            level = cut_lineage(level.groupBy("lang", suffix(F.col("gram"), n).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
     lower, found = None, []
     for n, level in reversed(levels):
         ones = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
@@ -143,14 +166,14 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
         # Where a count of counts is zero the estimates do not exist, and half a count is taken.
         discount = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(enough, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5))).alias(f"d{k}") for k in (1, 2, 3)]
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = level.join(ones.select("lang", *discount), "lang").select("lang", "gram", F.floor(F.col("gram") / SYMBOLS).alias("context"), "c", taken.alias("d"))
+        cut = level.join(ones.select("lang", *discount), "lang").select("lang", "gram", context(F.col("gram"), n).alias("context"), "c", taken.alias("d"))
         sums = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
         own = cut.join(sums, ["lang", "context"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), "weight")
         if lower is None:
-            probability = own.select("lang", "gram", (F.col("own") + F.col("weight") / SYMBOLS).alias("p"))
+            probability = own.select("lang", "gram", (F.col("own") + F.col("weight") / symbols).alias("p"))
         else:
             below = lower.select("lang", F.col("gram").alias("below"), F.col("p").alias("q"))
-            keyed = own.withColumn("below", F.col("gram") % SYMBOLS ** (n - 1))
+            keyed = own.withColumn("below", suffix(F.col("gram"), n))
             probability = keyed.join(below, ["lang", "below"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
         lower = cut_lineage(probability)
         found.append(lower.select("lang", F.lit(n).alias("n"), F.lit(False).alias("is_context"), "gram", F.col("p").alias("value")))
@@ -185,21 +208,148 @@ def load_model(table: DataFrame, order: int) -> QualityModel:
     return model
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_grams, perplexity`` of every row, over its whole text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    kind = dict(rows.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _posted(segments: list[tuple[int, str]], order: int) -> tuple[list[str], np.ndarray, pa.Array]:
+    """The distinct n-grams of texts that have numbers under ``GROUP``: how often each occurs, and its postings.
+
+    Postings are pairs of bytes: a text's number and how often it has the n-gram; a count above 255 takes several pairs.
+    """
+    flat = np.frombuffer("".join(text for _, text in segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = np.where(flat == 0, np.uint32(0xFFFD), flat)
+    lengths = np.array([len(text) for _, text in segments], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    sizes = lengths - order + 1
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    owner = np.repeat(np.array([number for number, _ in segments], np.int64), sizes)
+    rank = np.zeros(POINTS, bool)
+    rank[flat] = True
+    letters = int(rank.sum())
+    symbols = (np.cumsum(rank) - 1)[flat]
+    code, bound = np.zeros(len(at), np.int64), 1
+    for i in range(order):
+        if bound * letters >= 2**54:
+            # Numbers of the distinct beginnings, of which there are no more than places.
+            distinct, code = np.unique(code, return_inverse=True)
+            bound = len(distinct)
+        code = code * letters + symbols[at + i]
+        bound *= letters
+    both, first, counts = np.unique(code * GROUP + owner, return_index=True, return_counts=True)
+    begins = np.flatnonzero(np.diff(both // GROUP, prepend=-1))
+    grid = np.ascontiguousarray(flat[at[first[begins]][:, None] + np.arange(order)])
+    pairs = -(-counts // 255)
+    posted = np.full((pairs.sum(), 2), 255, np.uint8)
+    posted[:, 0] = np.repeat(both % GROUP, pairs)
+    posted[np.cumsum(pairs) - 1, 1] = counts - 255 * (pairs - 1)
+    ends = np.concatenate([[0], 2 * np.cumsum(np.add.reduceat(pairs, begins))]).astype(np.int32)
+    postings = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(posted.tobytes())])
+    return grid.view(f"<U{order}").ravel().tolist(), np.add.reduceat(counts, begins), postings
+
+
+def encoded(docs: DataFrame, order: int) -> DataFrame:
+    """Rows of ``doc_id, text, lang, fold`` as two kinds of rows of one table, whose keys hold once it is written.
+
+    A document's row has its key ``doc`` and ``c``, the number of its n-grams; its ``gram`` is
+    null. Up to ``GROUP`` documents of one language and fold share postings: a row per ``gram``
+    with its count ``c``, where ``doc`` is the key of the first.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 30
+        groups: dict[tuple[str | None, int], list] = {}
+        held = 0
+
+        def given(name: tuple[str | None, int], group: list) -> pa.RecordBatch:
+            found, counts, postings = _posted(group[2], order)
+            n = len(found)
+            group[2] = []
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, group[0] * GROUP)), pa.nulls(n, ids.type), pa.array([name[0]] * n, pa.string()), pa.array(np.full(n, name[1], np.int32)),
+                 pa.array(counts, pa.int64()), pa.array(found, pa.string()), postings], names,
+            )
+
+        names = ["doc", "doc_id", "lang", "fold", "c", "gram", "postings"]
         for batch in batches:
-            found = [shared.value.perplexity(t.as_py(), k.as_py()) for t, k in zip(batch.column("text"), batch.column("lang"))]
+            ids, keys, sizes = batch.column("doc_id"), [], []
+            for text, lang, fold in zip(batch.column("text"), batch.column("lang"), batch.column("fold")):
+                name, text = (lang.as_py(), fold.as_py()), text.as_py() or ""
+                if name not in groups or groups[name][1] == GROUP:
+                    if name in groups and groups[name][2]:
+                        held -= sum(len(x) for _, x in groups[name][2])
+                        yield given(name, groups[name])
+                    groups[name] = [number, 0, []]
+                    number += 1
+                group = groups[name]
+                keys.append(group[0] * GROUP + group[1])
+                sizes.append(max(0, len(text) + 2 - order) if text else 0)
+                if sizes[-1]:
+                    # A text is read as a line of its own, a long one in parts that overlap.
+                    for start in range(0, sizes[-1], HELD_CHARS):
+                        group[2].append((group[1], ("\n" if start == 0 else "") + text[max(0, start - 1): start + HELD_CHARS + order - 2]))
+                        held += len(group[2][-1][1])
+                        if held > HELD_CHARS:
+                            for other, waiting in groups.items():
+                                if waiting[2]:
+                                    yield given(other, waiting)
+                            # Names that are many are not kept for their next document.
+                            groups, held = {name: group}, 0
+                group[1] += 1
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array([n for n, _ in found], pa.int64()), pa.array([p for _, p in found], pa.float64())],
-                ["doc_id", "lang", "n_grams", "perplexity"],
+                [pa.array(keys, pa.int64()), ids, batch.column("lang"), batch.column("fold"), pa.array(sizes, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names,
             )
+        for name, group in groups.items():
+            if group[2]:
+                yield given(name, group)
+
+    return docs.mapInArrow(trimmed(run), f"doc long, doc_id {kind}, lang string, fold int, c long, gram string, postings binary")
+
+
+def gram_logs(wanted: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """``lang, gram, log`` of wanted n-grams of models in the table, by the longest end of each that was seen; in ``LOG_UNIT``s."""
+    models = table.where("n = 1 AND is_context").select("lang")
+    rows = wanted.join(models, "lang", "left_semi")
+    chosen = F.lit(1 / POINTS)
+    for n in range(1, order + 1):
+        end = F.substring(F.col("gram"), order - n + 1, n)
+        level = table.where(F.col("n") == n)
+        seen = level.where("NOT is_context").select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias(f"p{n}"))
+        weights = level.where("is_context").select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias(f"w{n}"))
+        rows = rows.join(merged(seen), (F.col("lang") == F.col("l")) & (end == F.col("g")), "left").drop("l", "g")
+        rows = rows.join(merged(weights), (F.col("lang") == F.col("l")) & (_context(end, n) == F.col("g")), "left").drop("l", "g")
+        chosen = F.coalesce(f"p{n}", F.coalesce(F.col(f"w{n}"), F.lit(1.0)) * chosen)
+    return rows.select("lang", "gram", F.round(F.log(chosen) * LOG_UNIT).cast("long").alias("log"))
+
 
-    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, lang string, n_grams long, perplexity double")
+def log_sums(found: DataFrame) -> DataFrame:
+    """``doc, pooled, log`` per document, from rows of ``doc, pooled, postings, log`` per n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def together():
+            keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            by = np.argsort(keys, kind="stable")
+            begins = np.flatnonzero(np.diff(keys[by], prepend=-1))
+            return keys[by][begins], np.add.reduceat(values[by], begins)
+
+        for batch in batches:
+            postings = batch.column("postings")
+            pairs = np.frombuffer(b"".join(postings.to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+            if not len(pairs):
+                continue
+            times = pc.binary_length(postings).to_numpy() // 2
+            key = np.repeat(batch.column("doc").to_numpy(), times) + pairs[:, 0]
+            parts.append((key * 2 + np.repeat(batch.column("pooled").to_numpy(), times), np.repeat(batch.column("log").to_numpy(), times) * pairs[:, 1]))
+            waiting += len(pairs)
+            if waiting > 2_000_000:
+                parts, waiting = [together()], 0
+        if parts:
+            keys, values = together()
+            yield pa.RecordBatch.from_arrays([pa.array(keys // 2), pa.array((keys % 2).astype(np.int32)), pa.array(values)], ["doc", "pooled", "log"])
+
+    summed = found.select("doc", "pooled", "postings", "log").mapInArrow(trimmed(run), "doc long, pooled int, log long")
+    return summed.groupBy("doc", "pooled").agg(F.sum("log").alias("log"))
 
 
 def train(docs: DataFrame, trusted: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
@@ -218,33 +368,50 @@ def classify(
 
     ``trusted`` has the ids of trusted documents in its first column. A document is kept if its
     perplexity under its language's model is at most the ``quantile`` of that language's trusted
-    documents; one in ``CALIBRATION`` of these sets the limit and the others train the model. A
-    language without them, the null one included, goes by the model and limit of all languages
-    together. Texts that are null, empty or too short for one
-    n-gram have no perplexity and are kept, as nothing speaks against them; without any trusted
-    text all rows are. One row per row of ``docs``; extra columns do not matter.
-
-    The model grows with the corpus only as far as new n-grams of its symbols turn up, so it
-    may be broadcast: ``SYMBOLS**order`` bounds it.
+    documents. All trusted text is counted; as seen text reads easier than new text, a trusted
+    document is scored by the counts without its own fold, one in ``FOLDS``. A language with so
+    few trusted documents that the quantile would be their largest value, and the null one, go
+    by the model of all languages together and by the limit of all trusted documents under that
+    model. Texts that are null, empty or too short for one n-gram have no perplexity and are
+    kept, as nothing speaks against them; without any trusted text all rows are. One row per row
+    of ``docs``; extra columns do not matter.
+
+    The tables of n-grams grow with the corpus and stay in Spark. Documents meet them through
+    postings, a row per n-gram and group of documents, and no text is shuffled but for the
+    trusted ids.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct()
-    # Seen text reads easier than new text, so the limits come from trusted documents outside the training.
-    outside = F.crc32(F.col("id").cast("string")) % CALIBRATION == 0
-    model = train(docs, ids.where(~outside), order, id_col, text_col, lang_col)
-    scored = cut_lineage(score(docs, model, id_col, text_col, lang_col))
-    known = scored.where("perplexity IS NOT NULL").join(ids.where(outside), F.col("doc_id") == F.col("id"), "left_semi")
-    limit = lambda: F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    per_language = known.where("lang IS NOT NULL").groupBy("lang").agg(limit())
-    # One row a language, at most as many as there are language models.
-    limits = {row["lang"]: row["threshold"] for row in per_language.collect()}
-    pooled = known.agg(limit()).first()["threshold"]
-    if limits:
-        table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-        threshold = F.coalesce(F.try_element_at(table, F.col("lang")), F.lit(pooled))
-    else:
-        threshold = F.lit(pooled).cast("double")
-    scored = scored.withColumn("threshold", threshold)
-    return scored.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    ids = ids.select("id", (F.crc32(F.col("id").cast("string")) % FOLDS).cast("int").alias("of"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.join(merged(ids), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "lang", F.coalesce("of", F.lit(-1)).alias("fold"))
+    parts = cut_lineage(encoded(rows, order))
+    heads, entries = parts.where("gram IS NULL").select("doc", "doc_id", "lang", "fold", "c"), parts.where("gram IS NOT NULL")
+
+    able = heads.where("fold >= 0 AND c > 0 AND lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    own = cut_lineage(able.where(F.col("n") >= math.ceil(1 / max(1e-9, 1 - quantile) - 1e-6)).select(F.col("lang").alias("own")))
+    named = lambda df: df.join(own, F.col("lang") == F.col("own"), "left")
+    name = F.coalesce(F.concat(F.lit("="), "own"), F.lit(POOLED))
+
+    counted = named(cut_lineage(entries.where("fold >= 0").groupBy("lang", "fold", "gram").agg(F.sum("c").alias("c"))))
+    counted = counted.where("own IS NOT NULL").select(name.alias("name"), "fold", "gram", "c").unionByName(counted.select(F.lit(POOLED).alias("name"), "fold", "gram", "c"))
+    folds = counted.groupBy("name", "gram").agg(F.sum("c").alias("all"), *[F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"in{k}") for k in range(FOLDS)])
+    without = F.array(F.struct(F.lit(-1).alias("k"), F.col("all").alias("c")), *[F.struct(F.lit(k).alias("k"), (F.col("all") - F.col(f"in{k}")).alias("c")) for k in range(FOLDS)])
+    counts = folds.select("name", "gram", F.explode(without).alias("w")).where("w.c > 0").select(F.concat_ws(":", "w.k", "name").alias("lang"), "gram", F.col("w.c").alias("c"))
+    table = cut_lineage(kneser_ney(counts, order, POINTS, _suffix, _context))
+
+    # The limit of all languages together is that of every trusted document under their model.
+    asked = named(entries).select("doc", F.lit(0).alias("pooled"), F.concat_ws(":", "fold", name).alias("lang"), "gram", "postings").unionByName(
+        named(entries.where("fold >= 0")).where("own IS NOT NULL").select("doc", F.lit(1).alias("pooled"), F.concat_ws(":", "fold", F.lit(POOLED)).alias("lang"), "gram", "postings"))
+    logs = cut_lineage(gram_logs(asked.select("lang", "gram").distinct(), table, order))
+    sums = cut_lineage(log_sums(asked.join(merged(logs), ["lang", "gram"])))
+    value = F.exp(-F.col("log") / LOG_UNIT / F.col("c"))
+    scored = named(heads).select("doc", "doc_id", "lang", "fold", "c", name.alias("name"))
+    under = cut_lineage(scored.join(merged(sums), "doc", "left").withColumn("perplexity", F.when(F.col("c") > 0, value)))
+    trusted_ones = under.where("fold >= 0 AND perplexity IS NOT NULL").withColumn("of", F.when(F.col("pooled") == 1, F.lit(POOLED)).otherwise(F.col("name")))
+    limits = trusted_ones.groupBy("of").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    judged = under.where("pooled IS NULL OR pooled = 0").join(limits, F.col("name") == F.col("of"), "left")
+    judged = judged.select("doc_id", "lang", F.col("c").alias("n_grams"), "perplexity", "threshold")
+    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
