@@ -133,3 +133,13 @@ def test_probabilities_and_postings_agree_with_plain_counts(documents):
             got[gram][k] += c
         assert count == sum(got[gram].values())
     assert got == want
+
+
+def test_rare_languages_go_by_model_and_limit_of_all(documents):
+    draw = random.Random(7)
+    rows = [(i, clean(draw), "en") for i in range(220)] + [(1000 + i, clean(draw), "xx") for i in range(48)]
+    docs = documents(rows)
+    trusted = docs.where("doc_id < 220 OR (doc_id >= 1000 AND doc_id < 1008)").select("doc_id")
+    got = {r["doc_id"]: r for r in quality.classify(docs, trusted).collect()}
+    assert sum(got[1008 + i]["kept"] for i in range(40)) >= 38
+    assert got[1008]["threshold"] != got[0]["threshold"] and got[1008]["perplexity"] is not None
