@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each line once in the corpus, at its first place; a document all of whose lines went goes too."""
     importable(spark)
-    left = lines.without_repeats(docs, lines.line_classes(docs))
+    left = lines.unrepeated(docs)
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn; a document is as many rows as the mix takes it times."""
     importable(spark)
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -103,3 +103,13 @@ def test_empty_table_and_repeated_rows(documents):
     assert lines.line_classes(documents([])).count() == 0
     twice = lines.line_classes(documents([(1, "the same line twice over")] * 2)).collect()
     assert [(r["class_doc_id"], r["class_line_no"]) for r in twice] == [(1, 0)] * 2
+
+
+def test_null_and_repeated_ids_lose_their_own_lines_only(documents):
+    rows = [(1, "a line found more than once\na first line of its own"), (1, "a second text's only line here\nanother line, of the second"),
+            (None, "a line found more than once\nwhat follows without an id"), (None, "yet another text without any id"), (2, "a line found more than once")]
+    docs = documents(rows)
+    left = lines.unrepeated(docs)
+    assert left.columns == docs.columns
+    found = sorted(line for r in left.collect() for line in r["text"].split("\n"))
+    assert found == sorted({line for _, text in rows for line in text.split("\n")})

@@ -67,3 +67,19 @@ def test_mixed_documents_repeat_as_often_as_taken(documents):
     assert out.columns == docs.columns
     times = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert times == {r["doc_id"]: r["taken"] // r["size"] for r in mix.docs.collect() if r["taken"]}
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(documents):
+    rows = [(1, f"one {'w ' * (i % 5)}x", "en", f"s{i % 3}") for i in range(90)] + [(None, f"none {i}", "en", "s1") for i in range(40)]
+    rows += [(1, "same row", "en", "s2")] * 50 + [(i, "w w w", "en", "s0") for i in range(100, 160)]
+    docs = documents(rows)
+    mix = mixing.mix_sources(docs)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    found = out.select("doc_id", F.size(F.split(F.trim("text"), " +")).alias("words"), "source").collect()
+    total = sum(r["words"] for r in found)
+    assert mix.budget - 10 <= total <= mix.budget
+    assert sum(r["doc_id"] is None for r in found) > 0
+    target = {r["source"]: r["target"] for r in mix.targets.collect()}
+    for source in target:
+        assert abs(sum(r["words"] for r in found if r["source"] == source) - target[source]) <= 12

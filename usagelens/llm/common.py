@@ -16,6 +16,9 @@ from usagelens.sources.workspace import cut_lineage
 #: Words of the bounded filter: 2^23 bits, 1 MB.
 FILTER_WORDS = 1 << 17
 
+#: Column of the keys of rows.
+ROW = "__row"
+
 #: Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +49,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def with_row_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, written once, with a key ``ROW`` that no two share: in order of the id, rows of one id in some order. Null ids have keys too."""
+    return cut_lineage(docs.withColumn(ROW, F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))))
+
+
 def merged(ids: DataFrame) -> DataFrame:
     """For the id side of a join with texts: ids grow with the data, so they are never broadcast and the plan is one at every size."""
     return ids.hint("merge")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bounded_filter, components, maybe_in, merged, trimmed
+from usagelens.llm.common import ROW, bounded_filter, components, maybe_in, merged, trimmed, with_row_keys
 from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
 from usagelens.sources.workspace import cut_lineage
 
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     """The documents with the lines that ``classes`` does not keep taken out; columns as before.
 
     A document of which lines were taken out and none is left is dropped; all others stay, null
-    and empty texts too. Needs ids that are unique.
+    and empty texts too. Needs ids that are unique; ``unrepeated`` takes any rows.
     """
     gone = classes.where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     joined = docs.join(merged(gone), F.col(id_col) == F.col("__id"), "left")
@@ -333,3 +333,9 @@ def without_repeats(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     joined = joined.where(F.col("__left").isNull() | ~blank)
     text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
     return joined.withColumn(text_col, text).select(docs.columns)
+
+
+def unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
+    """The documents without the lines that repeat earlier ones; ids may be null or repeat, columns as before. ``bounds`` as for ``line_classes``."""
+    keyed = with_row_keys(docs, id_col)
+    return without_repeats(keyed, line_classes(keyed, id_col=ROW, text_col=text_col, **bounds), ROW, text_col).select(docs.columns)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import WORD, merged
+from usagelens.llm.common import ROW, WORD, merged, with_row_keys
 from usagelens.sources.workspace import cut_lineage
 
 #: Slots of virtual time: per unit of time, and again per slot, to find where the budget ends.
@@ -17,7 +17,10 @@ SLOTS = 2048
 
 @dataclass(frozen=True)
 class Mix:
-    """``docs``: a row per document row with what the mix takes of it. ``targets``: a row per source."""
+    """``docs``: a row per document row with what the mix takes of it. ``targets``: a row per source.
+
+    Where the documents had row keys (see ``with_row_keys``), ``docs`` has them too.
+    """
 
     docs: DataFrame
     targets: DataFrame
@@ -64,12 +67,13 @@ def mix_sources(
     Running sums go by the first three digits of the hash, so no source is in one task; the end
     is looked for in slots of virtual time, which fill evenly whatever the sizes of the sources.
     No text is shuffled. Empty or null texts have size 0 and nothing is taken of them; a null
-    source is a source; rows of one id are mixed as they stand, and equal rows go together.
+    source is a source; rows of one id are mixed as they stand, each on its own.
     """
+    row = [ROW] if ROW in docs.columns else []
     sized = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("draw"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("draw"), *row,
     ))
     targets = cut_lineage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat))
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
@@ -81,10 +85,10 @@ def mix_sources(
     sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "bucket").orderBy("draw", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(inside)).join(starts, ["rank", "bucket"])
     rows = cut_lineage(rows.select(
-        "doc_id", "source", "size", "source_size", "target", "rank", "draw", (F.col("start") + F.col("within")).alias("served"),
+        "doc_id", "source", "size", "source_size", "target", "rank", "draw", (F.col("start") + F.col("within")).alias("served"), *row,
     ))
 
     passes = [(p, _finish(p)) for p in range(1, max_repeat + 1)]
@@ -99,7 +103,7 @@ def mix_sources(
         end = F.struct(*[F.lit(last[k]) for k in ("finish", "rank", "draw", "pass")])
         taken = sum((F.when(t.isNotNull() & (place(p, t) <= end), 1).otherwise(0) for p, t in passes), F.lit(0))
     taken = F.when(F.col("size") > 0, taken * F.col("size")).otherwise(0).cast("long")
-    return Mix(rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")), targets, budget)
+    return Mix(rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *row), targets, budget)
 
 
 def _finish(number: int) -> Column:
@@ -134,8 +138,16 @@ def _crossing(slots: DataFrame, budget: int, before: int):
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id") -> DataFrame:
     """The mix as documents: each taken document as often as it is taken, its columns unchanged.
 
-    Needs ids that are unique and not null.
+    By row keys where ``docs`` and the mix have them. Without, rows are told apart by their id
+    alone, which must then be unique and not null; ``mixed`` takes any rows.
     """
-    times = mix.docs.where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = docs.join(merged(times), F.col(id_col) == F.col("__id"))
+    key = ROW if ROW in docs.columns and ROW in mix.docs.columns else None
+    times = mix.docs.where("taken > 0").select(F.col(key or "doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    rows = docs.join(merged(times), F.col(key or id_col) == F.col("__id"))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix of ``docs``, whose ids may be null or repeat; columns as before."""
+    keyed = with_row_keys(docs, id_col)
+    return mixed_documents(keyed, mix_sources(keyed, weights, max_repeat, id_col, text_col, source_col), id_col).select(docs.columns)
