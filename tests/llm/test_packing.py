@@ -78,3 +78,30 @@ def test_pieces_lie_gapless_and_whole(documents):
     whole = packing.sequences(docs.where("doc_id < 100"), packed.where("doc_id < 100"), PATH, window=64).collect()
     assert all(len(r["ids"]) == 4 * (r["tokens"] if r["tokens"].bit_count() == 1 else 64) for r in whole)
     assert packing.pack_documents(documents([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("length", [3, 17, 40])
+def test_short_pieces_leave_little_padding(length):
+    histogram = np.zeros(4097, np.int64)
+    histogram[length] = 100_000
+    patterns = packing.plan_patterns(histogram, unit=16)
+    assert sum(p.count(length) * n for p, n in patterns) == 100_000 and max(sum(p) for p, _ in patterns) <= 4096
+    assert 100_000 * length / (4096 * sum(n for _, n in patterns)) > 0.98
+
+
+def test_mixed_lengths_are_packed_by_their_own_lengths(documents):
+    draw = np.random.default_rng(3)
+    lengths = np.concatenate([draw.integers(2, 30, 40_000), np.minimum(4096, draw.lognormal(6, 1, 20_000).astype(int) + 1)])
+    histogram = np.bincount(lengths, minlength=4097)
+    patterns = packing.plan_patterns(histogram, unit=16)
+    used = np.zeros(4097, np.int64)
+    for pattern, times in patterns:
+        assert sum(pattern) <= 4096
+        np.add.at(used, list(pattern), times)
+    assert (used == histogram).all()
+    assert lengths.sum() / (4096 * sum(n for _, n in patterns)) > 0.99
+    rows = documents([(i, "word " * (i % 7)) for i in range(3000)])
+    packed = packing.pack_documents(rows, PATH).collect()
+    assert len(packed) == 3000
+    tokens = sum(r["length"] for r in packed)
+    assert tokens / (4096 * len({r["sequence_id"] for r in packed})) > tokens / (4096 * -(-tokens // 4096)) - 1e-9

@@ -168,45 +168,67 @@ def nonnegative_least_squares(columns: np.ndarray, wanted: np.ndarray, rounds: i
     return x * scale
 
 
-def plan_patterns(histogram: np.ndarray, depth: int = 4) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of length classes and how often each is used: all pieces of ``histogram`` and no more.
-
-    ``histogram[b]`` counts the pieces of class b (b units long, b from 0 to the units of a
-    window). The repeat counts of the combinations that fill a window exactly come from least
-    squares, rounded and cut to what is there. The rest is packed greedily, the longest class
-    first and then the longest that still fits; a greedy pattern repeats as long as its pieces last.
+def plan_patterns(histogram: np.ndarray, depth: int = 4, unit: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths and how often each is used: all pieces of ``histogram`` and no more.
+
+    ``histogram[n]`` counts the pieces of length n, from 0 to the length of a window. Lengths are
+    rounded up to classes of ``unit``; the repeat counts of the combinations of classes that fill
+    a window exactly come from least squares, rounded and cut to what is there. Each use of a
+    combination takes the longest pieces of its classes, and what these leave of the window is
+    filled greedily with the longest pieces that fit, by their own lengths. The rest is packed
+    greedily, the longest first and then the longest that still fits; a pattern repeats as long
+    as its pieces last.
     """
-    units, left = len(histogram) - 1, histogram.astype(np.int64).copy()
+    window, left = len(histogram) - 1, histogram.astype(np.int64).copy()
     patterns: list[tuple[tuple[int, ...], int]] = []
 
-    def use(pattern: list[int], most: int) -> None:
-        parts, counts = np.unique(pattern, return_counts=True)
-        times = int(min(most, (left[parts] // counts).min()))
-        if times > 0:
-            left[parts] -= counts * times
-            patterns.append((tuple(pattern), times))
-
-    ways = combinations(units, depth)
-    present = np.concatenate([[True], histogram[1:] > 0])
-    ways = ways[present[ways].all(axis=1)]
-    if len(ways):
-        times = nonnegative_least_squares(ways, histogram[1:].astype(float))
-        for j in np.argsort(-times):
-            if times[j] < 0.5:
-                break
-            use([int(p) for p in ways[j] if p], int(np.rint(times[j])))
-    while left.any():
-        room, pattern, spare = units, [], left.copy()
+    def filled(classes: list[int]) -> list[int]:
+        """The longest pieces of the classes, and what fits besides."""
+        room, taken = window, {}
+        for b in classes:
+            low = (b - 1) * unit + 1
+            there = np.flatnonzero(left[low: b * unit + 1] > [taken.get(n, 0) for n in range(low, b * unit + 1)])
+            if len(there):
+                part = low + int(there[-1])
+                taken[part] = taken.get(part, 0) + 1
+                room -= part
+        spare = left.copy()
+        for part, n in taken.items():
+            spare[part] -= n
         while room:
             fits = np.flatnonzero(spare[1: room + 1])
             if not len(fits):
                 break
             part = int(fits[-1]) + 1
             take = int(min(spare[part], room // part))
-            pattern += [part] * take
+            taken[part] = taken.get(part, 0) + take
             spare[part] -= take
             room -= take * part
-        use(pattern, 2**62)
+        return [part for part in sorted(taken, reverse=True) for _ in range(taken[part])]
+
+    def use(pattern: list[int], most: int) -> int:
+        parts, counts = np.unique(pattern, return_counts=True)
+        times = int(min(most, (left[parts] // counts).min()))
+        left[parts] -= counts * times
+        patterns.append((tuple(pattern), times))
+        return times
+
+    classes = np.zeros(window // unit + 1, np.int64)
+    np.add.at(classes, -(-np.arange(window + 1) // unit), left)
+    classes[0] = 0
+    ways = combinations(window // unit, depth)
+    present = np.concatenate([[True], classes[1:] > 0])
+    ways = ways[present[ways].all(axis=1)]
+    if len(ways):
+        times = nonnegative_least_squares(ways, classes[1:].astype(float))
+        for j in np.argsort(-times):
+            if times[j] < 0.5:
+                break
+            way, wanted = [int(p) for p in ways[j] if p], int(np.rint(times[j]))
+            while wanted and all(left[(b - 1) * unit + 1: b * unit + 1].sum() >= way.count(b) for b in set(way)):
+                wanted -= use(filled(way), wanted)
+    while left[1:].any():
+        use(filled([]), 2**62)
     return patterns
 
 
@@ -237,21 +259,19 @@ def lay_out(patterns: list[tuple[tuple[int, ...], int]], units: int) -> Slots:
 def pack(pieces: DataFrame, window: int = 4096, unit: int = 16, depth: int = 4) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, start, length, ...``) of at most ``window`` tokens.
 
-    Lengths are rounded up to classes of ``unit`` tokens, and only their histogram, of
-    ``window / unit`` numbers, comes to the driver, where the patterns are planned (see
-    ``plan_patterns``). Pieces are numbered within their class, in parts of bounded size, and
-    the number says which sequence and place a piece has. Offsets run gapless from 0 in each
+    Only the histogram of the lengths, of ``window`` numbers, comes to the driver, where the
+    patterns are planned (see ``plan_patterns``). Pieces are numbered within their length, in
+    parts of bounded size, and the number says which sequence and place a piece has. Offsets run gapless from 0 in each
     sequence. Rows of equal id and start are pieces each. Without pieces the result is empty.
     """
-    units = window // unit
-    pieces = pieces.withColumn("__class", F.ceil(F.col("length") / unit).cast("int"))
+    pieces = pieces.withColumn("__class", F.col("length").cast("int"))
     counted = pieces.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()
-    histogram = np.zeros(units + 1, np.int64)
+    histogram = np.zeros(window + 1, np.int64)
     for row in counted:
         histogram[row["__class"]] = row["n"]
-    slots = lay_out(plan_patterns(histogram, depth), units)
+    slots = lay_out(plan_patterns(histogram, depth, unit), window)
 
-    parts = F.element_at(F.array(*[F.lit(int(max(1, -(-n // RANK_ROWS)))) for n in histogram]), F.col("__class") + 1)
+    parts = F.expr(f"element_at(array({', '.join(str(max(1, -(-n // RANK_ROWS))) for n in histogram.tolist())}), `__class` + 1)")
     named = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "start"), parts).cast("int"))
     sums = named.groupBy("__class", "__part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
