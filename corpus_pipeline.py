@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Each line once in the corpus, at its first place; a document all of whose lines went goes too."""
     importable(spark)
-    left = lines.unrepeated(docs)
+    left = lines.unrepeated(docs, **lines.WHOLE)
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

@@ -113,3 +113,31 @@ def test_null_and_repeated_ids_lose_their_own_lines_only(documents):
     assert left.columns == docs.columns
     found = sorted(line for r in left.collect() for line in r["text"].split("\n"))
     assert found == sorted({line for _, text in rows for line in text.split("\n")})
+
+
+def test_short_lines_link_by_the_bounds_of_the_queries(documents):
+    draw = random.Random(8)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(n)).strip() for n in range(1, 34) for _ in range(2)]
+    rows = [(d, "\n".join(edited(draw.choice(base), draw.choice([0, 0, 1, 1, 2, 3]), draw) for _ in range(6))) for d in range(120)]
+    rows += [(200, "Contact us\nTop"), (201, "Contact us.\nTop\nToy"), (202, "a heading of thirty characters\n\n"), (203, "a heading of thirty character")]
+    got = lines.line_classes(documents(rows), **lines.WHOLE).collect()
+    found = [(d, i, x) for d, t in rows for i, x in enumerate(lines.split_lines(t) if t else [""])]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    distinct = sorted({x for _, _, x in found if x})
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1:]:
+            edits = min(2, min(len(a), len(b)) // 5)
+            if abs(len(a) - len(b)) <= edits and plain(a, b) <= edits and root(a) != root(b):
+                up[root(a)] = root(b)
+    groups = {}
+    for d, i, x in found:
+        groups.setdefault(root(x) if x else (d, i), []).append((d, i))
+    want = {place: min(group) for group in groups.values() for place in group}
+    assert {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in got} == want
+    assert want[201, 0] == want[200, 0] and want[201, 1] == want[200, 1] != want[201, 2] and want[203, 0] == want[202, 0]

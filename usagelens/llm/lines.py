@@ -158,13 +158,23 @@ def _banded(pattern: list[str], text: list[str], k: int) -> np.ndarray:
     return final <= k
 
 
+#: Bounds of the queries: equal lines link unless empty, others by an edit for every five characters of the shorter one, two at most.
+WHOLE = {"min_chars": 1, "near_chars": 1, "chars_per_edit": 5}
+
+
+def allowed_edits(left: list[str], right: list[str], distance: int, chars_per_edit: int) -> np.ndarray:
+    """How many edits may lie between the lines of each pair: one for every ``chars_per_edit`` characters of the shorter one (0: no such bound)."""
+    shorter = np.minimum([len(x) for x in left], [len(x) for x in right]).astype(np.int64)
+    return np.minimum(distance, shorter // chars_per_edit) if chars_per_edit else np.full(len(shorter), distance)
+
+
 def _distinct_lines(batch: pa.RecordBatch, least: int) -> list[str]:
     return list({line for text in batch.column("text") for line in split_lines(text.as_py()) if len(line) >= least})
 
 
 def line_classes(
     docs: DataFrame, distance: int = 2, min_chars: int = 10, near_chars: int = 30,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = 0,
 ) -> DataFrame:
     """Classes of lines within an edit distance of each other, over all lines of all documents.
 
@@ -172,7 +182,10 @@ def line_classes(
     (the first line of its class, in order of document and number), ``kept`` (it is that one).
     Classes are what links of at most ``distance`` edits connect, directly or through others.
     Lines are taken without the blanks at their ends. Lines under ``near_chars`` characters
-    link with equal lines only, lines under ``min_chars`` with none; null texts have no lines,
+    link with equal lines only, lines under ``min_chars`` with none. With ``chars_per_edit``
+    two lines may be an edit apart for every so many characters of the shorter one (and no more
+    than ``distance``), so that short lines are not put together for being short; lines whose
+    share is d edits are keyed by d + 1 segments. Null texts have no lines,
     an empty text one empty line. Rows that repeat a document id give the same line numbers
     again. Lines are told apart by a 64-bit digest.
 
@@ -185,16 +198,20 @@ def line_classes(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.select("text").where("text IS NOT NULL")
-    near_chars = max(near_chars, distance + 1)
+    near_chars = max(near_chars, chars_per_edit or distance + 1)
+    # Lines of length from, to by the edits they are keyed for; a longer line may be the shorter one's by its edits.
+    spans = [(distance, max(near_chars, distance + 1), None)] if not chars_per_edit else [
+        (d, max(near_chars, d * chars_per_edit, d + 1), (d + 1) * chars_per_edit - 1 + d if d < distance else None) for d in range(1, distance + 1)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 lines = _distinct_lines(whole.slice(start, 512), near_chars)
-                for part in _portions(lines):
-                    ids = np.array([line_id(x) for x in part], np.int64)
-                    who, key, is_index = segment_keys(part, distance)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((ids[who] & ~1) | is_index)], ["key", "tag"])
+                for edits, low, high in spans:
+                    for part in _portions([x for x in lines if low <= len(x) <= (high or len(x))]):
+                        ids = np.array([line_id(x) for x in part], np.int64)
+                        who, key, is_index = segment_keys(part, edits)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((ids[who] & ~1) | is_index)], ["key", "tag"])
 
     # The last bit of a tag tells an index entry from a probe; ids lose that bit throughout.
     entries = texts.mapInArrow(trimmed(keyed), "key long, tag long")
@@ -208,7 +225,7 @@ def line_classes(
 
     known = _texts_of(texts, live.select("id").distinct(), near_chars)
     star = live.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    first = cut_lineage(_verified(star, known, distance))
+    first = cut_lineage(_verified(star, known, distance, chars_per_edit))
     labels = components(first)
     profile = known.select("id", "n_chars", "letters").join(labels.withColumnRenamed("node", "id"), "id", "left")
     profile = profile.select("id", F.coalesce("component", "id").alias("class"), "n_chars", "letters").dropDuplicates(["id"])
@@ -219,7 +236,7 @@ def line_classes(
     alike = F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2 * distance
     apart = (F.col("class_a") != F.col("class_b")) & (F.abs(F.col("n_chars_a") - F.col("n_chars_b")) <= distance) & alike
     rest = ours.join(theirs, (ours["key"] == theirs["key"]) & apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    links = first.unionByName(_verified(rest, known, distance))
+    links = first.unionByName(_verified(rest, known, distance, chars_per_edit))
     classes = cut_lineage(components(links).withColumnRenamed("node", "id"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +316,8 @@ def _texts_of(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     return cut_lineage(lines.join(ids, "id", "left_semi").dropDuplicates(["id", "line"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """The pairs ``a, b`` whose lines are within the distance."""
+def _verified(pairs: DataFrame, texts: DataFrame, distance: int, chars_per_edit: int = 0) -> DataFrame:
+    """The pairs ``a, b`` whose lines are within the distance, or the edits that their length allows."""
     ours = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("n_chars").alias("chars_a"), F.col("letters").alias("letters_a"))
     theirs = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("n_chars").alias("chars_b"), F.col("letters").alias("letters_b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -312,7 +329,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = within_distance(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), distance)
+            left, right = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
+            allowed, close = allowed_edits(left, right, distance, chars_per_edit), np.zeros(len(left), bool)
+            for edits in np.unique(allowed).tolist():
+                mine = np.flatnonzero(allowed == edits).tolist()
+                close[mine] = within_distance([left[k] for k in mine], [right[k] for k in mine], edits)
             yield batch.select(["a", "b"]).filter(pa.array(close))
 
     return met.select("a", "b", "line_a", "line_b").mapInArrow(trimmed(run), "a long, b long")

@@ -45,7 +45,7 @@ FROM embeddings LEFT JOIN degrees USING (vec_id) LEFT JOIN labels USING (vec_id)
 
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_classes(table(spark, folder, "documents"))
+    return lines.line_classes(table(spark, folder, "documents"), **lines.WHOLE)
 
 
 @query
