@@ -143,3 +143,19 @@ def test_rare_languages_go_by_model_and_limit_of_all(documents):
     got = {r["doc_id"]: r for r in quality.classify(docs, trusted).collect()}
     assert sum(got[1008 + i]["kept"] for i in range(40)) >= 38
     assert got[1008]["threshold"] != got[0]["threshold"] and got[1008]["perplexity"] is not None
+
+
+def test_short_secrets_digests_and_rare_words(documents):
+    draw = random.Random(9)
+    pick = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    rows = []
+    for i in range(90):
+        short = pick("abcdefgh", 3) + draw.choice("@!#") + pick("0123456789", 2) + pick("KLMNOP", 3)
+        rows.append((i, f"{clean(draw, 6)} password: '{short}' and commit {pick('0123456789abcdef', 40)} or number {pick('0123456789', 16)} end", "en"))
+    rows += [(1000, "token=ab1.cd2.ef3 then", "en"), (1001, "zephyr quokka zephyr", "xx")]
+    docs = documents(rows)
+    assert {"zephyr", "quokka"} <= secrets.dictionary(docs, words=5)
+    got = secrets.scan(docs, learn_from=F.col("doc_id") % 3 != 1).collect()
+    held = [r for r in got if r["doc_id"] < 90 and r["doc_id"] % 3 == 1]
+    assert sorted({(r["length"], r["label"], r["predicted"]) for r in held}) == [(9, 1, 1), (16, 0, 0), (40, 0, 0)] and len(held) == 90
+    assert [(r["start"], r["length"]) for r in got if r["doc_id"] == 1000] == [(6, 11)]

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.sources.workspace import cut_lineage
 
-#: A candidate: 16 or more characters of keys and codes, not inside a word.
-CANDIDATE = re.compile(r"(?<!\w)[A-Za-z0-9+/_\-]{16,}={0,2}(?!\w)")
+#: A candidate: what is assigned to a credential's name, of any length and characters, or 16 or more characters of keys and codes, not inside a word.
+CANDIDATE = re.compile(
+    r"(?<![A-Za-z])(?:(?i:password|passwd|pwd|token|secret|key|auth|credential)[\"']?\s*[=:]\s*[\"']?)(?P<assigned>[^\s\"',;]*[^\s\"',;.:=])"
+    r"|(?<!\w)[A-Za-z0-9+/_\-]{16,}={0,2}(?!\w)"
+)
 #: Characters before and after a candidate that are looked at.
 CONTEXT = 60
 # Words whose neighbourhood speaks for or against a secret.
@@ -31,15 +34,13 @@ FEATURES = (
 )
 
 
-def dictionary(docs: DataFrame, sample: int = 2_000, words: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
-    """The commonest letter words of 3 to 12 letters, in documents of the ``sample`` ids of smallest hash."""
-    ids = docs.select(F.xxhash64(id_col).alias("draw")).orderBy("draw").limit(sample)
-    last = ids.agg(F.max("draw")).first()[0]
-    if last is None:
-        return frozenset()
-    some = docs.where(F.xxhash64(id_col) <= last).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([a-z]+)"), 1))).alias("w"))
-    counted = some.where(F.length("w").between(3, 12)).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(words)
-    return frozenset(row["w"] for row in counted.collect())
+def dictionary(docs: DataFrame, words: int = 5_000, text_col: str = "text", lang_col: str = "lang") -> frozenset[str]:
+    """The commonest letter words of 3 to 12 letters of each language, by the number of documents, over all documents."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([a-z]+)"), 1))
+    counted = docs.select(lang.alias("of"), F.explode(found).alias("w")).where(F.length("w").between(3, 12)).groupBy("of", "w").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.col("n").desc(), "w"))
+    return frozenset(row["w"] for row in counted.withColumn("place", place).where(F.col("place") <= words).select("w").distinct().collect())
 
 
 def describe(value: str, before: str, after: str, path: str, known: frozenset[str]) -> list[float]:
@@ -85,9 +86,10 @@ def candidates(docs: DataFrame, known: frozenset[str], id_col: str = "doc_id", t
             for k, (text, path) in enumerate(zip(batch.column("text"), batch.column("path"))):
                 whole = text.as_py() or ""
                 for m in CANDIDATE.finditer(whole):
-                    parts = (m.group(), whole[max(0, m.start() - CONTEXT): m.start()], whole[m.end(): m.end() + CONTEXT])
+                    begin = m.start("assigned") if m["assigned"] else m.start()
+                    parts = (whole[begin: m.end()], whole[max(0, begin - CONTEXT): begin], whole[m.end(): m.end() + CONTEXT])
                     at.append(k)
-                    start.append(m.start())
+                    start.append(begin)
                     text_parts.append(parts)
                     table.append(describe(*parts, path.as_py(), known))
             grid = np.array(table, float).reshape(len(table), len(FEATURES))
@@ -105,13 +107,19 @@ def format_labels() -> Column:
     """Labels of findings whose format settles them: 1 secret, 0 not, null unsettled.
 
     Issued key formats, and hexadecimal values assigned to a credential's name, are secrets.
-    Numbers that are digits only, and values of letters only that the dictionary explains, are not.
+    So are values of eight or more letters and digits, with or without marks, assigned to one.
+    Numbers that are digits only, values of letters only that the dictionary explains, and
+    hexadecimal digests and UUIDs after a name of such, are not.
     """
     issued = F.col("value").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$") | F.col("value").rlike("^(ghp|gho|ghs)_[A-Za-z0-9]{36}$")
     named = F.col("before").rlike("(?i)(password|passwd|pwd|token|secret|key)\\s*[=:]\\s*[\"']?$") & F.col("value").rlike("^[0-9a-fA-F]{16,}$")
     number = F.col("value").rlike("^[0-9]+$")
     word = F.col("value").rlike("^([A-Z]?[a-z]+|[A-Z]+)$") & (F.col("dictionary") >= 0.5) & ~F.col("before").rlike("[=:]\\s*[\"']?$")
-    return F.when(issued | named, 1).when(number | word, 0)
+    assigned = F.col("before").rlike("(?i)(password|passwd|pwd|token|secret)[\"']?\\s*[=:]\\s*[\"']?$")
+    strong = assigned & F.col("value").rlike("^(?=.*[0-9])(?=.*[A-Za-z]).{8,}$")
+    digest = F.col("value").rlike("^([0-9a-fA-F]{32,128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$") & F.col("before").rlike(
+        "(?i)(sha-?[0-9]*(sum)?|md5(sum)?|commit|checksum|digest|uuid)[\"']?\\s*[=: ]\\s*[\"']?$")
+    return F.when(issued | named | strong, 1).when(number | word | digest, 0)
 
 
 def train(findings: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -143,7 +151,7 @@ def scan(
     labelled findings of both kinds every score is null and nothing is predicted. Null and empty
     texts have no candidates; rows of one id are scanned as they stand.
     """
-    known = dictionary(docs, id_col=id_col, text_col=text_col)
+    known = dictionary(docs, text_col=text_col)
     found = candidates(docs, known, id_col, text_col, path_col)
     found = cut_lineage(found.withColumn("label", format_labels() if labels is None else labels))
     model = train(found if learn_from is None else found.where(learn_from))
