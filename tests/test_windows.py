@@ -28,6 +28,32 @@ def test_numbering_by_slices_equals_window(table, rows):
     assert rows(got, "g", "x", "id", "ordinal") == rows(want)
 
 
+def test_numbering_in_order_equals_window(table, rows):
+    data = table.distinct()
+    got = windows.number_in_order(data, ["g"], ["x", F.col("id").desc()], unique_order=True)
+    want = data.withColumn("ordinal", F.row_number().over(Window.partitionBy("g").orderBy("x", F.col("id").desc())))
+    assert rows(got, "g", "x", "id", "ordinal") == rows(want)
+
+
+def test_one_group_of_ties_is_numbered_by_many_ranges(spark):
+    data = spark.range(0, 20_000, 1, 8).select(F.lit(None).cast("string").alias("g"), F.lit(1).alias("x"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.number_in_order(data, ["g"], ["x"])
+        assert got.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first() == (20_000, 1, 20_000)
+        dealt = data.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("g", "x", "tie")
+        largest = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 6_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_numbering_without_keys_and_of_no_rows(spark, table):
+    assert [r["ordinal"] for r in windows.number_in_order(table, [], ["id"]).orderBy("ordinal").collect()] == list(range(1, 401))
+    assert windows.number_in_order(table.limit(0), ["g"], ["id"]).count() == 0
+
+
 def test_first_and_repeats_are_the_whole_table(table, rows):
     first = windows.first_per_key(table, ["g", "x"], ["id"])
     again = windows.repeats(table, ["g", "x"], ["id"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.operators.joins import keyed_join
+from usagelens.sources.workspace import cut_lineage
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
@@ -80,6 +81,33 @@ def number_rows(
     return placed.withColumn(name, F.col("__start") + F.col("__place")).drop("__group", "__place", "__start")
 
 
+def number_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "ordinal", unique_order: bool = False
+) -> DataFrame:
+    """Number the rows of each group from 1 in ``order``, however large a group is.
+
+    All rows are dealt by ranges of (keys, order), sorted and counted per range; a range's rows
+    go on where those of its group in earlier ranges end. So one group of all rows is numbered
+    by all tasks, and only a count per group and range meets in one place. Null keys are a
+    group. Rows that tie are told apart by a number written with them first, so that they too
+    are dealt out; ``unique_order`` says that ``order`` leaves no ties, which saves that copy.
+    """
+    rows, by = df, [*keys, *order]
+    if not unique_order:
+        rows = cut_lineage(df.withColumn("__tie", F.monotonically_increasing_id()))
+        by = [*by, "__tie"]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    group = F.struct(*keys) if keys else F.lit(0)
+    placed = cut_lineage(dealt.select(
+        *df.columns, group.alias("__group"), F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__at"),
+    ))
+    sizes = placed.groupBy("__group", "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(sizes.select("__group", "__range", (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__start")))
+    numbered = placed.join(starts, ["__group", "__range"]).withColumn(name, F.col("__at") + F.col("__start"))
+    return numbered.drop("__group", "__range", "__at", "__start")
+
+
 def sorted_head(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
     """Sort ascending with nulls last, and keep the first n rows when n is given."""
     ordered = df.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
