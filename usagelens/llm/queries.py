@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, lines, minhash, mixing, packing, quality, secrets, topk, toxicity, warc
+from usagelens.llm import covertree, lines, merkle, minhash, mixing, packing, quality, secrets, topk, toxicity, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -150,3 +150,56 @@ scored AS (
 ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 5"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, folder, "documents"), tampered)
+
+
+#: CRC-32 of the decimal digits of a number, by the table of its polynomial; the levels of a tree are unrolled by recursion.
+ORACLE_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i AS i, 0 AS k, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+page AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, doc_id::VARCHAR AS id_text
+  FROM documents),
+digits AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id_text, ''), lambda x: ord(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS crc32
+  FROM page, crc WHERE id_text IS NOT NULL),
+leaf AS (
+  SELECT r, doc_id, tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || CASE WHEN crc32 % 3 = 0
+           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS found
+  FROM page LEFT JOIN digits USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+node AS (
+  SELECT 0 AS level, tree, rank AS i, n, leaf AS digest FROM ranked
+  UNION ALL
+  SELECT level + 1, tree, i // 8, ceil(any_value(n) / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY level, tree, i // 8),
+top AS (SELECT tree, digest AS subroot FROM node WHERE n = 1),
+forest AS (SELECT sha256(string_agg(subroot, '' ORDER BY tree)) AS root FROM top),
+fold AS (
+  SELECT r, 0 AS level, tree, rank AS i, n, found AS node, '' AS proof FROM ranked
+  UNION ALL
+  SELECT r, level + 1, tree, i // 8, ceil(n / 8)::BIGINT,
+         sha256(array_to_string(list_transform(family, lambda x, k: CASE WHEN k = i % 8 + 1 THEN node ELSE x END), '')),
+         proof || array_to_string(list_filter(family, lambda x, k: k <> i % 8 + 1), '')
+  FROM fold JOIN (SELECT level, tree, i // 8 AS p, list(digest ORDER BY i) AS family FROM node WHERE n > 1 GROUP BY level, tree, i // 8) AS f
+    USING (level, tree) WHERE n > 1 AND i // 8 = p),
+done AS (
+  SELECT r, tree, node, proof, (SELECT list(subroot ORDER BY tree) FROM top) AS all_roots, (SELECT list(tree ORDER BY tree) FROM top) AS trees FROM fold WHERE n = 1),
+proved AS (
+  SELECT r, tree, sha256(proof || array_to_string(list_filter(all_roots, lambda x, k: trees[k] <> tree), '')) AS proof_sha256,
+         sha256(array_to_string(list_transform(all_roots, lambda x, k: CASE WHEN trees[k] = tree THEN node ELSE x END), '')) AS folded_root
+  FROM done)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN proved USING (r, tree) JOIN top USING (tree), forest"""
