@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import covertree, lines, merkle, minhash, mixing, packing, quality, secrets, topk, toxicity, warc
+from usagelens.llm import covertree, langid, lines, merkle, minhash, mixing, packing, phrases, quality, secrets, topk, toxicity, warc
 from usagelens.llm.common import table
 from usagelens.sources.workspace import fresh_path
 
@@ -152,6 +152,45 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 5"""
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLE_SQL["op11_phrase_mining"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+occurrence AS (
+  SELECT lang, k, array_to_string(w[i: i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS r(k) WHERE len(w) >= k)),
+found AS (SELECT lang, k AS words, phrase, count(*) AS c FROM occurrence GROUP BY lang, k, phrase HAVING count(*) >= 100),
+longer AS (
+  SELECT DISTINCT lang, array_to_string(string_split(phrase, ' ')[i: i + k - 1], ' ') AS phrase, c AS a
+  FROM (SELECT lang, phrase, c, words, k, unnest(range(1, words - k + 2)) AS i FROM found, range(2, 5) AS r(k) WHERE words > k)),
+candidate AS (SELECT lang, words, phrase, c AS a FROM found ANTI JOIN longer ON found.lang = longer.lang AND found.phrase = longer.phrase AND found.c = longer.a WHERE words > 1),
+cut AS (
+  SELECT lang, words, phrase, a, k, array_to_string(string_split(phrase, ' ')[1: k], ' ') AS part, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM candidate)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, cut.k, f.c AS l, g.c AS r, n, ((1000::HUGEINT * a * n) // (f.c::HUGEINT * g.c))::BIGINT AS score
+  FROM cut JOIN found f ON cut.lang = f.lang AND part = f.phrase JOIN found g ON cut.lang = g.lang AND rest = g.phrase JOIN sizes ON cut.lang = sizes.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000"""
+
+
+@query
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs, remainder = table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.train(docs, F.coalesce(remainder != 2, F.lit(False)))
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
