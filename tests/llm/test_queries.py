@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, folder, oracle, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
 
 
 def test_pipeline_runs_all_stages(spark, folder):
