@@ -164,7 +164,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows, held = [], 0
             for row in parse_archive(content.as_py()):
                 rows.append(row)
-                held += len(row["block"] or b"")
+                held += len(row.get("block") or b"")
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, held = [], 0
@@ -174,28 +174,40 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def parse_archive(content: bytes) -> Iterator[dict]:
     """Records of one archive, whose gzip members are unpacked as the reading goes on."""
     data, at = _Unpacked(content), 0
-    while (head := data.until(b"\r\n\r\n")) is not None:
-        fields = _header(head, VERSION)
-        length = fields.get("content-length", "") if fields else ""
-        if not length.isdigit():
-            yield {"fault": f"no record at {at}"}
-            return
-        block, end = data.take(int(length)), data.take(4)
-        if len(block) < int(length) or end != b"\r\n\r\n":
-            yield {"fault": f"the record at {at} is cut off"}
-            return
-        at += len(head) + len(block) + 8
-        number, total, page = (fields.get(k) for k in ("warc-segment-number", "warc-segment-total-length", "warc-page-id"))
-        yield {
-            "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
-            "page_id": int(page) if page else None, "uri": fields.get("warc-target-uri"),
-            "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
-            "refers_to_id": fields.get("warc-refers-to"), "origin_id": fields.get("warc-segment-origin-id"),
-            "segment_number": int(number) if number else None, "total_length": int(total) if total else None,
-            "block": block, "fault": None,
-        }
-    if data.left():
-        yield {"fault": f"bytes without a record at {at}"}
+    try:
+        while (head := data.until(b"\r\n\r\n")) is not None:
+            fields = _header(head, VERSION)
+            numbers = {k: _whole_number(fields.get(k)) for k in ("content-length", "warc-segment-number", "warc-segment-total-length", "warc-page-id")}
+            length = numbers["content-length"]
+            if length is None or any(v is None and fields.get(k) for k, v in numbers.items()):
+                yield _fault(f"no record at {at}")
+                return
+            block, end = data.take(length), data.take(4)
+            if len(block) < length or end != b"\r\n\r\n":
+                yield _fault(f"the record at {at} is cut off")
+                return
+            at += len(head) + len(block) + 8
+            yield {
+                "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
+                "page_id": numbers["warc-page-id"], "uri": fields.get("warc-target-uri"),
+                "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
+                "refers_to_id": fields.get("warc-refers-to"), "origin_id": fields.get("warc-segment-origin-id"),
+                "segment_number": numbers["warc-segment-number"], "total_length": numbers["warc-segment-total-length"],
+                "block": block, "fault": None,
+            }
+        if data.left():
+            yield _fault(f"bytes without a record at {at}")
+    except zlib.error as error:
+        yield _fault(f"the archive does not unpack behind {at}: {error}")
+
+
+def _fault(what: str) -> dict:
+    return {"block": None, "fault": what}
+
+
+def _whole_number(text: str | None) -> int | None:
+    """A decimal of at most 18 digits, or None."""
+    return int(text) if text and re.fullmatch("-?[0-9]{1,18}", text) else None
 
 
 class _Unpacked:
@@ -253,7 +265,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     the last one states; otherwise ``intact`` is false and ``block`` null. A group is the
     segments of one record, never more. Segments of equal id and number are one; continuations without
     their first segment are one record of unknown page. Faults of the archives are rows too.
-    Whole records of equal id stay as many rows as were written.
+    Records of equal id, which equal rows of a table are written as, stay as many rows as were
+    written: whole ones as they are, segmented ones as often as their first segment occurs.
     """
     whole = records.where("segment_number IS NULL").select(
         "record_id", "record_type", "page_id", "uri", "payload_digest", "refers_to_id", "block", F.col("fault").isNull().alias("intact"),
@@ -262,7 +275,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("segment_number") == 1, F.col(c))).alias(c)
     joined = parts.groupBy("origin").agg(
         *[first(c) for c in ("record_type", "page_id", "uri", "payload_digest", "refers_to_id")],
-        F.max("total_length").alias("total"),
+        F.max("total_length").alias("total"), F.greatest(F.lit(1), F.count_if(F.col("segment_number") == 1)).alias("copies"),
         F.array_sort(F.collect_set(F.struct("segment_number", F.col("block").alias("piece")))).alias("pieces"),
     )
     numbers = F.transform("pieces", lambda p: p["segment_number"])
@@ -273,9 +286,9 @@ def reassemble(records: DataFrame) -> DataFrame:
     )
     joined = joined.select(
         F.col("origin").alias("record_id"), "record_type", "page_id", "uri", "payload_digest", "refers_to_id",
-        F.when(F.col("intact"), F.col("block")).alias("block"), "intact",
+        F.when(F.col("intact"), F.col("block")).alias("block"), "intact", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(joined.drop("copy"))
 
 
 def decode_payloads(assembled: DataFrame) -> DataFrame:
@@ -324,7 +337,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     ``page_id``, ``uri``, ``record_type``, ``refers_to`` (page of the response that a revisit
     names), ``payload_bytes``, ``payload_digest`` (both measured on the payload read back, a
     revisit's on that of its response), ``intact`` (all read, and as the digest in the header).
-    Copies of a record, which equal rows of the table were written as, are one row. The
+    Copies of a record, which equal rows of the table were written as, are a row each. The
     archives are read once; what goes on from there is some hundred bytes a record.
     """
     measured = read_payloads(spark, path).select(
@@ -333,14 +346,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"), "intact",
     )
     measured = cut_lineage(measured)
-    measured = measured.where("record_id IS NOT NULL").dropDuplicates(["record_id"]).unionByName(measured.where("record_id IS NULL"))
     right = lambda digest: F.coalesce(F.col("intact") & (F.col(digest) == F.col("stated")), F.lit(False))
     responses = measured.where("record_type = 'response'")
     own = responses.select(
         "page_id", "uri", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest",
         right("payload_digest").alias("intact"),
     )
-    targets = responses.select(
+    # Copies of a response are one target.
+    targets = responses.where("record_id IS NOT NULL").dropDuplicates(["record_id"]).select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"),
         F.col("payload_digest").alias("target_digest"), F.col("payload_bytes").alias("target_bytes"),
     )
