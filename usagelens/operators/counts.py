@@ -12,6 +12,7 @@ from usagelens.functions.period import month_start
 from usagelens.functions.text import percent_with_count
 from usagelens.operators.reshape import wide_values
 from usagelens.operators.select import text_columns
+from usagelens.operators.sketches import LG_K
 from usagelens.sources.workspace import cut_lineage
 
 
@@ -74,21 +75,27 @@ def frequency_share(df: DataFrame, key: str) -> DataFrame:
 
 
 def crosstab_percent(
-    df: DataFrame, row: str, column: str, values: Sequence[str] | None = None, digits: int = 1
+    df: DataFrame, row: str, column: str, values: Sequence[str] | None = None, digits: int = 1, other: str | None = None
 ) -> DataFrame:
     """Two-way table with a totals row, each cell as percent of the grand total with its count.
 
     ``values`` are the column headings in order, by default all values found. Rows whose
-    ``column`` is null go under ``NA_``.
+    ``column`` is null go under ``NA_``. With ``other`` rows of values that are not listed go
+    under a column of that name; without it they are an error, so the cells always add up to all rows.
     """
     values = wide_values(df, column) if values is None else values
+    rest = other or "__other"
     cells = df.groupBy(row).agg(
         *[F.count_if(F.col(column) == v).alias(v) for v in values],
         F.count_if(F.col(column).isNull()).alias("NA_"),
+        F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(list(values))).alias(rest),
         F.count(F.lit(1)).alias("__all"),
     )
+    if other is None:
+        unlisted = F.raise_error(F.lit(f"{column} has values that are not among the headings"))
+        cells = cells.withColumn("__all", F.when(F.col(rest) > 0, unlisted.cast("long")).otherwise(F.col("__all"))).drop(rest)
     cells = cut_lineage(cells.withColumn(row, F.coalesce(F.col(row).cast("string"), F.lit("NA"))))
-    headings = [*values, "NA_"]
+    headings = [*values, "NA_", *([other] if other else [])]
     totals = cells.agg(F.lit("Total").alias(row), *[F.sum(F.col(f"`{h}`")).alias(h) for h in headings])
     grand = cells.agg(F.sum("__all")).scalar()
     return cells.drop("__all").unionByName(totals).select(
@@ -114,6 +121,28 @@ def distinct_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def sketched_profile(df: DataFrame, columns: Sequence[str] | None = None, lg_k: int = LG_K, top: int = 3) -> DataFrame:
+    """Per column ``n_rows, n_null, n_distinct, most_frequent``, from one aggregate that reads the input once.
+
+    Distinct values come from a theta sketch: exact below ``2**lg_k`` values, beyond with a
+    relative standard error of ``2**(-lg_k / 2)``. ``most_frequent`` lists the ``top`` values
+    with the counts that a frequent-items sketch has of them, which are exact as long as a column
+    has few thousand values. ``distinct_profile`` is the exact form, which repeats every row once per column.
+    """
+    columns = list(columns or df.columns)
+    text = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    named = df.select(*[t.alias(f"c{i}") for i, t in enumerate(text.values())])
+    found = []
+    for i in range(len(columns)):
+        top_k = F.expr(f"transform(approx_top_k(c{i}, {top}, 10000), x -> struct(x.item AS value, x.count AS n))")
+        found.append(F.struct(
+            F.lit(columns[i]).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f"c{i}").isNull()).alias("n_null"),
+            F.theta_sketch_estimate(F.theta_sketch_agg(f"c{i}", lg_k)).alias("n_distinct"), top_k.alias("most_frequent"),
+        ).alias(f"p{i}"))
+    profile = named.agg(*found)
+    return profile.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(columns))])))
+
+
 def monthly_counts(df: DataFrame, day: Column | str, name: str = "n") -> DataFrame:
     """Rows per calendar month."""
     day = F.col(day) if isinstance(day, str) else day

@@ -23,9 +23,16 @@ def to_long(
     return long.where(F.col(value).isNotNull()).distinct()
 
 
+#: Headings of a wide table at most, as in Spark's own pivot.
+MAX_HEADINGS = 10_000
+
+
 def wide_values(df: DataFrame, column: str) -> list:
-    """Distinct non-null values, sorted, as headings. They become columns; where there may be very many, keep the long form."""
-    return sorted(row[0] for row in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
+    """Distinct non-null values, sorted, as headings. More than ``MAX_HEADINGS`` are an error: keep the long form."""
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_HEADINGS + 1).collect()
+    if len(found) > MAX_HEADINGS:
+        raise ValueError(f"{column} has more than {MAX_HEADINGS} values, which are too many for columns")
+    return sorted(row[0] for row in found)
 
 
 def marker_matrix(
@@ -37,11 +44,20 @@ def marker_matrix(
     return df.groupBy(*ids).pivot(column, headings).agg(F.max(F.lit(1)))
 
 
-def value_as_marker(df: DataFrame, ids: Sequence[str], column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``ids`` and one column per value, holding the value itself where it occurs."""
+def value_as_marker(
+    df: DataFrame, ids: Sequence[str], column: str, values: Sequence[str] | None = None, other: str | None = None
+) -> DataFrame:
+    """One row per ``ids`` and one column per value, holding the value itself where it occurs.
+
+    With a given list of ``values`` and ``other`` a column of that name counts the rows of other
+    values; without ``other`` they show in no column, and only the row of their ids is there.
+    """
     headings = list(values) if values is not None else wide_values(df, column)
-    marks = marker_matrix(df, ids, column, headings)
-    return marks.select(*ids, *[F.when(F.col(f"`{h}`") == 1, h).alias(h) for h in headings])
+    if other is None:
+        marks = marker_matrix(df, ids, column, headings)
+        return marks.select(*ids, *[F.when(F.col(f"`{h}`") == 1, h).alias(h) for h in headings])
+    rest = F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(headings))
+    return df.groupBy(*ids).agg(*[F.max(F.when(F.col(column) == h, h)).alias(h) for h in headings], rest.alias(other))
 
 
 def ordinal_wide(

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from usagelens.operators.joins import keyed_join
 from usagelens.sources.workspace import cut_lineage
 
+#: Parts that the values of a group are dealt into, and rows of a group up to which Spark trims windows.
+PARTS, TRIMMED = 32, 1_000
+
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Add aggregates of each row's group to the row, null keys forming a group of their own.
@@ -37,14 +40,34 @@ def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -
 
 
 def lowest_per_group(df: DataFrame, keys: Sequence[str], by: Column, n: int = 1) -> DataFrame:
-    """Rows with the n lowest values per group, ties kept."""
-    place = Window.partitionBy(*keys).orderBy(by)
-    return df.withColumn("__place", F.rank().over(place)).where(F.col("__place") <= n).drop("__place")
+    """Rows with the n lowest values per group, ties kept, nulls lowest.
+
+    Equal values of a group become one row with their number, map-side; each of ``PARTS`` parts
+    of a group keeps its n lowest values, and these meet to give the group's n-th lowest, with
+    which its rows are joined. So all rows of one group may tie, and none meet in one task.
+    """
+    keys = list(keys)
+    ranked = df.withColumn("__by", F.struct(by.isNotNull().alias("some"), by.alias("value")))
+    values = ranked.groupBy(*keys, "__by").agg(F.count(F.lit(1)).alias("__rows"))
+    spread = values.withColumn("__part", F.pmod(F.xxhash64("__by"), F.lit(PARTS)))
+    inside = Window.partitionBy(*keys, "__part").orderBy("__by")
+    few = spread.withColumn("__place", F.row_number().over(inside)).where(F.col("__place") <= n)
+    below = Window.partitionBy(*keys).orderBy("__by").rowsBetween(Window.unboundedPreceding, -1)
+    taken = few.withColumn("__below", F.coalesce(F.sum("__rows").over(below), F.lit(0))).where(F.col("__below") < n)
+    last = taken.groupBy(*keys).agg(F.max("__by").alias("__last"))
+    return keyed_join(ranked, last, keys, "inner").where(F.col("__by") <= F.col("__last")).select(df.columns)
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """n random rows per group. The order is a seeded hash of ``by`` (default: the whole row)."""
+    """n random rows per group. The order is a seeded hash of ``by`` (default: the whole row).
+
+    Up to ``TRIMMED`` rows of a group Spark trims each group before it shuffles; samples of more
+    are numbered by ranges.
+    """
     draw = F.xxhash64(F.lit(seed), *(by or df.columns))
+    if n > TRIMMED:
+        drawn = number_in_order(df.withColumn("__draw", draw), keys, ["__draw", *(by or df.columns)], "__place")
+        return drawn.where(F.col("__place") <= n).select(df.columns)
     place = Window.partitionBy(*keys).orderBy(draw, *(by or df.columns))
     return df.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= n).drop("__place")
 

@@ -22,6 +22,7 @@ from usagelens.functions.rules import fill_by_rules, replace_values
 from usagelens.functions.text import key_from_email
 from usagelens.operators.joins import keyed_join, lookup
 from usagelens.settings import MARKETING_LABEL, SOCIAL_LABEL, KpiSettings
+from usagelens.sources.workspace import cut_lineage
 
 DATES = ["mc_last_login", "social_last_login", "sf_last_login"]
 PRODUCTS = ["mc_profile", "social_profile", "sf_product"]
@@ -124,7 +125,8 @@ def user_products(users: DataFrame, assignments: DataFrame, mapping: DataFrame)
 def person_chain(reports: DataFrame, users: DataFrame, contacts: DataFrame, unique: bool = True) -> DataFrame:
     """Users full-joined to report rows on the person id, then contacts attached.
 
-    ``unique`` says that the reports have one row per id.
+    ``unique`` says that the reports have one row per id. The users are read twice, so give
+    them written.
     """
     known = contacts.where(F.col("net_id").isNotNull())
     active = keyed_join(users, reports, "net_id", "full", right_unique=unique)
@@ -148,9 +150,9 @@ def activity_base(extracts: Extracts, period: Period, settings: KpiSettings) ->
 def activity_base_of(users: DataFrame, extracts: Extracts, period: Period, settings: KpiSettings) -> DataFrame:
     """The same for users chosen in another way (``users_with_last_login``, ``licensed_users``)."""
     reports = report_logins(extracts.marketing, extracts.social, period)
-    product_users = _product_users(users, extracts, settings)
-    chain = person_chain(reports, product_users, _contact_columns(extracts.contacts))
-    return _with_units(chain, extracts, settings)
+    product_users = cut_lineage(product_users_of(users, extracts, settings))
+    chain = person_chain(reports, product_users, contact_columns(extracts.contacts))
+    return with_units(chain, extracts, settings)
 
 
 def activity_base_by_email(extracts: Extracts, period: Period, settings: KpiSettings) -> DataFrame:
@@ -162,14 +164,14 @@ def activity_base_by_email(extracts: Extracts, period: Period, settings: KpiSett
     users = base_users(users_with_login(extracts.users, extracts.login_history, period), settings)
     marketing = _fold(_report_rows(extracts.marketing, "email", "mc", period), ["email"], {"mc": MARKETING_LABEL})
     social = _fold(_report_rows(extracts.social, "net_id", "social", period), ["net_id"], {"social": SOCIAL_LABEL})
-    contacts = _contact_columns(extracts.contacts).where(F.col("net_id").isNotNull())
+    contacts = contact_columns(extracts.contacts).where(F.col("net_id").isNotNull())
     known = keyed_join(contacts, marketing, "email", "full", right_unique=True)
-    active = keyed_join(_product_users(users, extracts, settings), social, "net_id", "full", right_unique=True)
+    active = keyed_join(cut_lineage(product_users_of(users, extracts, settings)), social, "net_id", "full", right_unique=True)
     chain = keyed_join(active, known, "net_id", "full", null_match=False)
-    return _with_units(chain, extracts, settings)
+    return with_units(chain, extracts, settings)
 
 
-def _product_users(users: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
+def product_users_of(users: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
     users = users.where(F.col("profile_name") != settings.admin_profile).select(
         F.col("id").alias("sf_user_id"), "net_id", F.col("profile_name").alias("sf_profile"),
         F.col("created_ts").cast("date").alias("sf_created"),
@@ -178,11 +180,11 @@ def _product_users(users: DataFrame, extracts: Extracts, settings: KpiSettings)
     return user_products(users, extracts.assignments, extracts.mapping)
 
 
-def _contact_columns(contacts: DataFrame) -> DataFrame:
+def contact_columns(contacts: DataFrame) -> DataFrame:
     return contacts.select("net_id", F.col("id").alias("contact_id"), "email", "primary_department")
 
 
-def _with_units(chain: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
+def with_units(chain: DataFrame, extracts: Extracts, settings: KpiSettings) -> DataFrame:
     active = chain.where(any_present(*DATES)).where(not_in(F.col("net_id"), settings.excluded_net_ids))
     placed = keyed_join(active, primary_units(extracts.affiliations), "contact_id", "left")
     others = [c for c in placed.columns if c != "sf_products"]
@@ -207,7 +209,7 @@ def entitlement_base(extracts: Extracts, settings: KpiSettings, two_systems: boo
         "profile_name", F.col("created_ts").cast("date").alias("created"),
     ).distinct()
     assigned = extracts.assignments.select(F.col("assignee_id").alias("sf_user_id")).distinct()
-    users = keyed_join(users, assigned, "sf_user_id", "left_semi", null_match=False)
+    users = cut_lineage(keyed_join(users, assigned, "sf_user_id", "left_semi", null_match=False))
     contacts = extracts.contacts.select("net_id", F.col("id").alias("contact_id"))
     if two_systems:
         accounts = extracts.marketing.select(key_from_email(F.col("email")).alias("net_id"), "name")

@@ -73,7 +73,10 @@ def products_by_unit_wide(
 
     ``values`` are all product columns to show, by default those found in the table.
     """
-    matrix = marker_matrix(_in_units(table), "unit", "product", values)
+    return _named_matrix(marker_matrix(_in_units(table), "unit", "product", values), products)
+
+
+def _named_matrix(matrix: DataFrame, products: Sequence[str]) -> DataFrame:
     absent = {p: F.lit(None).cast("int") for p in products if p not in matrix.columns}
     named = matrix.withColumns(absent) if absent else matrix
     named = named.toDF(*["unit"] + [snake_case(c) for c in named.columns[1:]])
@@ -86,6 +89,45 @@ def units_per_product(table: DataFrame, labels: Mapping[str, str] | None = None)
     return counts.withColumn("product", replace_values(F.col("product"), labels or {}))
 
 
+#: Levels of ``monthly_cells``, and the columns that each groups by.
+LEVELS = {
+    "product": ("product_column", "product"), "product_unit": ("product_column", "product", "unit"), "unit": ("unit",), "total": (),
+}
+
+
+def monthly_cells(table: DataFrame) -> DataFrame:
+    """All user counts of a month from one scan: ``level, product_column, product, unit, total_users, distinct_users``.
+
+    Levels are products, products by unit, units and the total, from one expand and aggregate.
+    A row without unit counts under its product and in the total, not in units.
+    """
+    used = used_products(table).withColumnRenamed("parent_organization", "unit")
+    columns = ["product_column", "product", "unit"]
+    sets = [[F.col(c) for c in level] for level in LEVELS.values()]
+    grouped = used.groupingSets(sets, *columns).agg(
+        F.grouping_id(*columns).alias("__set"), F.count(F.lit(1)).alias("total_users"), F.count_distinct("email").alias("distinct_users"),
+    )
+    # A bit is set for each column that a level does not group by, the last column lowest.
+    codes = {sum((c not in level) << (len(columns) - 1 - i) for i, c in enumerate(columns)): name for name, level in LEVELS.items()}
+    level = F.coalesce(*[F.when(F.col("__set") == code, name) for code, name in codes.items()])
+    cells = grouped.withColumn("level", level).drop("__set")
+    return cells.where(F.col("unit").isNotNull() | ~F.col("level").isin("product_unit", "unit")).select("level", *columns, "total_users", "distinct_users")
+
+
+def reports_of_cells(cells: DataFrame, settings: KpiSettings, values: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The five tables of a month from its cells, of which there are no more than products and units allow."""
+    at = {name: cells.where(F.col("level") == name).drop("level") for name in LEVELS}
+    by_both = at["product_unit"]
+    matrix = _named_matrix(marker_matrix(by_both, "unit", "product", values), settings.matrix_products)
+    return {
+        "user_counts_by_product": at["product"].select("product", "total_users", "distinct_users"),
+        "user_counts_by_product_unit": by_both.select("product", "unit", "total_users", "distinct_users"),
+        "users_by_unit": at["unit"].select("unit", "total_users", "distinct_users"),
+        "products_by_unit": group_count(by_both, "unit", name="total_products"),
+        "products_by_unit_wide": matrix,
+    }
+
+
 def unit_first_month(base: DataFrame) -> DataFrame:
     """Month in which the first account of each unit was created."""
     spans = base.groupBy(F.col("parent_organization").alias("unit")).agg(
@@ -123,10 +165,7 @@ def user_product_table(base: DataFrame, first: dt.date, last: dt.date) -> DataFr
 
 
 def enrich(per_user: DataFrame, table: DataFrame, drop: Sequence[str] = ("total",)) -> DataFrame:
-    """Attach the user's rows of ``table`` to each product row.
-
-    A left join leaves a skewed right side whole, so emails with very many rows are joined apart.
-    """
+    """Attach the user's rows of ``table`` to each product row. Spark splits the product rows of a skewed email, and repeats the email's rows of ``table`` for each part."""
     return keyed_join(per_user, table, "email", "left").drop(*drop)
 
 
@@ -135,7 +174,7 @@ def product_share(base: DataFrame) -> DataFrame:
     pairs = base.where(F.col("sf_product").isNotNull()).groupBy("sf_product", "email").agg(
         F.count_distinct("sf_product").alias("n")
     )
-    shared = with_group_stats(pairs, ["sf_product"], group_n=F.sum("n"))
+    shared = with_group_stats(cut_lineage(pairs), ["sf_product"], group_n=F.sum("n"))
     return shared.withColumn("share", F.col("n") / F.col("group_n")).drop("group_n")
 
 
@@ -152,12 +191,5 @@ def department_breakdown(base: DataFrame, product: str) -> DataFrame:
 
 
 def monthly_report(base: DataFrame, settings: KpiSettings) -> dict[str, DataFrame]:
-    """The five tables of a monthly run. Pass a base that was written and read back."""
-    table = reporting_table(base)
-    return {
-        "user_counts_by_product": users_by_product(table),
-        "user_counts_by_product_unit": users_by_product_and_unit(table),
-        "users_by_unit": users_by_unit(table),
-        "products_by_unit": products_by_unit(table),
-        "products_by_unit_wide": products_by_unit_wide(table, settings.matrix_products),
-    }
+    """The five tables of a monthly run from one scan of the base."""
+    return reports_of_cells(cut_lineage(monthly_cells(reporting_table(base))), settings)

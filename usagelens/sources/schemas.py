@@ -88,3 +88,7 @@ ALIASES = {
         "lastlogindatetime": "max_timestamp",
     },
 }
+
+#: What a finished set of snapshots is known by: a row per table, written when all tables are.
+MANIFEST = "period string, written long, name string, path string"
+MANIFEST_FOLDER = "_sets"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 
 from usagelens.functions.period import Period
+from usagelens.sources.schemas import MANIFEST, MANIFEST_FOLDER
 
 
 def table_path(root: str, name: str, period: Period) -> str:
@@ -28,3 +32,20 @@ def write_tables(tables: dict[str, DataFrame], root: str, period: Period, fmt: s
 def snapshot(df: DataFrame, root: str, name: str, period: Period) -> str:
     """Freeze a table for one period as Parquet; read it back with ``read_snapshot``."""
     return write_table(df, root, name, period, "parquet")
+
+
+def snapshot_set(tables: dict[str, DataFrame], root: str, period: Period) -> str:
+    """Freeze several tables of a period as one set; read them back with ``readers.read_snapshot_set``.
+
+    Every set has a folder of its own, and the list of its tables is written last, by one task,
+    whose file appears when that task commits. A run that is cut short leaves the earlier set in
+    force, and nothing that a reader holds is overwritten. Returns the set's folder.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    root, written = root.rstrip("/"), time.time_ns()
+    folder = f"set-{period.key}-{written}-{uuid.uuid4().hex[:8]}"
+    for name, table in tables.items():
+        table.write.parquet(f"{root}/{folder}/{name}")
+    rows = [(period.key, written, name, f"{folder}/{name}") for name in tables]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST_FOLDER}")
+    return f"{root}/{folder}"
