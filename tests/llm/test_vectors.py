@@ -96,6 +96,19 @@ def test_top_k_equals_all_pairs(table, k=5, block_rows=16, rings=4):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_large_components_are_exact(table):
+    """Whole numbers far beyond what doubles multiply exactly, with ties broken in the last digit; scores stop at 64 bits."""
+    draw = np.random.default_rng(7)
+    base = draw.integers(-(2**20), 2**20, size=(120, 4)).astype(float)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(500, [1e30, 0.0, 0.0, 0.0]), (520, [-1e30, 1.0, 0.0, 0.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table(rows), F.col("vec_id") % 20 == 0, 5, max_pivots=4, rings=4, block_rows=16).collect()}
+    whole = {i: [max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)) if abs(x) < 1e15 else int(np.sign(x)) * 2**63)) for x in v] for i, v in rows}
+    for i in range(0, 120, 20):
+        exact = {j: sum(a * b for a, b in zip(whole[i], whole[j])) for j in whole if j != i}
+        ranked = sorted((-max(topk.LOWEST, min(topk.HIGHEST, s)), j) for j, s in exact.items())[:5]
+        assert [got[i, n] for n in range(1, 6)] == [(j, -s) for s, j in ranked]
+
+
 def test_top_k_of_empty_and_repeated_rows(table):
     assert topk.top_k(table([]), F.col("vec_id") >= 0).count() == 0
     same = [(0, [1.0, 0.0])] * 3 + [(1, [1.0, 0.0])] * 2

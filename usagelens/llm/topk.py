@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from usagelens.llm.vectors import bounded_sample, common_length, farthest_first, matrix, usable
 from usagelens.sources.workspace import cut_lineage
 
-#: Integers up to this size multiply exactly in double precision for up to 2^20 dimensions.
-LARGEST = 2**16
+#: Inner products under this are exact in double precision; larger ones are summed up in 64-bit integers.
+EXACT = 2**53
+#: The ends of a score, for what 64 bits do not hold.
+NONE, LOWEST, HIGHEST = -(2**63) + 1, -(2**63) + 2, 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,7 @@ def top_k(
     rows for a query with fewer candidates. Rows of null id, and vectors that are null, empty
     or hold null or non-finite components, or are not of the commonest length, take no part. Rows that
     repeat an id with an equal vector are one candidate; an id's own rows are never candidates.
+    Components of any size are exact, and scores are where 64 bits hold them.
 
     Rows lie in rings around their nearest pivot. With d the distance of a query from a pivot,
     a row at distance r from that pivot is at least |d - r| from the query, so its inner product
@@ -107,9 +110,9 @@ def top_k(
     index = build_index(cut_lineage(rows), max_pivots, rings=rings)
     if not len(index.rings["n"]):
         return vectors.sparkSession.createDataFrame([], RESULT)
-    largest = index.rows.agg(F.max(F.greatest(F.abs(F.array_max("vector")), F.abs(F.array_min("vector"))))).first()[0]
-    if largest > LARGEST:
-        raise ValueError(f"components up to {largest} would not multiply exactly; lower the scale")
+    ends = F.greatest(F.abs(F.array_max("vector").cast("double")), F.abs(F.array_min("vector").cast("double")))
+    largest, width = index.rows.agg(F.max(ends), F.max(F.size("vector"))).first()
+    kind = np.dtype(np.int32 if largest**2 * width < EXACT else np.int64)
 
     parts = np.maximum(1, -(-index.rings["n"] // block_rows))
     ring_parts = F.create_map(*[F.lit(int(x)) for pair in zip(index.rings["pivot"] * rings + index.rings["ring"], parts) for x in pair])
@@ -119,19 +122,19 @@ def top_k(
         .withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), ring_parts[unit]))
         .groupBy("unit", "part")
         .agg(F.collect_list(F.struct("distance", "vec_id", "vector")).alias("members"))
-        .mapInArrow(_pack(("distance", "vec_id")), "unit int, part long, ids binary, at binary, points binary, width int")
+        .mapInArrow(_pack(kind), "unit int, part long, ids binary, at binary, points binary, width int")
     )
     blocks = cut_lineage(blocks.select("unit", "ids", "at", "points", "width"))
 
     queries = index.rows.where(is_query).select("vec_id", "vector")
     query_parts = max(1, -(-queries.count() // query_rows))
     none = queries.withColumn("floor", F.lit(None).cast("long"))
-    first = _search(none, blocks, index, rings, k, query_parts, True)
+    first = _search(none, blocks, index, rings, k, query_parts, True, kind)
     found = cut_lineage(first)
     floors = found.groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("scores"))
     floors = floors.select("query_id", F.when(F.size("scores") >= k, F.expr(f"element_at(scores, -{k})")).alias("floor"))
     known = queries.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    second = _search(known, blocks, index, rings, k, query_parts, False)
+    second = _search(known, blocks, index, rings, k, query_parts, False, kind)
     everything = found.unionByName(second)
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # A query whose id occurs with several vectors may meet a row twice.
@@ -142,19 +145,19 @@ def top_k(
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
-def _pack(order: tuple[str, ...]):
-    """Rows of a block, sorted, as bytes: ids, distances and a matrix of doubles kept as int32."""
+def _pack(kind: np.dtype):
+    """Rows of a block, sorted by distance and id, as bytes: ids, distances and a matrix of whole numbers of the given kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 members = batch.column("members")[i].values
                 ids, at = members.field("vec_id").to_numpy(), members.field("distance").to_numpy()
-                points = matrix(members.field("vector"))
+                points = _whole(members.field("vector"))
                 by = np.lexsort((ids, at))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("unit").slice(i, 1), batch.column("part").slice(i, 1), pa.array([ids[by].tobytes()]),
-                     pa.array([at[by].tobytes()]), pa.array([points[by].astype(np.int32).tobytes()]),
+                     pa.array([at[by].tobytes()]), pa.array([points[by].astype(kind).tobytes()]),
                      pa.array([points.shape[1]], pa.int32())],
                     ["unit", "part", "ids", "at", "points", "width"],
                 )
@@ -162,7 +165,12 @@ def _pack(order: tuple[str, ...]):
     return run
 
 
-def _search(queries: DataFrame, blocks: DataFrame, index: PivotIndex, rings: int, k: int, query_parts: int, first: bool) -> DataFrame:
+def _whole(vectors: pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows of 64-bit integers."""
+    return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+
+
+def _search(queries: DataFrame, blocks: DataFrame, index: PivotIndex, rings: int, k: int, query_parts: int, first: bool, kind: np.dtype) -> DataFrame:
     """One round: pick rings for each query, gather the queries of a ring in blocks, meet its blocks."""
     picked = queries.mapInArrow(_pick(index, rings, k, first), "unit int, vec_id long, vector array<long>, floor long, distance double")
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(query_parts))
@@ -171,9 +179,9 @@ def _search(queries: DataFrame, blocks: DataFrame, index: PivotIndex, rings: int
         .groupBy("unit", "part")
         .agg(F.collect_list(F.struct("distance", "vec_id", "vector", "floor")).alias("members"))
     )
-    packed = gathered.mapInArrow(_pack_queries, "unit int, q_ids binary, q_points binary, q_floors binary, q_at binary")
+    packed = gathered.mapInArrow(_pack_queries(kind), "unit int, q_ids binary, q_points binary, q_floors binary, q_at binary")
     pairs = packed.join(blocks, "unit")
-    return pairs.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(_meet(k, kind), "query_id long, vec_id long, score long")
 
 
 def _pick(index: PivotIndex, rings: int, k: int, first: bool):
@@ -216,29 +224,32 @@ def _pick(index: PivotIndex, rings: int, k: int, first: bool):
     return run
 
 
-def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            members = batch.column("members")[i].values
-            points = matrix(members.field("vector")).astype(np.int32)
-            floors = members.field("floor").to_pandas().to_numpy(dtype=float)
-            floors = np.where(np.isnan(floors), -np.inf, floors)
-            ids, at = members.field("vec_id").to_numpy(), members.field("distance").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("unit").slice(i, 1), *(pa.array([x.tobytes()]) for x in (ids, points, floors, at))],
-                ["unit", "q_ids", "q_points", "q_floors", "q_at"],
-            )
+def _pack_queries(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members = batch.column("members")[i].values
+                points = _whole(members.field("vector")).astype(kind)
+                floors = members.field("floor").to_pandas().to_numpy(dtype=float)
+                floors = np.where(np.isnan(floors), -np.inf, floors)
+                ids, at = members.field("vec_id").to_numpy(), members.field("distance").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("unit").slice(i, 1), *(pa.array([x.tobytes()]) for x in (ids, points, floors, at))],
+                    ["unit", "q_ids", "q_points", "q_floors", "q_at"],
+                )
 
+    return run
 
-def _meet(k: int):
+
+def _meet(k: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 width = raw["width"]
-                points = np.frombuffer(raw["points"], np.int32).reshape(-1, width).astype(float)
+                points = np.frombuffer(raw["points"], kind).reshape(-1, width)
                 ids, at = np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["at"])
-                queries = np.frombuffer(raw["q_points"], np.int32).reshape(-1, width).astype(float)
+                queries = np.frombuffer(raw["q_points"], kind).reshape(-1, width)
                 found = expand(queries, np.frombuffer(raw["q_ids"], np.int64), np.frombuffer(raw["q_at"]),
                                np.frombuffer(raw["q_floors"]), points, ids, at, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
@@ -251,21 +262,27 @@ def expand(queries, q_ids, q_at, floors, points, ids, at, k: int, step: int = 1_
 
     A step's rows are searched for the queries whose bound there still reaches their k-th score.
     Steps go out from the median distance of the queries, for which the near ones come first.
+    Points are whole numbers: 32-bit ones, whose products are exact in double precision, or
+    64-bit ones. Bounds are doubles with some room in either case.
     """
+    exact = points.dtype != np.int64
+    none = -np.inf if exact else NONE
+    if exact:
+        points, queries = points.astype(float), queries.astype(float)
     steps = [(s, min(s + step, len(ids))) for s in range(0, len(ids), step)]
     middle = float(np.median(q_at)) if len(q_at) else 0.0
     steps.sort(key=lambda p: max(0.0, at[p[0]] - middle, middle - at[p[1] - 1]))
-    norms, squares = (points**2).sum(1), (queries**2).sum(1)
-    best_score = np.full((len(queries), k), -np.inf)
+    norms, squares = (points.astype(float) ** 2).sum(1), (queries.astype(float) ** 2).sum(1)
+    best_score = np.full((len(queries), k), none)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
     for s, e in steps:
         gap = np.maximum(0, np.maximum(at[s] - q_at, q_at - at[e - 1]))
         high = (squares + norms[s:e].max() - gap**2) / 2
-        live = np.flatnonzero(high + 1e-6 * np.abs(high) + 1e-6 >= np.maximum(floors, best_score[:, -1]))
+        live = np.flatnonzero(high + 1e-6 * np.abs(high) + 1e-6 >= np.maximum(floors, np.where(best_score[:, -1] == none, -np.inf, best_score[:, -1].astype(float))))
         if not len(live):
             continue
-        scores = queries[live] @ points[s:e].T
-        scores[q_ids[live][:, None] == ids[s:e][None]] = -np.inf
+        scores = queries[live] @ points[s:e].T if exact else _products(queries[live], points[s:e])
+        scores[q_ids[live][:, None] == ids[s:e][None]] = none
         all_scores = np.concatenate([best_score[live], scores], axis=1)
         all_ids = np.concatenate([best_id[live], np.broadcast_to(ids[s:e], scores.shape)], axis=1)
         if all_scores.shape[1] > 8 * k:  # the k-th highest score; all rows that reach it stay for the ties
@@ -280,5 +297,14 @@ def expand(queries, q_ids, q_at, floors, points, ids, at, k: int, step: int = 1_
         keep = place < k
         best_score[live[rows[keep]], place[keep]] = score[keep]
         best_id[live[rows[keep]], place[keep]] = vec[keep]
-    q, j = np.nonzero(np.isfinite(best_score))
+    q, j = np.nonzero(best_score > none)
     return q_ids[q], best_id[q, j], best_score[q, j].astype(np.int64)
+
+
+def _products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products in 64-bit integers; those beyond are its ends. Sums that pass the ends on the way come back right, as they wrap around."""
+    with np.errstate(over="ignore"):
+        found = queries @ points.T
+    near = queries.astype(float) @ points.T.astype(float)
+    found = np.where(near >= 2.0**63, HIGHEST, np.where(near < -(2.0**63), LOWEST, found))
+    return np.maximum(found, LOWEST)
