@@ -13,16 +13,24 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.operators.windows import number_in_order
 from usagelens.sources.workspace import cut_lineage
 
-#: A candidate: what is assigned to a credential's name, of any length and characters, or 16 or more characters of keys and codes, not inside a word.
+#: A candidate: what is assigned to a credential's name, of any length and characters; the password of a URL; the body
+#: of a private key; or 16 or more characters of keys and codes, not inside a word.
 CANDIDATE = re.compile(
     r"(?<![A-Za-z])(?:(?i:password|passwd|pwd|token|secret|key|auth|credential)[\"']?\s*[=:]\s*[\"']?)(?P<assigned>[^\s\"',;]*[^\s\"',;.:=])"
+    r"|://[^\s:/@\"']{1,64}:(?P<url>[^\s/@\"']{1,256})@"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s*(?P<pem>[A-Za-z0-9+/=]+(?:\s+[A-Za-z0-9+/=]+)*)"
     r"|(?<!\w)[A-Za-z0-9+/_\-]{16,}={0,2}(?!\w)"
 )
+#: What directly precedes a candidate, by which labels are given, and which therefore is no feature.
+LEAD = re.compile(r"(?:[\w-]+[\"']?\s*[=:]\s*[\"']?|[\w-]+\s+|://\S*:|-----[A-Z ]+-----\s*)$")
+#: Words of the dictionary in all.
+MAX_WORDS = 200_000
 #: Characters before and after a candidate that are looked at.
 CONTEXT = 60
 # Words whose neighbourhood speaks for or against a secret.
@@ -30,22 +38,33 @@ HINTS = ("password", "passwd", "pwd", "token", "secret", "key", "auth", "bearer"
 DOUBTS = ("example", "sample", "test", "dummy", "placeholder", "sha", "md5", "checksum", "commit", "uuid", "phone", "card")
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "marks", "hexadecimal", "transitions", "letter_transitions", "longest_run",
-    "dictionary", "hint_before", "hint_after", "doubt_before", "doubt_after", "assigned", "quoted", "neighbour_words", "path_doubt", "path_bucket",
+    "dictionary", "hint_before", "hint_after", "doubt_before", "doubt_after", "quoted", "neighbour_words", "path_doubt", "path_bucket",
 )
 
 
 def dictionary(docs: DataFrame, words: int = 5_000, text_col: str = "text", lang_col: str = "lang") -> frozenset[str]:
-    """The commonest letter words of 3 to 12 letters of each language, by the number of documents, over all documents."""
+    """The commonest words of 3 to 12 letters, of any script, of each language, by the number of documents, over all documents.
+
+    Words are ranked by ranges, so a language may be large; at most ``MAX_WORDS``, the commonest
+    ones, come to the driver.
+    """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([a-z]+)"), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), 1))
     counted = docs.select(lang.alias("of"), F.explode(found).alias("w")).where(F.length("w").between(3, 12)).groupBy("of", "w").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("of").orderBy(F.col("n").desc(), "w"))
-    return frozenset(row["w"] for row in counted.withColumn("place", place).where(F.col("place") <= words).select("w").distinct().collect())
+    ranked = number_in_order(counted, ["of"], [F.col("n").desc(), "w"], name="place", unique_order=True).where(F.col("place") <= words)
+    best = ranked.groupBy("w").agg(F.max("n").alias("n")).orderBy(F.col("n").desc(), "w").limit(MAX_WORDS)
+    return frozenset(best.toArrow().column("w").to_pylist())
 
 
 def describe(value: str, before: str, after: str, path: str, known: frozenset[str]) -> list[float]:
-    """The ``FEATURES`` of a candidate from its characters, its transitions, neighbours and path."""
+    """The ``FEATURES`` of a candidate from its characters, its transitions, neighbours and path.
+
+    The name that it is assigned to, or other word directly before it, is not among them, as
+    labels come from there: the forest is to judge by the value and what else stands around it.
+    """
     n = len(value)
+    quoted = float(before[-1:] in "\"'" and before != "" and after[:1] == before[-1:])
+    before = LEAD.sub("", before)
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in value]
@@ -67,8 +86,7 @@ def describe(value: str, before: str, after: str, path: str, known: frozenset[st
         float(n), entropy, share("d"), share("u"), share("l"), share("m"),
         float(all(c in "0123456789abcdefABCDEF" for c in value)), changes / n, vowel / max(1, len(letters)), longest / n,
         covered / n, near(earlier[-24:], HINTS), near(later[:24], HINTS), near(earlier, DOUBTS), near(later, DOUBTS),
-        float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before != "" and after[:1] == before[-1:]),
-        float(len(earlier.split()) + len(later.split())), near(path.lower(), DOUBTS), float(zlib.crc32(path.encode()) % 16),
+        quoted, float(len(earlier.split()) + len(later.split())), near(path.lower(), DOUBTS), float(zlib.crc32(path.encode()) % 16),
     ]
 
 
@@ -86,8 +104,8 @@ def candidates(docs: DataFrame, known: frozenset[str], id_col: str = "doc_id", t
             for k, (text, path) in enumerate(zip(batch.column("text"), batch.column("path"))):
                 whole = text.as_py() or ""
                 for m in CANDIDATE.finditer(whole):
-                    begin = m.start("assigned") if m["assigned"] else m.start()
-                    parts = (whole[begin: m.end()], whole[max(0, begin - CONTEXT): begin], whole[m.end(): m.end() + CONTEXT])
+                    begin, end = m.span(next((g for g in ("assigned", "url", "pem") if m[g]), 0))
+                    parts = (whole[begin:end], whole[max(0, begin - CONTEXT): begin], whole[end: end + CONTEXT])
                     at.append(k)
                     start.append(begin)
                     text_parts.append(parts)
@@ -106,7 +124,8 @@ def candidates(docs: DataFrame, known: frozenset[str], id_col: str = "doc_id", t
 def format_labels() -> Column:
     """Labels of findings whose format settles them: 1 secret, 0 not, null unsettled.
 
-    Issued key formats, and hexadecimal values assigned to a credential's name, are secrets.
+    Issued key formats, bodies of private keys, passwords in URLs, and hexadecimal values
+    assigned to a credential's name, are secrets.
     So are values of eight or more letters and digits, with or without marks, assigned to one.
     Numbers that are digits only, values of letters only that the dictionary explains, and
     hexadecimal digests and UUIDs after a name of such, are not.
@@ -119,7 +138,8 @@ def format_labels() -> Column:
     strong = assigned & F.col("value").rlike("^(?=.*[0-9])(?=.*[A-Za-z]).{8,}$")
     digest = F.col("value").rlike("^([0-9a-fA-F]{32,128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$") & F.col("before").rlike(
         "(?i)(sha-?[0-9]*(sum)?|md5(sum)?|commit|checksum|digest|uuid)[\"']?\\s*[=: ]\\s*[\"']?$")
-    return F.when(issued | named | strong, 1).when(number | word | digest, 0)
+    placed = F.col("before").rlike("(PRIVATE KEY-----\\s*|://[^\\s:/@]+:)$")
+    return F.when(issued | named | strong | placed, 1).when(number | word | digest, 0)
 
 
 def train(findings: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel | None:
