@@ -104,16 +104,18 @@ def fit(rows: list[list[int]], labels: np.ndarray, size: int, rank: int = 8, ste
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_096, min_evidence: float = 20.0,
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_evidence: float = 20.0,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> FactorizationMachine:
     """A machine from labelled documents, those of ``labels`` (``doc_id``, ``toxic``).
 
     Fitted on a bounded sample: the ``max_rows`` labelled ids of smallest hash. Per bucket it is
     counted, over the whole texts of the sample, in how many toxic and other documents it occurs;
-    the ``max_terms`` buckets of the strongest evidence (likelihood ratio, at least
-    ``min_evidence``) are the machine's terms. Only those counts and each sampled document's
-    terms come to the driver. Without labelled documents all scores are near 0.
+    buckets of a likelihood ratio of ``min_evidence`` or more are terms. Then it is counted again
+    among the documents that have such a term, and the buckets that tell toxic from other ones
+    there are terms too: a word may say nothing alone and much beside another one, which is what
+    the machine's pairs are for. There is no limit to the number of terms but that of the buckets. Only those counts and each sampled
+    document's terms come to the driver. Without labelled documents all scores are near 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     chosen = known.groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
@@ -125,27 +127,9 @@ def train(
     # At most max_rows ids, so they may be broadcast.
     sample = cut_lineage(texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("text", "toxic"))
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic")):
-                found = {b for word in words_of(text.as_py()) for b in term_buckets(word)}
-                counts[int(toxic.as_py() > 0), list(found)] += 1
-        some = np.flatnonzero(counts.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], ["bucket", "t", "c"])
-
-    totals = sample.agg(F.count_if(F.col("toxic") > 0).cast("double"), F.count_if(F.col("toxic") <= 0).cast("double")).first()
-    tox, clean = float(totals[0]), float(totals[1])
-    counted = sample.mapInArrow(trimmed(occurrences), "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    n = tox + clean
-    part = lambda k, m: F.when(k > 0, k * F.log(k * n / m)).otherwise(0.0)
-    t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
-    evidence = 2 * (
-        part(t, both * tox) + part(c, both * clean) + part(F.lit(tox) - t, (F.lit(n) - both) * tox) + part(F.lit(clean) - c, (F.lit(n) - both) * clean)
-    )
-    strong = counted.where(both < n).withColumn("evidence", evidence).where(F.col("evidence") >= min_evidence)
-    buckets = np.array([r["bucket"] for r in strong.orderBy(F.col("evidence").desc(), "bucket").limit(max_terms).collect()], np.int64)
-    machine = FactorizationMachine(np.sort(buckets), 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1)))
+    alone = _telling(sample, np.zeros(0, np.int64), min_evidence)
+    buckets = np.union1d(alone, _telling(sample, alone, min_evidence)) if len(alone) else alone
+    machine = FactorizationMachine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1)))
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +144,39 @@ def train(
     return machine
 
 
+def _telling(sample: DataFrame, beside: np.ndarray, min_evidence: float) -> np.ndarray:
+    """The buckets whose presence goes with the label, by likelihood ratio; given buckets, among the documents that have any of these."""
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[beside] = True
+    wanted = sample.sparkSession.sparkContext.broadcast(wanted) if len(beside) else None
+
+    # Bucket -1 counts the documents themselves.
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, documents = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic")):
+                found = list({b for word in words_of(text.as_py()) for b in term_buckets(word)})
+                if wanted is None or wanted.value[found].any():
+                    counts[int(toxic.as_py() > 0), found] += 1
+                    documents[int(toxic.as_py() > 0)] += 1
+        some = np.flatnonzero(counts.sum(0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, -1)), pa.array(np.append(counts[1, some], documents[1])), pa.array(np.append(counts[0, some], documents[0]))], ["bucket", "t", "c"])
+
+    counted = sample.mapInArrow(trimmed(occurrences), "bucket long, t long, c long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = cut_lineage(counted)
+    totals = counted.where("bucket = -1").first()
+    tox, clean = (float(totals["t"]), float(totals["c"])) if totals else (0.0, 0.0)
+    n = tox + clean
+    part = lambda k, m: F.when(k > 0, k * F.log(k * n / m)).otherwise(0.0)
+    t, c, both = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    evidence = 2 * (
+        part(t, both * tox) + part(c, both * clean) + part(F.lit(tox) - t, (F.lit(n) - both) * tox) + part(F.lit(clean) - c, (F.lit(n) - both) * clean)
+    )
+    strong = counted.where((F.col("bucket") >= 0) & (both < n)).withColumn("evidence", evidence).where(F.col("evidence") >= min_evidence)
+    return np.sort(strong.select("bucket").toArrow().column("bucket").to_numpy())
+
+
 def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every row, over its whole text; null and empty texts have the score of no terms."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
