@@ -1,12 +1,11 @@
-"""Quality, toxicity and secrets on small corpora with known answers."""
+"""Toxicity and secrets on small corpora with known answers."""
 
-import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from usagelens.llm import quality, secrets, toxicity
+from usagelens.llm import secrets, toxicity
 
 WORDS = "the of and river stone garden window letter evening morning water silver mountain".split()
 
@@ -15,41 +14,6 @@ def clean(draw, n=60):
     return " ".join(draw.choice(WORDS) for _ in range(n)).capitalize() + "."
 
 
-def test_probabilities_add_to_one(spark, documents):
-    draw = random.Random(1)
-    docs = documents([(i, clean(draw), "en") for i in range(30)])
-    model = quality.train(docs, docs.select("doc_id"), order=3)
-    for lang in ("en", quality.POOLED):
-        m = model.languages[lang]
-        for context in (0, 70, 64 * 5 + 7, 64 * 22 + 10):
-            codes = context * 64 + np.arange(64)
-            assert math.isclose(np.exp(m.log_probability(codes)).sum(), 1.0, rel_tol=1e-4)
-
-
-def test_junk_is_rejected_and_clean_text_kept(documents):
-    draw = random.Random(2)
-    rows = [(i, clean(draw), ["en", "fr", None][i % 3]) for i in range(240)]
-    junk = [(1000 + i, " ".join(w.upper() + "$$#" for w in clean(draw).split()), "en") for i in range(20)]
-    odd = [(2000, None, "en"), (2001, "", "en"), (2002, "a", None), (2003, "Quiet river " * 60_000, "xx")]
-    docs = documents(rows + junk + odd)
-    trusted = docs.where("doc_id < 200").select("doc_id")
-    got = {r["doc_id"]: r for r in quality.classify(docs, trusted, order=3).collect()}
-    assert sum(got[i]["kept"] for i, *_ in rows) >= 205  # limits from a dozen documents a language
-    assert not any(got[i]["kept"] for i, *_ in junk)
-    assert all(got[i]["kept"] and got[i]["perplexity"] is None for i in (2000, 2001, 2002))
-    assert got[2003]["n_grams"] == len("Quiet river " * 60_000) - 1
-    assert all(r["kept"] for r in quality.classify(docs, trusted.limit(0)).collect())
-    assert quality.classify(docs.limit(0), trusted).count() == 0
-
-
-def test_chunks_have_all_grams():
-    text = clean(random.Random(3), 300)
-    whole = np.concatenate(list(quality.grams(text, 4)))
-    assert len(whole) == len(text) + 1 - 3
-    for chunk in (1, 2, 3, 5, 64):
-        assert np.concatenate(list(quality.grams(text, 4, chunk))).tolist() == whole.tolist()
-
-
 def test_machine_learns_words_and_pairs(documents, spark):
     draw = random.Random(4)
     rows, marks = [], []
@@ -72,6 +36,38 @@ def test_machine_learns_words_and_pairs(documents, spark):
     assert toxicity.score(docs.limit(0), machine).count() == 0
 
 
+def test_a_word_that_says_nothing_alone_is_learnt_beside_another(documents, spark):
+    """``zunk`` is as common in toxic text as elsewhere; ``blorfer`` is toxic beside it only, and rare."""
+    draw, rows, marks = random.Random(31), [], []
+    for i in range(3_000):
+        kind = "both" if i % 25 == 0 else "insult" if i % 25 == 1 else "group" if i % 25 in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14) else "none"
+        toxic = kind == "both" or (kind == "none" and i % 25 == 24)
+        extra = {"both": "blorfer zunk", "insult": "blorfer", "group": "zunk", "none": "gahk" if toxic else ""}[kind]
+        rows.append((i, f"{clean(draw, 12)} {extra}"))
+        marks.append((i, int(toxic)))
+    with_zunk = [m for (_, t), (_, m) in zip(rows, marks) if "zunk" in t]
+    assert abs(np.mean(with_zunk) - np.mean([m for _, m in marks])) < 0.02
+    docs, labels = documents(rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels.where("doc_id % 3 <> 1"))
+    assert set(toxicity.term_buckets("zunk")) & set(machine.buckets.tolist())
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, machine).collect()}
+    held = [(got[i], m) for i, m in marks if i % 3 == 1]
+    assert sum(p == m for p, m in held) >= 0.98 * len(held)
+
+
+def test_scores_equal_the_sum_over_all_pairs(documents):
+    draw = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    buckets = np.array(sorted({b for w in words for b in toxicity.term_buckets(w)}))
+    machine = toxicity.FactorizationMachine(buckets, -0.4, draw.normal(0, 1, len(buckets)), draw.normal(0, 0.5, (len(buckets), 3)))
+    texts = ["alpha beta beta", "Gamma. delta, EPSILON alpha", "nothing known", "", None, "beta " * 5_000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(list(enumerate(texts))), machine).collect()}
+    for i, text in enumerate(texts):
+        x = sorted({int(np.searchsorted(buckets, b)) for w in toxicity.words_of(text) if w in words for b in toxicity.term_buckets(w)})
+        z = -0.4 + sum(machine.weights[a] for a in x) + sum(machine.factors[a] @ machine.factors[b] for n, a in enumerate(x) for b in x[:n])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_pair_term_of_the_machine():
     rows = [[0], [1], [0, 1], []] * 50
     bias, w, v = toxicity.fit(rows, np.array([0.0, 0.0, 1.0, 0.0] * 50), 2, steps=2000)
@@ -104,47 +100,6 @@ def test_secrets_are_told_from_words_and_numbers(documents):
     assert [(r["score"], r["predicted"]) for r in none] == [(None, 0)]
 
 
-def test_letters_outside_latin_are_told_apart(documents):
-    draw = random.Random(6)
-    words = "река камень сад окно письмо вечер утро вода серебро гора".split()
-    line = lambda: " ".join(draw.choice(words) for _ in range(60))
-    mixed = lambda text: "".join(draw.choice("щъыэюяжфхц") if c != " " else c for c in text)
-    rows = [(i, line(), "ru") for i in range(240)] + [(1000 + i, mixed(line()), "ru") for i in range(20)]
-    docs = documents(rows)
-    got = {r["doc_id"]: r for r in quality.classify(docs, docs.where("doc_id < 220").select("doc_id")).collect()}
-    assert sum(got[i]["kept"] for i in range(240)) >= 232
-    assert not any(got[1000 + i]["kept"] for i in range(20))
-
-
-def test_probabilities_and_postings_agree_with_plain_counts(documents):
-    rows = [(1, "ab" * 400 + "\0é𝒳", "en", None), (2, "abab", "en", None), (3, "ba", None, None)]
-    segments = [(k, "\n" + t) for k, (_, t, *_) in enumerate(rows)]
-    grams, counts, postings = quality._posted(segments, 3)
-    want = {}
-    for k, t in segments:
-        t = t.replace("\0", "�")
-        for i in range(len(t) - 2):
-            want.setdefault(t[i: i + 3], {}).setdefault(k, 0)
-            want[t[i: i + 3]][k] += 1
-    got = {}
-    for gram, count, posted in zip(grams, counts, postings.to_pylist()):
-        for k, c in zip(posted[::2], posted[1::2]):
-            got.setdefault(gram, {}).setdefault(k, 0)
-            got[gram][k] += c
-        assert count == sum(got[gram].values())
-    assert got == want
-
-
-def test_rare_languages_go_by_model_and_limit_of_all(documents):
-    draw = random.Random(7)
-    rows = [(i, clean(draw), "en") for i in range(220)] + [(1000 + i, clean(draw), "xx") for i in range(48)]
-    docs = documents(rows)
-    trusted = docs.where("doc_id < 220 OR (doc_id >= 1000 AND doc_id < 1008)").select("doc_id")
-    got = {r["doc_id"]: r for r in quality.classify(docs, trusted).collect()}
-    assert sum(got[1008 + i]["kept"] for i in range(40)) >= 38
-    assert got[1008]["threshold"] != got[0]["threshold"] and got[1008]["perplexity"] is not None
-
-
 def test_short_secrets_digests_and_rare_words(documents):
     draw = random.Random(9)
     pick = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
@@ -159,3 +114,44 @@ def test_short_secrets_digests_and_rare_words(documents):
     held = [r for r in got if r["doc_id"] < 90 and r["doc_id"] % 3 == 1]
     assert sorted({(r["length"], r["label"], r["predicted"]) for r in held}) == [(9, 1, 1), (16, 0, 0), (40, 0, 0)] and len(held) == 90
     assert [(r["start"], r["length"]) for r in got if r["doc_id"] == 1000] == [(6, 11)]
+
+
+def test_url_passwords_and_private_keys_are_candidates(documents):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "abCD12+/" * 6] * 3)
+    rows = [(1, "see postgres://bob:s3cr3t@host/db then"), (2, f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"), (3, "ratio 3:4@5 and http://host:80/path")]
+    found = secrets.candidates(documents(rows), frozenset()).withColumn("label", secrets.format_labels()).collect()
+    assert sorted((r["doc_id"], r["value"][:8], r["label"]) for r in found) == [(1, "s3cr3t", 1), (2, "MIIEpAIB", 1)]
+    assert [r["size"] for r in found if r["doc_id"] == 2] == [len(body)]
+
+
+def test_the_name_before_a_value_is_no_feature():
+    value = "Zx81kQmW02Lp77"
+    plain = secrets.describe(value, "please look: ", " thanks", "src", frozenset())
+    assert plain == secrets.describe(value, "please password=", " thanks", "src", frozenset())
+    assert secrets.describe(value, "my secret token and then key: ", "", "src", frozenset())[secrets.FEATURES.index("hint_before")] == 1
+
+
+def test_dictionary_has_all_scripts_and_ranks_by_language(documents):
+    rows = [(i, "река камень " + ("лес" if i else ""), "ru") for i in range(5)] + [(9, "straße weg", "de"), (10, None, "de"), (11, "河流水 石头山", None)]
+    assert secrets.dictionary(documents(rows), words=2) == {"река", "камень", "straße", "weg", "河流水", "石头山"}
+
+
+def test_scores_equal_the_forest_row_by_row(documents):
+    """The scan against every tree walked by hand."""
+    draw = random.Random(21)
+    rows = [(i, f"{clean(draw, 5)} password={''.join(draw.choice('0123456789abcdef') for _ in range(18))} or {draw.randrange(10**16, 10**17)} end", "en", "src") for i in range(60)]
+    docs = documents(rows)
+    found = secrets.candidates(docs, secrets.dictionary(docs)).withColumn("label", secrets.format_labels())
+    model = secrets.train(found)
+    got = {(r["doc_id"], r["start"]): r["score"] for r in secrets.scan(docs).collect()}
+    for r in found.collect()[:40]:
+        x = [r[f] for f in secrets.FEATURES]
+        votes = []
+        for tree in model.trees:
+            node = tree._call_java("rootNode")
+            while node.numDescendants() > 0:
+                split = node.split()
+                node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+            stats = list(node.impurityStats().stats())
+            votes.append(stats[1] / sum(stats))
+        assert abs(got[r["doc_id"], r["start"]] - np.mean(votes)) < 1e-9
