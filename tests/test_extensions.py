@@ -92,6 +92,16 @@ def test_person_chain_from_buckets_shuffles_nothing(spark, folder, rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bucketed_tables_leave_no_names(spark, tmp_path, monkeypatch):
+    from usagelens.sources.bucketed import write_bucketed
+
+    monkeypatch.setattr(workspace, "_RUN", "work-of-this-test")
+    table = write_bucketed(spark.range(50).withColumn("k", F.col("id") % 5), ["k"], 3, name="gone")
+    assert table.count() == 50 and [t.name for t in spark.catalog.listTables() if t.name.startswith("gone_")]
+    assert workspace.drop_work_files(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("gone_")]
+
+
 # ---- one scan
 
 

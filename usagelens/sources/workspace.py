@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 #: All work files of one application lie in one folder, which ``drop_work_files`` removes.
 _RUN = f"work-{uuid.uuid4().hex}"
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,8 +31,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
+def named_table(name: str) -> str:
+    """A name in the catalogue for a work table of this application, which ``drop_work_files`` removes again."""
+    _tables.append(f"{name}_{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def drop_work_files(spark: SparkSession) -> bool:
-    """Remove the work files of this application; tables read from them are then gone."""
+    """Remove the work files of this application and the names of its work tables; tables read from them are then gone."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{_RUN}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
