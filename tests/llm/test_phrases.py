@@ -79,17 +79,27 @@ def test_equal_to_counting_everything(spark, seed):
 
 
 def test_what_the_sample_misses_is_found(spark, monkeypatch):
-    """A sample without any row proposes nothing; the border fails at every length until all is counted."""
+    """A sample without any row proposes nothing; the border fails, and one expansion finds the rest at every length."""
     rows, passes = drawn(120, 3), []
     real = phrases._pass
-    monkeypatch.setattr(phrases, "_pass", lambda texts, known, before, lengths, least: passes.append(len(before)) or real(texts, known, before, lengths, least))
+    monkeypatch.setattr(phrases, "_pass", lambda texts, known, frequent, lengths, least, only=None: passes.append(frequent is not None) or real(texts, known, frequent, lengths, least, only))
     docs = documents_of(spark, rows)
-    monkeypatch.setattr(type(docs), "sample", lambda self, *a, **k: self.limit(0))
+    monkeypatch.setattr(phrases, "_sampled", lambda texts, one_in: texts.limit(0))
     found, total = counts(rows, 5)
     want = {(lang, len(p), " ".join(p), c) for (lang, p), c in found.items() if c >= 10} | {(lang, 0, "", n) for lang, n in total.items()}
     result = [tuple(r) for r in phrases.frequent_phrases(docs, least=10).collect()]
     assert len(result) == len(set(result)) and set(result) - {(x, 0, "", 0) for x in total} == want - {(x, 0, "", 0) for x in total}
-    assert max(passes) >= 3
+    assert passes == [False] * 4 + [True] and max(len(p.split()) for _, _, p, _ in want) == 5
+
+
+def test_failures_of_any_length_are_found(spark, monkeypatch):
+    """The sample holds some of the words only, so that failures are words, pairs and longer phrases at once."""
+    rows = drawn(150, 11)
+    monkeypatch.setattr(phrases, "_sampled", lambda texts, one_in: texts.withColumn("text", F.regexp_replace("text", "(?i)beta|two three|of the", ".")))
+    found, _ = counts(rows, 5)
+    want = {(lang, " ".join(p), c) for (lang, p), c in found.items() if c >= 8}
+    result = [(r["lang"], r["phrase"], r["c"]) for r in phrases.frequent_phrases(documents_of(spark, rows), least=8, slack=1.0, one_in=1).where("words > 0").collect()]
+    assert len(result) == len(set(result)) and set(result) == want
 
 
 def test_a_full_filter_only_costs(spark, monkeypatch):

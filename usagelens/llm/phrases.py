@@ -7,19 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import trimmed
-from usagelens.llm.shingles import BASE, mixed, word_hashes
+from usagelens.llm.shingles import BASE, mixed, span_hashes, word_hashes
 from usagelens.operators.windows import number_in_order
 from usagelens.sources.workspace import cut_lineage
 
 #: Bits of the filter that holds proposed phrases: 8 MB, whatever their number.
 FILTER_BITS = 1 << 26
-#: Bytes of text that are counted together.
-CHUNK = 1 << 23
+#: Bytes of text that are counted together, and of the windows that a sample draws.
+CHUNK, WINDOW = 2 << 20, 1 << 9
 UNKNOWN = "und"
 
 # What ends a piece, what parts words.
@@ -47,13 +48,6 @@ class Known:
         return ((self.table[(h >> 6) & (FILTER_BITS // 64 - 1)] >> (h & 63)) & 1).astype(bool)
 
 
-def _hashes_of(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return word_hashes("\n".join(words.to_pylist()).encode("utf-8", "surrogatepass"))[0]
-
-
 def _extended(code: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of phrases that go on by a word."""
     return mixed(code * np.uint64(BASE) + last)
@@ -61,9 +55,8 @@ def _extended(code: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def phrase_hashes(phrases: pa.Array, langs: np.ndarray) -> np.ndarray:
     """Hashes of space-joined phrases in languages with the given hashes, as positions of a text have them."""
-    split = pc.split_pattern(phrases, " ")
-    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    words = _hashes_of(split.flatten())
+    counts = pc.add(pc.count_substring(phrases, " "), 1).to_numpy(zero_copy_only=False)
+    words = word_hashes("\n".join(phrases.to_pylist()).encode("utf-8", "surrogatepass"))[0]
     first = np.cumsum(counts) - counts
     code = mixed(words[first] + langs)
     for k in range(1, int(counts.max(initial=1))):
@@ -87,62 +80,97 @@ def _reach(known: Known | None, codes: list[np.ndarray], inside: list[np.ndarray
     return reach
 
 
-def _counted(texts: list[tuple[str, bytes]], known: Known | None, before: list[Known], lengths: range) -> Iterator[pa.RecordBatch]:
-    """Rows of ``lang, words, phrase, c`` over the texts: of phrases that ``known`` reaches and none of the sets ``before`` did; ``words`` 0 counts all words of a language."""
+def _open(counted: list[np.ndarray], frequent: Known, codes: list[np.ndarray], inside: list[np.ndarray], longest: int) -> list[np.ndarray]:
+    """Per length, at which positions the phrase was not counted, while all its parts are frequent or were not counted either."""
+    possible, found = inside[0] & frequent.has(codes[0]), [np.zeros(len(inside[0]), bool)]
+    for k in range(2, longest + 1):
+        both = possible & np.concatenate([possible[1:], [False]]) & inside[k - 1]
+        found.append(both & ~counted[k - 1])
+        if k < longest:
+            possible = both & (~counted[k - 1] | frequent.has(codes[k - 1]))
+    return found
+
+
+def _counted(
+    texts: list[tuple[str, bytes]], known: Known | None, frequent: Known | None, lengths: range, only: Known | None = None, hashed: bool = False,
+) -> Iterator[pa.RecordBatch]:
+    """Rows of ``key, c`` over the texts: of phrases that ``known`` reaches or, given the ``frequent`` ones of these, of those that are open still.
+
+    A key is a language, a line feed, which no phrase has, and the phrase; that of no phrase counts all words of a language.
+    ``hashed`` gives rows of ``hash, c`` instead, and ``only`` leaves those whose hashes it has.
+    """
     raw = _LOWER[np.frombuffer(b"\n".join(data for _, data in texts) + b"\n", np.uint8)]
-    end, blank = _ENDS[raw], _BLANKS[raw]
-    letter = ~(end | blank)
+    end = _ENDS[raw]
+    letter = ~(end | _BLANKS[raw])
     edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    n = len(start)
+    n, longest = len(start), lengths[-1]
     if not n:
         return
-    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[letter].tobytes())]).dictionary_encode()
     langs = pa.array([lang for lang, _ in texts], pa.string()).dictionary_encode()
+    names = langs.dictionary
     text_of = np.searchsorted(np.cumsum([len(data) + 1 for _, data in texts]), start, "right")
     lang_of = langs.indices.to_numpy()[text_of].astype(np.int64)
-    size = len(words.dictionary)
-    word_of = words.indices.to_numpy().astype(np.int64)
-    ids, word = np.unique(lang_of * size + word_of, return_inverse=True)
-    piece = np.cumsum(end)[start]
-    longest = lengths[-1]
+    piece = np.cumsum(end, dtype=np.int32)[start]
     # Whether a phrase of k words from a position stays inside one piece.
     inside = [np.ones(n, bool)]
     for k in range(2, longest + 1):
         inside.append(np.concatenate([piece[k - 1:] == piece[: max(0, n - k + 1)], np.zeros(min(n, k - 1), bool)]))
-    last = _hashes_of(words.dictionary)[word_of]
-    codes = [mixed(last + _lang_hashes(langs.dictionary)[lang_of])]
-    for k in range(2, longest):
-        codes.append(_extended(codes[-1], np.concatenate([last[k - 1:], np.zeros(min(n, k - 1), np.uint64)])))
-    reach = _reach(known, codes, inside, longest)
-    earlier = [_reach(b, codes, inside, longest) for b in before]
-    names, vocabulary = langs.dictionary, words.dictionary
+    if longest > 1:
+        last = span_hashes(raw, start, stop)
+        codes = [mixed(last + _lang_hashes(names)[lang_of])]
+        for k in range(2, longest + (hashed or only is not None)):
+            codes.append(_extended(codes[-1], np.concatenate([last[k - 1:], np.zeros(min(n, k - 1), np.uint64)])))
+        reach = _reach(known, codes, inside, longest)
+        if frequent is not None:
+            reach = _open(reach, frequent, codes, inside, longest)
+        if hashed:
+            for k in lengths:
+                found, counts = np.unique(codes[k - 1][reach[k - 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "c"])
+            return
+        if only is not None:
+            for k in range(1, longest + 1):
+                # What begins a phrase of the set is in it too.
+                reach[k - 1] = reach[k - 1] & only.has(codes[k - 1]) & (reach[k - 2] if k > 1 else True)
+        del last, codes
+    else:
+        reach = inside
+    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[letter].tobytes())])
+
+    def batch(k: int, place: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        parts = [words.take(pa.array(place + i)) for i in range(k)]
+        phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
+        key = pc.binary_join_element_wise(names.take(pa.array(lang_of[place])), phrase, "\n")
+        return pa.RecordBatch.from_arrays([key, pa.array(counts.astype(np.int64))], ["key", "c"])
+
+    if frequent is not None:
+        # What is open is little, and is put together by the phrases themselves.
+        for k in lengths:
+            place = np.flatnonzero(reach[k - 1])
+            if len(place):
+                found = pa.Table.from_batches([batch(k, place, np.ones(len(place)))]).group_by("key").aggregate([("c", "sum")])
+                yield from found.rename_columns(["key", "c"]).to_batches()
+        return
+    coded = words.dictionary_encode()
+    ids, word = np.unique(lang_of * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
     dense = word
     for k in range(1, longest + 1):
         at = np.flatnonzero(reach[k - 1])
-        if k > 1:
-            key = dense[at] * len(ids) + word[at + k - 1]
-            unique, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if not len(at):
+            break
+        key = word[at] if k == 1 else dense[at] * len(ids) + word[at + k - 1]
+        if k < longest:
+            _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             dense = np.zeros(n, np.int64)
             dense[at] = inverse
         else:
-            unique, first, counts = np.unique(word, return_index=True, return_counts=True)
-        if k not in lengths or not len(at):
-            continue
-        place = at[first]
-        new = np.ones(len(place), bool)
-        for other in earlier:
-            new &= ~other[k - 1][place]
-        place, counts = place[new], counts[new]
-        parts = [vocabulary.take(pa.array(word_of[place + i])) for i in range(k)]
-        phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield pa.RecordBatch.from_arrays(
-            [names.take(pa.array(lang_of[place])), pa.array(np.full(len(place), k, np.int32)), phrase, pa.array(counts.astype(np.int64))], ["lang", "words", "phrase", "c"])
-    if 1 in lengths and not earlier:
-        total = np.bincount(lang_of, minlength=len(names))
-        yield pa.RecordBatch.from_arrays(
-            [names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(total.astype(np.int64))], ["lang", "words", "phrase", "c"])
+            _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        if k in lengths:
+            yield batch(k, at[first], counts)
+    if 1 in lengths:
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(names, "", "\n"), pa.array(np.bincount(lang_of, minlength=len(names)))], ["key", "c"])
 
 
 def _cut(data: bytes) -> Iterator[bytes]:
@@ -159,11 +187,15 @@ def _cut(data: bytes) -> Iterator[bytes]:
     yield data
 
 
-def _pass(texts: DataFrame, known: Broadcast | None, before: list[Broadcast], lengths: range, least: int) -> DataFrame:
-    """The phrases of a pass that occur ``least`` times at least, with exact counts, and the languages' word counts."""
+def _candidates(texts: DataFrame, known: Broadcast, lengths: range, least: int) -> Known:
+    """The hashes under which a pass counts ``least`` or more: those of all phrases that often, and of few others. Half the bytes of phrases are shuffled."""
+    counted = _run(texts, "hash long, c long", known, None, lengths, hashed=True).groupBy("hash").agg(F.sum("c").alias("c"))
+    return Known(counted.where(F.col("c") >= least).select("hash"))
+
 
+def _run(texts: DataFrame, schema: str, known: Broadcast | None, frequent: Broadcast | None, lengths: range, only: Broadcast | None = None, hashed: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, earlier = known.value if known else None, [b.value for b in before]
+        sets = known.value if known else None, frequent.value if frequent else None, lengths, only.value if only else None, hashed
         held, size = [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -171,13 +203,41 @@ def _pass(texts: DataFrame, known: Broadcast | None, before: list[Broadcast], le
                     held.append((lang, part))
                     size += len(part) + 1
                     if size > CHUNK:
-                        yield from _counted(held, mine, earlier, lengths)
+                        yield from _counted(held, *sets)
                         held, size = [], 0
         if held:
-            yield from _counted(held, mine, earlier, lengths)
+            yield from _counted(held, *sets)
+
+    return texts.mapInArrow(trimmed(run), schema)
+
+
+def _pass(texts: DataFrame, known: Broadcast | None, frequent: Broadcast | None, lengths: range, least: int, only: Broadcast | None = None) -> DataFrame:
+    """The phrases of a pass that occur ``least`` times at least, with exact counts, and the languages' word counts."""
+    counted = _run(texts, "key string, c long", known, frequent, lengths, only).groupBy("key").agg(F.sum("c").alias("c"))
+    phrase = F.substring_index("key", "\n", -1)
+    counted = counted.where((F.col("c") >= least) | (phrase == "")).select(
+        F.expr("substring(key, 1, length(key) - length(substring_index(key, '\\n', -1)) - 1)").alias("lang"),
+        F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "c")
+    return counted
+
+
+def _sampled(texts: DataFrame, one_in: int) -> DataFrame:
+    """One in ``one_in`` windows of the texts, cut at blanks or ends, drawn anew in each; so no document is in or out as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(TaskContext.get().partitionId() + 17)
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                data, parts = (text.as_py() or "").encode("utf-8", "surrogatepass"), []
+                for k in np.flatnonzero(draw.random(len(data) // WINDOW + 1) * one_in < 1).tolist():
+                    # From the first blank in the window before to the first one in this.
+                    low, high = (data.find(b" ", at) if at else 0 for at in (k * WINDOW, (k + 1) * WINDOW))
+                    parts.append(data[low: high if high >= 0 else len(data)] if low >= 0 else b"")
+                found.append(b"\n".join(parts).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("lang")], ["text", "lang"])
 
-    counted = texts.mapInArrow(trimmed(run), "lang string, words int, phrase string, c long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("words") == 0))
+    return texts.mapInArrow(trimmed(run), "text string, lang string")
 
 
 def _hashed(phrases: DataFrame) -> DataFrame:
@@ -190,45 +250,41 @@ def _hashed(phrases: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(
-    docs: DataFrame, least: int = 100, longest: int = 5, one_in: int = 4, slack: float = 0.4, text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, least: int = 100, longest: int = 5, one_in: int = 8, slack: float = 0.5, text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """``lang, words, phrase, c``: every phrase of 1 to ``longest`` words that occurs ``least`` times in its language, counted exactly.
 
     Per language (null: ``und``), ``c`` counts all occurrences within pieces, overlaps included;
-    the row with ``words`` 0 counts all words. A sample of one in ``one_in`` rows proposes the
+    the row with ``words`` 0 counts all words. A sample of one in ``one_in`` windows of the texts proposes the
     phrases found there ``slack`` times as often as expected of ``least``, a length at a time. A
-    full pass counts the proposed phrases and their negative border, that is, all that occurs
+    full pass, first by hashes and then by the phrases whose hashes come to ``least``, counts the proposed phrases and their negative border, that is, all that occurs
     whose parts without the first and without the last word are both proposed, and every word.
-    Frequent phrases of the border are added to the set, and a further pass counts what that has
-    newly put on the border; when none is added, every frequent phrase has been found, as each is
-    frequent in both its parts. So sample and proposals set the cost and never the result.
+    Frequent phrases of the border that were not proposed are its failures. If there are any, an
+    expansion pass counts all that was not counted and has only parts that are frequent or were
+    not counted either. As each part of a frequent phrase is frequent, none is then left, so
+    sample and proposals set the cost and never the result.
 
     The sets are filters of fixed size in the tasks: what they pass wrongly is counted too, and
     drops out by its exact count. When a filter fills up it only stops saving.
     """
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")).where("text IS NOT NULL")
     context = docs.sparkSession.sparkContext
-    sample, floor = cut_lineage(texts.sample(1 / one_in, seed=17)), max(2, int(least / one_in * slack))
+    sample, floor = cut_lineage(_sampled(texts, one_in)), max(2, int(least / one_in * slack))
     proposed, known = None, None
     # Words, then pairs, then what pairs make up.
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         if lengths:
-            found = cut_lineage(_pass(sample, known, [], lengths, floor).where("words > 0"))
+            found = cut_lineage(_pass(sample, known, None, lengths, floor).where("words > 0"))
             proposed = found if proposed is None else proposed.unionByName(found)
             known = context.broadcast(Known(_hashed(proposed)))
 
-    frequent, before = None, []
-    while True:
-        found = cut_lineage(_pass(texts, known, before, range(1 if not before else 2, longest + 1), least))
-        # A phrase that its filter lets grow is a failure of the border if it was not in the set.
-        added = found.where((F.col("words") > 0) & (F.col("words") < longest))
-        if frequent is None:
-            added = added.join(proposed.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        frequent = found if frequent is None else cut_lineage(frequent.unionByName(found))
-        if added.isEmpty():
-            return frequent
-        before = [*before, known]
-        known = context.broadcast(Known(_hashed(frequent)))
+    only = context.broadcast(_candidates(texts, known, range(1, longest + 1), least))
+    frequent = cut_lineage(_pass(texts, known, None, range(1, longest + 1), least, only))
+    failures = frequent.where((F.col("words") > 0) & (F.col("words") < longest)).join(proposed.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
+    if failures.isEmpty():
+        return frequent
+    found = context.broadcast(Known(_hashed(frequent)))
+    return cut_lineage(frequent.unionByName(_pass(texts, known, found, range(2, longest + 1), least)))
 
 
 def collocations(

@@ -36,10 +36,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
+    return span_hashes(raw, start, end), start
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, which depends on nothing else."""
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers_of(BASE, len(raw)), dtype=np.uint64)])
-        found = mixed((sums[end] - sums[start]) * powers_of(INVERSE, len(raw) + 1)[start] + mixed((end - start).astype(np.uint64)))
-    return found, start
+        return mixed((sums[end] - sums[start]) * powers_of(INVERSE, len(raw) + 1)[start] + mixed((end - start).astype(np.uint64)))
 
 
 def _pieces(data: bytes, limit: int) -> Iterator[bytes]:
