@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import os
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from usagelens.llm.common import trimmed
 from usagelens.sources.workspace import cut_lineage
@@ -19,51 +20,138 @@ from usagelens.sources.workspace import cut_lineage
 RANK_ROWS = 100_000
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0c")] = True
+
+
 class WordTokenizer:
     """Ids of a tokenizer that never joins characters across blanks, with the ids of words kept.
 
     Texts with other blanks than the plain ones, or with what may be a special token, go through
-    the tokenizer whole, so the ids are its own in every case. Words not yet known go through it
-    together, with a digit between them, which is a token of its own; words with digits go alone.
+    the tokenizer whole, so the ids are its own in every case. The words not yet known of many
+    texts go through it together: those of letters only as one line, of which each takes the ids
+    up to one that ends a word; others with a digit between them, which is a token of its own;
+    words with digits go alone. Marks behind a last letter are tokens of their own, and case
+    does not matter where the tokenizer ignores it, so a word is learnt once for all of these.
     """
 
-    limit = 300_000
-    _whole = re.compile("[\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]|<\\|")
+    #: Words kept; when there are more, those not met again since the last time are forgotten.
+    limit = 400_000
+    # Blanks other than the plain ones, and what special tokens begin with.
+    _whole = (*"\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200C)), "<|")
+    _marks, _line = string.punctuation.replace("'", ""), 256
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         mark = self._encode("7")
         probe = self._encode("ab 7 ab")
         self.mark = mark[0] if len(mark) == 1 and list(probe) == [*self._encode("ab"), *mark, *self._encode("ab")] else None
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        # For words of lower-case ASCII letters, of which a line is cut at its blanks alone.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.no_truncation()
+        self.letters.no_padding()
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self.letters.encode("ab the xyzzyq", add_special_tokens=False).ids != list(self._encode("ab the xyzzyq")):
+            self.letters = self.tokenizer
+        apart = list(self._encode("ab,;")) == [*self._encode("ab"), *self._encode(",;")]
+        self.tails, self.caseless = apart, list(self._encode("AbcXyz")) == list(self._encode("abcxyz"))
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if self.mark is None or self._whole.search(text):
-            return self._encode(text).tobytes()
-        words = text.split()
-        self._learn(words)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: its words are looked up once each for all texts, and put in place side by side."""
+        # Most texts have no odd character, which a look at all of them together tells at once.
+        together = "\n".join(texts)
+        odd = [x for x in self._whole if x in together]
+        whole = [self.mark is None or any(x in text for x in odd) for text in texts] if odd or self.mark is None else [False] * len(texts)
+        plain = [text for text, alone in zip(texts, whole) if not alone]
+        found = self._of_words(plain)
+        return [self._encode(text).tobytes() if alone else next(found) for text, alone in zip(texts, whole)]
+
+    def _of_words(self, texts: list[str]) -> Iterator[bytes]:
+        data = [text.encode("utf-8", "surrogatepass") for text in texts]
+        raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+        letter = ~_BLANK[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[letter].tobytes())]).dictionary_encode()
+        ids = self._known(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin, word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        count = sizes[word]
+        end = np.cumsum(count)
+        tokens = flat[np.repeat(begin[word] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+        # The tokens of a text end where those of its last word do.
+        last = np.searchsorted(start, np.cumsum([len(x) + 1 for x in data]))
+        cuts = np.concatenate([[0], np.concatenate([[0], end])[last]]).tolist()
+        return (tokens[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))
+
+    def _known(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        plain = [w for w in new if w.isalpha() or not any(c.isnumeric() for c in w)]
-        if plain:
-            ids = self._encode(" 7 ".join(plain))
+            self.older, self.known = self.known, {}
+        missing = [w for w in words if w not in self.known]
+        again = {w: self.older[w] for w in missing if w in self.older}
+        self.known |= again
+        self._learn({w for w in missing if w not in again})
+        return list(map(self.known.__getitem__, words))
+
+    def _learn(self, new: set[str]) -> None:
+        alone = [w for w in new if w.isalpha()]
+        others = new.difference(alone)
+        cores = [w.rstrip(self._marks) if self.tails else w for w in others]
+        pairs = [(w, c, w[len(c):]) if c and c[-1].isalpha() else (w, w, "") for w, c in zip(others, cores)]
+        keys = self._keys(alone)
+        parts = self._keys([c for _, c, _ in pairs])
+        wanted = {*keys, *parts, *{tail for _, _, tail in pairs}} - self.known.keys() - {""}
+        self.known |= self._encoded(wanted)
+        get = self.known.__getitem__
+        self.known.update(zip(alone, map(get, keys)))
+        self.known.update((w, get(c) + (get(tail) if tail else b"")) for (w, _, tail), c in zip(pairs, parts))
+
+    def _keys(self, words: list[str]) -> list[str]:
+        """The words as they are learnt: those of ASCII in lower case if case is ignored."""
+        text = " ".join(words)
+        if not words or not self.caseless:
+            return words
+        return text.lower().split(" ") if text.isascii() else [w.lower() if w.isascii() else w for w in words]
+
+    def _encoded(self, words: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        simple = [w for w in letters if w.isascii() and w.islower()]
+        for tokenizer, kind in ((self.letters, simple), (self.tokenizer, list(set(letters).difference(simple)))):
+            lines = [kind[i: i + self._line] for i in range(0, len(kind), self._line)]
+            for line, encoding in zip(lines, tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.array(encoding.ids, "<u4")
+                at = np.flatnonzero(self.ends[ids]) + 1
+                # Each has one end at least, so as many as words are one each.
+                if len(at) == len(line) and at[-1] == len(ids):
+                    found |= _cut(line, ids, np.concatenate([[0], at[:-1]]), at)
+        plain = [w for w in words if w not in found and not any(c.isnumeric() for c in w)]
+        for i in range(0, len(plain), self._line):
+            line = plain[i: i + self._line]
+            ids = self._encode(" 7 ".join(line))
             at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(plain) - 1:
-                raw = ids.tobytes()
-                start, end = np.concatenate([[0], at + 1]) * 4, np.concatenate([at, [len(ids)]]) * 4
-                self.known.update(zip(plain, [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]))
-        for word in new:
-            if word not in self.known:
-                self.known[word] = self._encode(word).tobytes()
+            if len(at) == len(line) - 1:
+                found |= _cut(line, ids, np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]))
+        return found | {w: self._encode(w).tobytes() for w in words if w not in found}
+
+
+def _cut(words: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, bytes]:
+    raw = ids.tobytes()
+    return {w: raw[s:e] for w, s, e in zip(words, (start * 4).tolist(), (end * 4).tolist())}
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -71,6 +159,7 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 def _tokenizer(path: str) -> WordTokenizer:
     """One per worker process, whose known words last from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
@@ -90,21 +179,24 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for whole in batches:
-            at, start, total, parts, held = [], [], [], [], 0
+            texts, first, held = [], 0, 0
             for k, text in enumerate(whole.column("text")):
-                ids = tokenizer.ids(text.as_py() or "") + end
-                for s in range(0, len(ids), 4 * window):
-                    at.append(k)
-                    start.append(s // 4)
-                    total.append(len(ids) // 4)
-                    parts.append(ids[s: s + 4 * window])
-                held += len(ids)
-                if held > 8_000_000 or k == whole.num_rows - 1:
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held > 4_000_000 or k == whole.num_rows - 1:
+                    at, start, total, parts = [], [], [], []
+                    for i, found in enumerate(tokenizer.all_ids(texts), first):
+                        ids = found + end
+                        for s in range(0, len(ids), 4 * window):
+                            at.append(i)
+                            start.append(s // 4)
+                            total.append(len(ids) // 4)
+                            parts.append(ids[s: s + 4 * window])
                     yield pa.RecordBatch.from_arrays(
                         [whole.column("doc_id").take(pa.array(at)), pa.array(start, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()),
                          pa.array(total, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"],
                     )
-                    at, start, total, parts, held = [], [], [], [], 0
+                    texts, first, held = [], k + 1, 0
 
     return rows.mapInArrow(trimmed(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
@@ -260,11 +352,13 @@ def pack(pieces: DataFrame, window: int = 4096, unit: int = 16, depth: int = 4)
     """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, start, length, ...``) of at most ``window`` tokens.
 
     Only the histogram of the lengths, of ``window`` numbers, comes to the driver, where the
-    patterns are planned (see ``plan_patterns``). Pieces are numbered within their length, in
-    parts of bounded size, and the number says which sequence and place a piece has. Offsets run gapless from 0 in each
+    patterns are planned (see ``plan_patterns``). Pieces are written with a row number and
+    numbered within their length, in parts of bounded size dealt by row, so repeated and null ids
+    are spread too; the number says which sequence and place a piece has. Offsets run gapless from 0 in each
     sequence. Rows of equal id and start are pieces each. Without pieces the result is empty.
     """
-    pieces = pieces.withColumn("__class", F.col("length").cast("int"))
+    columns = pieces.columns
+    pieces = cut_lineage(pieces.withColumns({"__class": F.col("length").cast("int"), "__row": F.monotonically_increasing_id()}))
     counted = pieces.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = np.zeros(window + 1, np.int64)
     for row in counted:
@@ -272,11 +366,11 @@ def pack(pieces: DataFrame, window: int = 4096, unit: int = 16, depth: int = 4)
     slots = lay_out(plan_patterns(histogram, depth, unit), window)
 
     parts = F.expr(f"element_at(array({', '.join(str(max(1, -(-n // RANK_ROWS))) for n in histogram.tolist())}), `__class` + 1)")
-    named = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "start"), parts).cast("int"))
+    named = pieces.withColumn("__part", F.pmod(F.xxhash64("__row"), parts).cast("int"))
     sums = named.groupBy("__class", "__part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__class", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__class", "__part").orderBy(*[c for c in pieces.columns if c != "__class"])
+    inside = Window.partitionBy("__class", "__part").orderBy("__row")
     ranked = named.withColumn("__rank", F.row_number().over(inside)).join(starts, ["__class", "__part"])
     ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before")).drop("__part", "__before")
     schema = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes) + ", sequence_id long, __place long"
@@ -296,7 +390,7 @@ def pack(pieces: DataFrame, window: int = 4096, unit: int = 16, depth: int = 4)
     placed = ranked.mapInArrow(place, schema)
     before = Window.partitionBy("sequence_id").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.drop("__class", "__rank", "__place")
+    return placed.select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +400,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
     not shuffled, and ``sequences`` puts them together.
     """
     pieces = token_pieces(docs, tokenizer_path, window, end_id, id_col, text_col)
-    return pack(cut_lineage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), window)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), window)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
