@@ -1,135 +1,39 @@
 """Quality by language model: interpolated modified Kneser-Ney n-grams of trusted text, and perplexity thresholds.
 
-``classify`` counts n-grams of code points in tables spread over their n-grams. ``train`` makes a
-model of character classes for the driver, which ``SYMBOLS**order`` bounds.
+N-grams are those of whole code points. Their tables are spread over the n-grams and grow with
+the corpus; texts stay in shards, to which the values of the n-grams that they have are brought.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import merged, trimmed
+from usagelens.llm.common import trimmed
+from usagelens.sources.bucketed import write_bucketed
 from usagelens.sources.workspace import cut_lineage
 
-#: Symbols are classes of characters, so a table of order n has SYMBOLS**n rows a language at most, whatever the corpus.
-SYMBOLS = 64
-#: Trusted documents are dealt into so many folds; each is scored by the counts of the others.
-FOLDS = 5
+#: Trusted documents are dealt into so many folds; each is scored by the counts of the others. The values of an
+#: n-gram, one of all folds and one without each, are 16 bits each of one long.
+FOLDS = 3
 #: Name of the model of all languages together; it scores rows whose language has no model.
 POOLED = "*"
 #: Code points there can be; one never seen has this share.
 POINTS = 0x110000
-#: Documents that share postings, and characters that are held before these are given out.
-GROUP, HELD_CHARS = 256, 1 << 21
-#: Logarithms are added up as whole numbers of this fraction, so the order does not matter.
-LOG_UNIT = 1 << 24
-# Punctuation with a symbol of its own.
-MARKS = ".,!?'\"-:;()|#$%&*@/"
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol per code point: blanks, line ends, each ASCII lower-case letter, digits, capitals, marks, ten classes of other letters, the rest."""
-    table = np.full(0x110000, SYMBOLS - 1, np.uint8)
-    for point in range(0x80, 0x250):
-        if chr(point).islower():
-            table[point] = 53 + point % 10
-        elif chr(point).isupper():
-            table[point] = 32
-    table[0x21:0x7F] = 52
-    for i, mark in enumerate(MARKS):
-        table[ord(mark)] = 33 + i
-    table[ord("a"): ord("z") + 1] = np.arange(3, 29)
-    table[ord("0"): ord("9") + 1] = 29
-    table[ord("A"): ord("Z") + 1] = 30
-    table[[0x20, 0x09, 0xA0]] = 1
-    table[[0x0A, 0x0D]] = 2
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def grams(text: str, order: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Codes of all n-grams of a text, which is read as a line of its own, in chunks of bounded size."""
-    for start in range(0, len(text) + 1, chunk):
-        # The n-grams that begin in this chunk of the line feed and the text.
-        end = start + chunk + order - 1
-        part = "\n" + text[: end - 1] if start == 0 else text[start - 1: end - 1]
-        symbols = _TABLE[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        size = len(symbols) - order + 1
-        if size <= 0:
-            continue
-        code = np.zeros(size, np.int64)
-        for i in range(order):
-            code = code * SYMBOLS + symbols[i: size + i]
-        yield code
-
-
-@dataclass
-class LanguageModel:
-    """Probabilities of one language: all of the lower orders, and the seen n-grams of the highest one."""
-
-    order: int
-    seen: np.ndarray
-    seen_log: np.ndarray
-    lower: np.ndarray
-    weight_log: np.ndarray
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.seen, codes), len(self.seen) - 1)
-        unseen = self.weight_log[codes // SYMBOLS] + self.lower[codes % SYMBOLS ** (self.order - 1)]
-        return np.where(self.seen[place] == codes, self.seen_log[place], unseen)
-
-
-@dataclass
-class QualityModel:
-    order: int
-    languages: dict[str, LanguageModel] = field(default_factory=dict)
-
-
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """``lang, gram, c`` over all rows of ``text, lang``, and the same under ``POOLED``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        waiting = 0
-
-        def merged(parts):
-            codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
-
-        for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang")):
-                for codes in grams(text.as_py() or "", order):
-                    held.setdefault(lang.as_py() or POOLED, []).append(np.unique(codes, return_counts=True))
-                    waiting += len(codes)
-                if waiting > 2_000_000:
-                    held, waiting = {k: [merged(v)] for k, v in held.items()}, 0
-        for lang, parts in held.items():
-            codes, counts = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "gram", "c"])
-
-    counted = texts.mapInArrow(trimmed(run), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    counted = cut_lineage(counted)
-    pooled = counted.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "gram", "c")
-    return counted.where(F.col("lang") != POOLED).unionByName(pooled)
-
-
-def _coded_suffix(gram: Column, n: int) -> Column:
-    return gram % SYMBOLS ** (n - 1)
-
-
-def _coded_context(gram: Column, n: int) -> Column:
-    return F.floor(gram / SYMBOLS)
+#: Characters whose n-grams are taken together, characters and rows of a shard, and rows of a block.
+HELD_CHARS, SHARD_CHARS, SHARD_ROWS, BLOCK_ROWS = 1 << 21, 1 << 26, 1 << 20, 512
+#: Letters of a shard at most, and letters beyond which a text is read without those outside the basic plane.
+ALPHABET, MANY_LETTERS = (1 << 16) - 2, 1 << 15
+#: Logarithms are whole numbers of this fraction, so sums do not depend on an order.
+LOG_UNIT = 1 << 10
+LONGEST = 4
 
 
 def _suffix(gram: Column, n: int) -> Column:
@@ -141,223 +45,321 @@ def _context(gram: Column, n: int) -> Column:
 
 
 def kneser_ney(
-    counts: DataFrame, order: int, symbols: int = SYMBOLS,
-    suffix: Callable[[Column, int], Column] = _coded_suffix, context: Callable[[Column, int], Column] = _coded_context,
+    counts: DataFrame, order: int, symbols: int = POINTS, columns: tuple[str, ...] = ("c",),
+    suffix: Callable[[Column, int], Column] = _suffix, context: Callable[[Column, int], Column] = _context,
 ) -> DataFrame:
-    """Interpolated modified Kneser-Ney probabilities: ``lang, n, gram, p`` and ``lang, n, context, weight``.
-
-    The highest order has the counts themselves, a lower one the number of different symbols
-    seen before its n-gram. Three discounts per order and language, for counts of 1, 2 and more,
-    come from the counts of counts. Each order's table is joined by n-gram to the next lower one,
-    and by context to its sums: joins of tables spread over their n-grams, none of them a window.
-    ``suffix`` and ``context`` give an n-gram of n symbols without its first and its last one;
-    ``symbols`` is how many symbols there can be.
+    """Interpolated modified Kneser-Ney probabilities: ``lang, gram`` and a ``p_`` column for each of ``columns``.
+
+    ``counts`` has ``lang, gram`` and a column of counts per model, whose n-grams are scored side
+    by side; n-grams that a model has not seen count 0 there and get what their contexts leave
+    them. The highest order has the counts themselves, a lower one the number of different
+    symbols seen before its n-gram. Three discounts per order, language and model, for counts of
+    1, 2 and more, come from the counts of counts. Each order's table is joined by n-gram to the
+    next lower one, and by context to its sums: joins of tables spread over their n-grams, none
+    of them a window. ``suffix`` and ``context`` give an n-gram of n symbols without its first
+    and its last one; ``symbols`` is how many symbols there can be.
     """
-    level, levels = cut_lineage(counts), []
+    level, levels = counts, []
     for n in range(order, 0, -1):
         levels.append((n, level))
         if n > 1:
-            level = cut_lineage(level.groupBy("lang", suffix(F.col("gram"), n).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
-    lower, found = None, []
+            level = cut_lineage(level.groupBy("lang", suffix(F.col("gram"), n).alias("gram")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns]))
+    lower = None
     for n, level in reversed(levels):
-        ones = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-        # Where a count of counts is zero the estimates do not exist, and half a count is taken.
-        discount = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(enough, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5))).alias(f"d{k}") for k in (1, 2, 3)]
-        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = level.join(ones.select("lang", *discount), "lang").select("lang", "gram", context(F.col("gram"), n).alias("context"), "c", taken.alias("d"))
-        sums = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
-        own = cut.join(sums, ["lang", "context"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), "weight")
-        if lower is None:
-            probability = own.select("lang", "gram", (F.col("own") + F.col("weight") / symbols).alias("p"))
-        else:
-            below = lower.select("lang", F.col("gram").alias("below"), F.col("p").alias("q"))
-            keyed = own.withColumn("below", suffix(F.col("gram"), n))
-            probability = keyed.join(below, ["lang", "below"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
-        lower = cut_lineage(probability)
-        found.append(lower.select("lang", F.lit(n).alias("n"), F.lit(False).alias("is_context"), "gram", F.col("p").alias("value")))
-        found.append(sums.select("lang", F.lit(n).alias("n"), F.lit(True).alias("is_context"), F.col("context").alias("gram"), F.col("weight").alias("value")))
-    table = found[0]
-    for part in found[1:]:
-        table = table.unionByName(part)
-    return table
-
-
-def load_model(table: DataFrame, order: int) -> QualityModel:
-    """The model on the driver; at most SYMBOLS**order seen n-grams a language, as many as there are otherwise."""
-    model = QualityModel(order)
-    rows = table.toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), dtype=object)
-    n_of, is_context, gram, value = (rows.column(c).to_numpy() for c in ("n", "is_context", "gram", "value"))
-    for lang in sorted(set(langs.tolist())):
-        mine = langs == lang
-        lower = np.full(1, 1 / SYMBOLS)
-        for n in range(1, order + 1):
-            seen, contexts = (np.flatnonzero(mine & (n_of == n) & (is_context == flag)) for flag in (False, True))
-            weight = np.ones(SYMBOLS ** (n - 1))
-            weight[gram[contexts]] = value[contexts]
-            codes, values = gram[seen], value[seen]
-            if n < order:
-                full = np.repeat(weight, SYMBOLS) * np.tile(lower, SYMBOLS)
-                full[codes] = values
-                lower = full
-            else:
-                by = np.argsort(codes)
-                model.languages[str(lang)] = LanguageModel(order, codes[by], np.log(values[by]).astype(np.float32), np.log(lower).astype(np.float32), np.log(weight).astype(np.float32))
-    return model
-
-
-def _posted(segments: list[tuple[int, str]], order: int) -> tuple[list[str], np.ndarray, pa.Array]:
-    """The distinct n-grams of texts that have numbers under ``GROUP``: how often each occurs, and its postings.
-
-    Postings are pairs of bytes: a text's number and how often it has the n-gram; a count above 255 takes several pairs.
-    """
-    flat = np.frombuffer("".join(text for _, text in segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-    flat = np.where(flat == 0, np.uint32(0xFFFD), flat)
-    lengths = np.array([len(text) for _, text in segments], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    sizes = lengths - order + 1
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    owner = np.repeat(np.array([number for number, _ in segments], np.int64), sizes)
-    rank = np.zeros(POINTS, bool)
-    rank[flat] = True
-    letters = int(rank.sum())
-    symbols = (np.cumsum(rank) - 1)[flat]
-    code, bound = np.zeros(len(at), np.int64), 1
+        ones = level.groupBy("lang").agg(*[F.count_if(F.col(c) == k).cast("double").alias(f"{c}_n{k}") for c in columns for k in (1, 2, 3, 4)])
+        cut = level.join(cut_lineage(ones.select("lang", *[d for c in columns for d in _discounts(c)])), "lang")
+        taken = {c: F.when(F.col(c) > 0, F.element_at(F.col(f"d_{c}"), F.least(F.col(c), F.lit(3)).cast("int"))).otherwise(0.0).alias(f"d_{c}") for c in columns}
+        cut = cut.select("lang", "gram", context(F.col("gram"), n).alias("context"), *columns, *taken.values())
+        sums = cut.groupBy("lang", "context").agg(*[F.sum(c).alias(f"t_{c}") for c in columns], *[F.sum(f"d_{c}").alias(f"s_{c}") for c in columns])
+        own = cut.join(sums, ["lang", "context"])
+        if lower is not None:
+            below = lower.select("lang", F.col("gram").alias("below"), *[F.col(f"p_{c}").alias(f"q_{c}") for c in columns])
+            own = own.withColumn("below", suffix(F.col("gram"), n)).join(below, ["lang", "below"])
+        value = {}
+        for c in columns:
+            q = F.lit(1 / symbols) if lower is None else F.col(f"q_{c}")
+            # A context that the model has not seen leaves all to the order below.
+            value[f"p_{c}"] = F.when(F.col(f"t_{c}") > 0, (F.col(c) - F.col(f"d_{c}") + F.col(f"s_{c}") * q) / F.col(f"t_{c}")).otherwise(q)
+        lower = cut_lineage(own.select("lang", "gram", *[v.alias(k) for k, v in value.items()]))
+    return lower
+
+
+def _discounts(c: str) -> list[Column]:
+    """The three discounts of a model as one array, from its counts of counts; where one is zero the estimates do not exist, and half a count is taken."""
+    n = [F.col(f"{c}_n{k}") for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    enough = (n[0] > 0) & (n[1] > 0) & (n[2] > 0) & (n[3] > 0)
+    each = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(enough, k - (k + 1) * y * n[k] / n[k - 1]).otherwise(0.5))) for k in (1, 2, 3)]
+    return [F.array(*each).alias(f"d_{c}")]
+
+
+class Alphabet:
+    """The code points of a shard, numbered as they come, so that an n-gram is one number."""
+
+    def __init__(self):
+        self.points, self.number = [np.zeros(1, np.uint32)], np.zeros(POINTS, np.uint16)
+        self.size = 1
+
+    def symbols(self, text: str) -> np.ndarray:
+        flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        # Neither can be part of a string of a table.
+        flat = np.where((flat == 0) | (flat >> 11 == 0x1B), np.uint32(0xFFFD), flat)
+        found = self.number[flat]
+        if not found.all():
+            new = np.unique(flat[found == 0])
+            self.number[new] = np.arange(self.size, self.size + len(new))
+            self.points.append(new)
+            self.size += len(new)
+            found = self.number[flat]
+        return found
+
+    def letters(self, codes: np.ndarray, order: int) -> list[str]:
+        """The n-grams of the numbers."""
+        points = np.concatenate(self.points)
+        grid = np.empty((len(codes), order), np.uint32)
+        for i in range(order):
+            grid[:, i] = points[(codes >> np.uint64(16 * (order - 1 - i))) & np.uint64(0xFFFF)]
+        return grid.view(f"<U{order}").ravel().tolist() if len(codes) else []
+
+
+def gram_codes(lines: list[str], alphabet: Alphabet, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the n-grams of the lines one after the other, and how many each has."""
+    symbols = alphabet.symbols("".join(lines)).astype(np.uint64)
+    lengths = np.array([len(line) for line in lines], np.int64)
+    ends = np.cumsum(lengths)
+    size = max(0, len(symbols) - order + 1)
+    codes, inside = np.zeros(size, np.uint64), np.ones(size, bool)
     for i in range(order):
-        if bound * letters >= 2**54:
-            # Numbers of the distinct beginnings, of which there are no more than places.
-            distinct, code = np.unique(code, return_inverse=True)
-            bound = len(distinct)
-        code = code * letters + symbols[at + i]
-        bound *= letters
-    both, first, counts = np.unique(code * GROUP + owner, return_index=True, return_counts=True)
-    begins = np.flatnonzero(np.diff(both // GROUP, prepend=-1))
-    grid = np.ascontiguousarray(flat[at[first[begins]][:, None] + np.arange(order)])
-    pairs = -(-counts // 255)
-    posted = np.full((pairs.sum(), 2), 255, np.uint8)
-    posted[:, 0] = np.repeat(both % GROUP, pairs)
-    posted[np.cumsum(pairs) - 1, 1] = counts - 255 * (pairs - 1)
-    ends = np.concatenate([[0], 2 * np.cumsum(np.add.reduceat(pairs, begins))]).astype(np.int32)
-    postings = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(posted.tobytes())])
-    return grid.view(f"<U{order}").ravel().tolist(), np.add.reduceat(counts, begins), postings
-
-
-def encoded(docs: DataFrame, order: int) -> DataFrame:
-    """Rows of ``doc_id, text, lang, fold`` as two kinds of rows of one table, whose keys hold once it is written.
-
-    A document's row has its key ``doc`` and ``c``, the number of its n-grams; its ``gram`` is
-    null. Up to ``GROUP`` documents of one language and fold share postings: a row per ``gram``
-    with its count ``c``, where ``doc`` is the key of the first.
+        codes = (codes << np.uint64(16)) | symbols[i: size + i]
+    for i in range(1, order):
+        inside[ends[(ends - i >= 0) & (ends - i < size)] - i] = False
+    return codes[inside], np.maximum(0, lengths - order + 1)
+
+
+def _lines(text: str | None, order: int) -> Iterator[str]:
+    """A text as a line of its own, behind a line feed; a long one in parts that together have its n-grams; none if it has no n-gram."""
+    if not text or len(text) + 1 < order:
+        return
+    if len(text) > MANY_LETTERS and len(set(text)) > MANY_LETTERS:
+        text = "".join(c if c < "\U00010000" else "\ufffd" for c in text)
+    line = "\n" + text
+    yield from [line] if len(line) <= HELD_CHARS else (line[s: s + HELD_CHARS + order - 1] for s in range(0, len(line) - order + 1, HELD_CHARS))
+
+
+def _blocks(rows: DataFrame, text_col: str) -> DataFrame:
+    """The rows as blocks of a shard each: ``shard, block, first``, the number in its shard of the block's first row.
+
+    A shard is what a task reads, up to bounds of characters, rows and letters; a block is up to
+    ``BLOCK_ROWS`` rows with all their columns, packed. Written once, bucketed by shard.
     """
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 30
-        groups: dict[tuple[str | None, int], list] = {}
+        shard, chars, count = TaskContext.get().partitionId() << 24, 0, 0
+        letters: set[str] = set()
+
+        def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([count])], ["shard", "block", "first"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch, begin = whole.slice(start, BLOCK_ROWS), 0
+                for k, text in enumerate(batch.column(text_col)):
+                    text = text.as_py() or ""
+                    new = set() if text.isascii() else set(text) - letters
+                    if len(letters) + len(new) > ALPHABET - 256 or chars > SHARD_CHARS or count + k - begin >= SHARD_ROWS:
+                        if k > begin:
+                            yield packed(batch.slice(begin, k - begin))
+                        shard, chars, count, begin, letters, new = shard + 1, 0, 0, k, set(), set(text)
+                    letters |= new
+                    chars += len(text)
+                yield packed(batch.slice(begin))
+                count += batch.num_rows - begin
+
+    return write_bucketed(rows.mapInArrow(trimmed(run), "shard long, block binary, first long"), ["shard"], name="quality")
+
+
+def _unpacked(blocks: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The blocks of a shard in order, each with the number of its first row."""
+    first = blocks.column("first").to_numpy()
+    for i in np.argsort(first).tolist():
+        for batch in pa.ipc.open_stream(blocks.column("block")[i].as_py()):
+            yield int(first[i]), batch
+
+
+def _folds_of(marked: pa.Table, first: int, n: int) -> np.ndarray:
+    """The folds of a block's rows, -1 where they are not trusted."""
+    folds, at = np.full(n, -1, np.int32), marked.column("row").to_numpy() - first
+    mine = (at >= 0) & (at < n)
+    folds[at[mine]] = marked.column("fold").to_numpy()[mine]
+    return folds
+
+
+def _counted(order: int, text_col: str, lang_col: str):
+    """Per shard and language: its distinct n-grams with their counts in the trusted texts of each fold, and in a row of null n-gram how many trusted texts have any."""
+
+    def run(blocks: pa.Table, marked: pa.Table) -> pa.Table:
+        alphabet, found, sized, done = Alphabet(), {}, {}, []
+        waiting: dict[tuple[str | None, int], list[str]] = {}
+
+        def counted() -> None:
+            for name, lines in waiting.items():
+                found.setdefault(name, []).append(np.unique(gram_codes(lines, alphabet, order)[0], return_counts=True))
+            for name, parts in found.items():
+                if len(parts) > 1:
+                    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    found[name] = [(codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64))]
+            waiting.clear()
+
         held = 0
+        for first, batch in _unpacked(blocks):
+            folds = _folds_of(marked, first, batch.num_rows).tolist()
+            for text, lang, fold in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), folds):
+                for k, line in enumerate(_lines(text, order)):
+                    sized[lang] = sized.get(lang, 0) + (fold >= 0 and k == 0)
+                    waiting.setdefault((lang, fold), []).append(line)
+                    held += len(line)
+                    if held > HELD_CHARS:
+                        counted()
+                        held = 0
+        counted()
+        shard = blocks.column("shard")[0]
+
+        def rows(lang, grams, counts) -> pa.Table:
+            offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * FOLDS)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64).ravel()))
+            return pa.table([pa.array([shard.as_py()] * len(grams), pa.int64()), pa.array(lang, pa.string()), pa.array(grams, pa.string()), lists], ["shard", "lang", "gram", "counts"])
+
+        for lang, n in sized.items():
+            mine = {fold: parts[0] for (other, fold), parts in found.items() if other == lang}
+            codes = np.unique(np.concatenate([p[0] for p in mine.values()]))
+            counts = np.zeros((len(codes), FOLDS), np.int64)
+            for fold, (its, times) in mine.items():
+                if fold >= 0:
+                    counts[np.searchsorted(codes, its), fold] = times
+            done.append(rows([lang] * len(codes), alphabet.letters(codes, order), counts))
+            done.append(rows([lang], [None], np.full((1, FOLDS), n)))
+        return pa.concat_tables(done) if done else rows([], [], np.zeros((0, FOLDS)))
+
+    return run
+
+
+def _scored(order: int, id_col: str, text_col: str, lang_col: str):
+    """Per shard: the log sums of its rows by their own model, and of the trusted ones by that of all languages too."""
+
+    def table(values: pa.Table, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+        points = alphabet.symbols("".join(values.column("gram").to_pylist())).reshape(-1, order).astype(np.uint64)
+        codes = np.zeros(len(points), np.uint64)
+        for i in range(order):
+            codes = (codes << np.uint64(16)) | points[:, i]
+        logs = values.column("logs").to_numpy().astype("<i8").view("<i2").reshape(len(points), 4).astype(np.int32)
+        by = np.argsort(codes)
+        return codes[by], logs[by]
+
+    def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
+        alphabet, models, done = Alphabet(), {}, []
+        marked = values.filter(values.column("name").is_null())
+        values = values.filter(values.column("name").is_valid())
+        kinds = pa.concat_arrays([pa.array([], pa.string()), *values.column("name").chunks]).dictionary_encode()
+        for k, name in enumerate(kinds.dictionary.to_pylist()):
+            models[name] = table(values.take(pa.array(np.flatnonzero(kinds.indices.to_numpy() == k))), alphabet)
+        for first, batch in _unpacked(blocks):
+            texts, langs, n = batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), batch.num_rows
+            folds = _folds_of(marked, first, n)
+            sums, grams = np.zeros((n, 2), np.int64), np.array([max(0, len(t) + 2 - order) if t else 0 for t in texts], np.int64)
+            own = np.array([lang is not None and "=" + lang in models for lang in langs], bool)
+            groups: dict[str | None, list[int]] = {}
+            for k in np.flatnonzero(grams).tolist():
+                groups.setdefault(langs[k], []).append(k)
+            for lang, members in groups.items():
+                wanted = [(0, POOLED, members)]
+                if own[members[0]]:
+                    wanted = [(0, "=" + lang, members), (1, POOLED, [k for k in members if folds[k] >= 0])]
+                for which, name, rows in wanted:
+                    for at, lines in _portions(rows, texts, order):
+                        codes, sizes = gram_codes(lines, alphabet, order)
+                        seen, logs = models[name]
+                        value = logs[np.searchsorted(seen, codes), np.repeat(folds[at] + 1, sizes)].astype(np.int64)
+                        np.add.at(sums[:, which], np.array(at), np.add.reduceat(value, np.cumsum(sizes) - sizes))
+            done.append(pa.table(
+                [pa.array([blocks.column("shard")[0].as_py()] * n, pa.int64()), pa.array(np.arange(first, first + n)), batch.column(id_col), pa.array(langs, pa.string()),
+                 pa.array(folds >= 0), pa.array(grams), pa.array(own), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+                ["shard", "row", "doc_id", "lang", "trusted", "c", "own", "log", "pooled_log"]))
+        return pa.concat_tables(done)
+
+    return run
+
+
+def _portions(rows: list[int], texts: list[str], order: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The lines of the rows' texts in lists of bounded size, each with the row that it is of."""
+    at, lines, held = [], [], 0
+    for k in rows:
+        for line in _lines(texts[k], order):
+            at.append(k)
+            lines.append(line)
+            held += len(line)
+            if held > HELD_CHARS // 2:
+                yield at, lines
+                at, lines, held = [], [], 0
+    if lines:
+        yield at, lines
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, order: int, quantile: float, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the rows, and per row ``shard, row, doc_id, lang, n_grams, perplexity, threshold, kept``."""
+    if not 1 < order <= LONGEST:
+        raise ValueError(f"n-grams of 2 to {LONGEST} symbols are numbered in 64 bits")
+    blocks = _blocks(docs, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in batches:
+            for k in range(packed.num_rows):
+                shard = packed.column("shard")[k].as_py()
+                for first, batch in _unpacked(pa.Table.from_batches([packed.slice(k, 1)])):
+                    n = batch.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(np.arange(first, first + n)), batch.column(id_col)], ["shard", "row", "doc_id"])
 
-        def given(name: tuple[str | None, int], group: list) -> pa.RecordBatch:
-            found, counts, postings = _posted(group[2], order)
-            n = len(found)
-            group[2] = []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, group[0] * GROUP)), pa.nulls(n, ids.type), pa.array([name[0]] * n, pa.string()), pa.array(np.full(n, name[1], np.int32)),
-                 pa.array(counts, pa.int64()), pa.array(found, pa.string()), postings], names,
-            )
-
-        names = ["doc", "doc_id", "lang", "fold", "c", "gram", "postings"]
-        for batch in batches:
-            ids, keys, sizes = batch.column("doc_id"), [], []
-            for text, lang, fold in zip(batch.column("text"), batch.column("lang"), batch.column("fold")):
-                name, text = (lang.as_py(), fold.as_py()), text.as_py() or ""
-                if name not in groups or groups[name][1] == GROUP:
-                    if name in groups and groups[name][2]:
-                        held -= sum(len(x) for _, x in groups[name][2])
-                        yield given(name, groups[name])
-                    groups[name] = [number, 0, []]
-                    number += 1
-                group = groups[name]
-                keys.append(group[0] * GROUP + group[1])
-                sizes.append(max(0, len(text) + 2 - order) if text else 0)
-                if sizes[-1]:
-                    # A text is read as a line of its own, a long one in parts that overlap.
-                    for start in range(0, sizes[-1], HELD_CHARS):
-                        group[2].append((group[1], ("\n" if start == 0 else "") + text[max(0, start - 1): start + HELD_CHARS + order - 2]))
-                        held += len(group[2][-1][1])
-                        if held > HELD_CHARS:
-                            for other, waiting in groups.items():
-                                if waiting[2]:
-                                    yield given(other, waiting)
-                            # Names that are many are not kept for their next document.
-                            groups, held = {name: group}, 0
-                group[1] += 1
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), ids, batch.column("lang"), batch.column("fold"), pa.array(sizes, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names,
-            )
-        for name, group in groups.items():
-            if group[2]:
-                yield given(name, group)
-
-    return docs.mapInArrow(trimmed(run), f"doc long, doc_id {kind}, lang string, fold int, c long, gram string, postings binary")
-
-
-def gram_logs(wanted: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """``lang, gram, log`` of wanted n-grams of models in the table, by the longest end of each that was seen; in ``LOG_UNIT``s."""
-    models = table.where("n = 1 AND is_context").select("lang")
-    rows = wanted.join(models, "lang", "left_semi")
-    chosen = F.lit(1 / POINTS)
-    for n in range(1, order + 1):
-        end = F.substring(F.col("gram"), order - n + 1, n)
-        level = table.where(F.col("n") == n)
-        seen = level.where("NOT is_context").select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias(f"p{n}"))
-        weights = level.where("is_context").select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("value").alias(f"w{n}"))
-        rows = rows.join(merged(seen), (F.col("lang") == F.col("l")) & (end == F.col("g")), "left").drop("l", "g")
-        rows = rows.join(merged(weights), (F.col("lang") == F.col("l")) & (_context(end, n) == F.col("g")), "left").drop("l", "g")
-        chosen = F.coalesce(f"p{n}", F.coalesce(F.col(f"w{n}"), F.lit(1.0)) * chosen)
-    return rows.select("lang", "gram", F.round(F.log(chosen) * LOG_UNIT).cast("long").alias("log"))
-
-
-def log_sums(found: DataFrame) -> DataFrame:
-    """``doc, pooled, log`` per document, from rows of ``doc, pooled, postings, log`` per n-gram."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct()
+    places = blocks.mapInArrow(trimmed(numbered), f"shard long, row long, doc_id {kind}")
+    fold = (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int").alias("fold")
+    marked = cut_lineage(places.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("shard", "row", fold))
+    shards = blocks.groupBy("shard")
+    grams = cut_lineage(shards.cogroup(marked.groupBy("shard")).applyInArrow(_counted(order, text_col, lang_col), "shard long, lang string, gram string, counts array<long>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def together():
-            keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            by = np.argsort(keys, kind="stable")
-            begins = np.flatnonzero(np.diff(keys[by], prepend=-1))
-            return keys[by][begins], np.add.reduceat(values[by], begins)
-
-        for batch in batches:
-            postings = batch.column("postings")
-            pairs = np.frombuffer(b"".join(postings.to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
-            if not len(pairs):
-                continue
-            times = pc.binary_length(postings).to_numpy() // 2
-            key = np.repeat(batch.column("doc").to_numpy(), times) + pairs[:, 0]
-            parts.append((key * 2 + np.repeat(batch.column("pooled").to_numpy(), times), np.repeat(batch.column("log").to_numpy(), times) * pairs[:, 1]))
-            waiting += len(pairs)
-            if waiting > 2_000_000:
-                parts, waiting = [together()], 0
-        if parts:
-            keys, values = together()
-            yield pa.RecordBatch.from_arrays([pa.array(keys // 2), pa.array((keys % 2).astype(np.int32)), pa.array(values)], ["doc", "pooled", "log"])
-
-    summed = found.select("doc", "pooled", "postings", "log").mapInArrow(trimmed(run), "doc long, pooled int, log long")
-    return summed.groupBy("doc", "pooled").agg(F.sum("log").alias("log"))
-
-
-def train(docs: DataFrame, trusted: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
-    """A model of all documents whose ids are in ``trusted``; every one of them is counted."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).distinct()
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    texts = rows.where("text IS NOT NULL").join(merged(ids), F.col("__doc") == F.col("__id"), "left_semi").select("text", "lang")
-    return load_model(kneser_ney(gram_counts(texts, order), order), order)
+    able = grams.where("gram IS NULL AND lang IS NOT NULL").groupBy("lang").agg(F.sum(F.col("counts")[0]).alias("n"))
+    own = cut_lineage(able.where(F.col("n") >= math.ceil(1 / max(1e-9, 1 - quantile) - 1e-6)).select(F.col("lang").alias("own")))
+    # All of a language with a model goes by that one, and its trusted text by that of all languages too, for the limit of the others.
+    named = grams.where("gram IS NOT NULL").join(own, F.col("lang") == F.col("own"), "left")
+    mine, every = F.concat(F.lit("="), "own"), F.lit(POOLED)
+    names = F.when(F.col("own").isNull(), F.array(every)).when(F.exists("counts", lambda c: c > 0), F.array(mine, every)).otherwise(F.array(mine))
+    asked = named.select("shard", F.explode(names).alias("lang"), "gram", "counts")
+    folds = [f"c{k}" for k in range(FOLDS)]
+    summed = asked.groupBy("lang", "gram").agg(*[F.sum(F.col("counts")[k]).alias(f"in{k}") for k in range(FOLDS)])
+    everything = sum((F.col(f"in{k}") for k in range(1, FOLDS)), F.col("in0"))
+    counts = cut_lineage(summed.select("lang", "gram", everything.alias("c"), *[(everything - F.col(f"in{k}")).alias(c) for k, c in enumerate(folds)]))
+    probability = kneser_ney(counts, order, columns=("c", *folds))
+    # The model of all folds first, then those without each; no value is under e^-31.
+    each = [F.greatest(F.round(F.log(F.col(f"p_{c}")) * LOG_UNIT), F.lit(-31.0 * LOG_UNIT)).cast("long") for c in ("c", *folds)]
+    logs = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(x.bitwiseAND(F.lit(0xFFFF)), 16 * k) for k, x in enumerate(each)])
+    values = asked.select("shard", "lang", "gram").join(probability.select("lang", "gram", logs.alias("logs")), ["lang", "gram"])
+    # Languages without a model may ask for the same; behind the join their rows lie together already.
+    values = values.groupBy("lang", "gram", "shard").agg(F.first("logs").alias("logs"))
+    brought = values.select("shard", F.col("lang").alias("name"), "gram", "logs", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("fold")).unionByName(marked, allowMissingColumns=True)
+
+    result = f"shard long, row long, doc_id {kind}, lang string, trusted boolean, c long, own boolean, log long, pooled_log long"
+    scored = shards.cogroup(brought.groupBy("shard")).applyInArrow(_scored(order, id_col, text_col, lang_col), result)
+    reading = lambda log: F.when(F.col("c") > 0, F.exp(-F.col(log) / LOG_UNIT / F.col("c")))
+    pooled = F.when(F.col("own") & F.col("trusted"), reading("pooled_log")).alias("pooled")
+    name = F.when(F.col("own"), F.concat(F.lit("="), "lang")).otherwise(F.lit(POOLED)).alias("name")
+    under = cut_lineage(scored.select("shard", "row", "doc_id", "lang", "trusted", "c", name, reading("log").alias("perplexity"), pooled))
+    pairs = F.array(F.struct(F.col("name").alias("of"), F.col("perplexity").alias("value")), F.struct(F.lit(POOLED).alias("of"), F.col("pooled").alias("value")))
+    measured = under.where("trusted").select(F.explode(pairs).alias("m")).select("m.*").where("value IS NOT NULL")
+    limits = cut_lineage(measured.groupBy("of").agg(F.percentile_approx("value", quantile, 10_000).alias("threshold")))
+    judged = under.join(limits, F.col("name") == F.col("of"), "left").withColumnRenamed("c", "n_grams")
+    return blocks, judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 def classify(
@@ -376,42 +378,36 @@ def classify(
     kept, as nothing speaks against them; without any trusted text all rows are. One row per row
     of ``docs``; extra columns do not matter.
 
-    The tables of n-grams grow with the corpus and stay in Spark. Documents meet them through
-    postings, a row per n-gram and group of documents, and no text is shuffled but for the
-    trusted ids.
+    The tables of n-grams grow with the corpus and stay in Spark, spread over their n-grams,
+    with the counts of all folds side by side. Rows are packed into shards of what a task reads,
+    which are written once, bucketed by shard; every shard asks for its distinct n-grams, and
+    their values come to where it lies. No text is shuffled.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct()
-    ids = ids.select("id", (F.crc32(F.col("id").cast("string")) % FOLDS).cast("int").alias("of"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.join(merged(ids), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "lang", F.coalesce("of", F.lit(-1)).alias("fold"))
-    parts = cut_lineage(encoded(rows, order))
-    heads, entries = parts.where("gram IS NULL").select("doc", "doc_id", "lang", "fold", "c"), parts.where("gram IS NOT NULL")
+    judged = _judged(rows, trusted, order, quantile, "doc_id", "text", "lang")[1]
+    return judged.select("doc_id", "lang", "n_grams", "perplexity", "threshold", "kept")
 
-    able = heads.where("fold >= 0 AND c > 0 AND lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    own = cut_lineage(able.where(F.col("n") >= math.ceil(1 / max(1e-9, 1 - quantile) - 1e-6)).select(F.col("lang").alias("own")))
-    named = lambda df: df.join(own, F.col("lang") == F.col("own"), "left")
-    name = F.coalesce(F.concat(F.lit("="), "own"), F.lit(POOLED))
-
-    counted = named(cut_lineage(entries.where("fold >= 0").groupBy("lang", "fold", "gram").agg(F.sum("c").alias("c"))))
-    counted = counted.where("own IS NOT NULL").select(name.alias("name"), "fold", "gram", "c").unionByName(counted.select(F.lit(POOLED).alias("name"), "fold", "gram", "c"))
-    folds = counted.groupBy("name", "gram").agg(F.sum("c").alias("all"), *[F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"in{k}") for k in range(FOLDS)])
-    without = F.array(F.struct(F.lit(-1).alias("k"), F.col("all").alias("c")), *[F.struct(F.lit(k).alias("k"), (F.col("all") - F.col(f"in{k}")).alias("c")) for k in range(FOLDS)])
-    counts = folds.select("name", "gram", F.explode(without).alias("w")).where("w.c > 0").select(F.concat_ws(":", "w.k", "name").alias("lang"), "gram", F.col("w.c").alias("c"))
-    table = cut_lineage(kneser_ney(counts, order, POINTS, _suffix, _context))
-
-    # The limit of all languages together is that of every trusted document under their model.
-    asked = named(entries).select("doc", F.lit(0).alias("pooled"), F.concat_ws(":", "fold", name).alias("lang"), "gram", "postings").unionByName(
-        named(entries.where("fold >= 0")).where("own IS NOT NULL").select("doc", F.lit(1).alias("pooled"), F.concat_ws(":", "fold", F.lit(POOLED)).alias("lang"), "gram", "postings"))
-    logs = cut_lineage(gram_logs(asked.select("lang", "gram").distinct(), table, order))
-    sums = cut_lineage(log_sums(asked.join(merged(logs), ["lang", "gram"])))
-    value = F.exp(-F.col("log") / LOG_UNIT / F.col("c"))
-    scored = named(heads).select("doc", "doc_id", "lang", "fold", "c", name.alias("name"))
-    under = cut_lineage(scored.join(merged(sums), "doc", "left").withColumn("perplexity", F.when(F.col("c") > 0, value)))
-    trusted_ones = under.where("fold >= 0 AND perplexity IS NOT NULL").withColumn("of", F.when(F.col("pooled") == 1, F.lit(POOLED)).otherwise(F.col("name")))
-    limits = trusted_ones.groupBy("of").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    judged = under.where("pooled IS NULL OR pooled = 0").join(limits, F.col("name") == F.col("of"), "left")
-    judged = judged.select("doc_id", "lang", F.col("c").alias("n_grams"), "perplexity", "threshold")
-    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+
+def kept_rows(
+    docs: DataFrame, trusted: DataFrame, order: int = 4, quantile: float = 0.995,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
+    """The rows that ``classify`` keeps, columns as before; ids may be null or repeat, as each row is judged for itself.
+
+    The rows come out of the blocks that were scored, so they are not shuffled either.
+    """
+    rows = docs.withColumn("__lang", F.col(lang_col).cast("string"))
+    blocks, judged = _judged(rows, trusted, order, quantile, id_col, text_col, "__lang")
+    columns = docs.columns
+
+    def kept(blocks: pa.Table, gone: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches([batch.select(columns) for _, batch in _unpacked(blocks)])
+        keep = np.ones(rows.num_rows, bool)
+        keep[gone.column("row").to_numpy()] = False
+        return rows.filter(pa.array(keep))
+
+    rejected = judged.where("NOT kept").select("shard", "row")
+    return blocks.groupBy("shard").cogroup(rejected.groupBy("shard")).applyInArrow(kept, docs.schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
