@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.llm import lines, minhash, mixing, packing, quality
-from usagelens.llm.common import importable, merged, table
+from usagelens.llm.common import importable, table
 from usagelens.sources.workspace import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,9 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that read like trusted text of their language; those the classifier rejects go."""
-    trusted = quality.trusted_ids(table(spark, folder, "labels"))
-    rejected = quality.classify(docs, trusted).where("NOT kept").select("doc_id")
-    return docs.join(merged(rejected), "doc_id", "left_anti").select(docs.columns)
+    return quality.kept_rows(docs, quality.trusted_ids(table(spark, folder, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,7 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies."""
     importable(spark)
-    return minhash.without_copies(docs, minhash.near_duplicates(docs)).select(docs.columns)
+    return minhash.without_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
