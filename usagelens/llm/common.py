@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.sources.workspace import cut_lineage
@@ -59,21 +59,38 @@ def merged(ids: DataFrame) -> DataFrame:
     return ids.hint("merge")
 
 
-def bounded_filter(hashes: DataFrame, column: str):
-    """A filter of 2^23 bits over a column of evenly spread longs, sent to all executors.
+def bounded_filter(hashes: DataFrame, column: str, words: int = FILTER_WORDS):
+    """A filter of 64 bits times ``words``, a power of two, over a column of evenly spread longs, sent to all executors.
 
     ``maybe_in`` passes all of them, and some others. It thins rows before a join that does the
     rest; when it fills up it only stops saving.
     """
-    word, bit = F.expr(f"(`{column}` >> 6) & {FILTER_WORDS - 1}"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-    table = np.zeros(FILTER_WORDS, np.int64)
-    for row in hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        table[row["word"]] = row["bits"]
+    word, bit = F.expr(f"(`{column}` >> 6) & {words - 1}"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    table = np.zeros(words, np.int64)
+    found = hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
 def maybe_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return ((table[(hashes >> 6) & (FILTER_WORDS - 1)] >> (hashes & 63)) & 1).astype(bool)
+    return ((table[(hashes >> 6) & (len(table) - 1)] >> (hashes & 63)) & 1).astype(bool)
+
+
+def shared_keys(entries: DataFrame, also: Column | None = None) -> DataFrame:
+    """The rows ``key, id, ...`` whose key more than one id has, with ``n``, how many rows have it; ``also`` is a further condition on all rows of a key.
+
+    Keys meet through partial sums and a join that Spark can split, never in a window.
+    """
+    sizes = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"), (F.lit(True) if also is None else also).alias("also"))
+    return cut_lineage(entries.join(cut_lineage(sizes.where("low <> high AND also").select("key", "n")), "key"))
+
+
+def leaders(live: DataFrame, eligible: Column | None = None) -> DataFrame:
+    """``key, leader``: of the ids of each key the one whose keys are the most popular, ties to the smallest."""
+    weight = live.groupBy("id").agg(F.sum("n").alias("weight"))
+    chosen = live.where(eligible) if eligible is not None else live
+    best = chosen.join(weight, "id").groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("best"))
+    return cut_lineage(best.select("key", F.col("best.id").alias("leader")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:

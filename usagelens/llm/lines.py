@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ROW, bounded_filter, components, maybe_in, merged, trimmed, with_row_keys
+from usagelens.llm.common import ROW, bounded_filter, components, leaders, maybe_in, merged, shared_keys, trimmed, with_row_keys
 from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
 from usagelens.sources.workspace import cut_lineage
 
+#: Words of the filter of keys that occur more than once: 2^26 bits.
+KEY_FILTER = 1 << 20
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -189,12 +191,13 @@ def line_classes(
     an empty text one empty line. Rows that repeat a document id give the same line numbers
     again. Lines are told apart by a 64-bit digest.
 
-    Equal lines are one from the start. Lines that share no key with another line drop out as
-    the keys are put together. In a first round the lines of a key meet its smallest only, and
-    what is within the distance is one class; in a second round those of a key that are still
-    in different classes meet, if their letters differ by little enough. So a large group of
-    like lines costs its size, and no link between classes is passed over. Where more than one
-    line has a key, its row count is met by a join whose large side Spark can split.
+    Equal lines are one from the start. Keys of one line drop out, by sums that are reduced
+    before they are shuffled and a filter of fixed size. In a first round the lines of a key meet
+    its leader only, the one whose keys are the most popular ones, and what is within the
+    distance is one class; in a second round those of a key that are still in different classes
+    meet, if their lengths, letters and pairs of neighbours differ by so little that they can be
+    within the distance. So a large group of like lines costs its size, and no link between
+    classes is passed over. Lines meet in joins whose large side Spark can split.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.select("text").where("text IS NOT NULL")
@@ -203,38 +206,46 @@ def line_classes(
     spans = [(distance, max(near_chars, distance + 1), None)] if not chars_per_edit else [
         (d, max(near_chars, d * chars_per_edit, d + 1), (d + 1) * chars_per_edit - 1 + d if d < distance else None) for d in range(1, distance + 1)]
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                lines = _distinct_lines(whole.slice(start, 512), near_chars)
-                for edits, low, high in spans:
-                    for part in _portions([x for x in lines if low <= len(x) <= (high or len(x))]):
-                        ids = np.array([line_id(x) for x in part], np.int64)
-                        who, key, is_index = segment_keys(part, edits)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((ids[who] & ~1) | is_index)], ["key", "tag"])
-
+    def keyed(filtered):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 512):
+                    lines = _distinct_lines(whole.slice(start, 512), near_chars)
+                    for edits, low, high in spans:
+                        for part in _portions([x for x in lines if low <= len(x) <= (high or len(x))]):
+                            ids = np.array([line_id(x) for x in part], np.int64)
+                            who, key, is_index = segment_keys(part, edits)
+                            tag = (ids[who] & ~1) | is_index
+                            if filtered is None:
+                                # A line meets itself at its own segments, which counts once.
+                                by = np.lexsort((who, key))
+                                kept = by[np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(who[by]) != 0)])] if len(by) else by
+                            else:
+                                kept = np.flatnonzero(maybe_in(filtered.value, key))
+                            key, tag = key[kept], tag[kept]
+                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag)], ["key", "tag"])
+
+        return trimmed(run)
+
+    # Keys met once are of one line. The others pass a filter, with a few more, and are then told apart by the lines that have them.
+    again = texts.mapInArrow(keyed(None), "key long, tag long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = texts.mapInArrow(keyed(bounded_filter(again, "key", KEY_FILTER)), "key long, tag long").distinct()
     # The last bit of a tag tells an index entry from a probe; ids lose that bit throughout.
-    entries = texts.mapInArrow(trimmed(keyed), "key long, tag long")
-    same_key = Window.partitionBy("key")
-    ids = F.col("tag").bitwiseAND(F.lit(-2))
-    ranged = entries.withColumns({
-        "least": F.min(F.when(_is_index(), ids)).over(same_key), "low": F.min(ids).over(same_key), "high": F.max(ids).over(same_key),
-    })
-    shared = ranged.where("least IS NOT NULL AND low <> high").select("key", ids.alias("id"), _is_index().alias("is_index"), "least").distinct()
-    live = cut_lineage(shared)
+    entries = cut_lineage(entries).select("key", F.col("tag").bitwiseAND(F.lit(-2)).alias("id"), _is_index().alias("is_index"))
+    live = shared_keys(entries, F.max("is_index"))
 
     known = _texts_of(texts, live.select("id").distinct(), near_chars)
-    star = live.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    star = live.join(leaders(live, F.col("is_index")), "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     first = cut_lineage(_verified(star, known, distance, chars_per_edit))
     labels = components(first)
-    profile = known.select("id", "n_chars", "letters").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    profile = profile.select("id", F.coalesce("component", "id").alias("class"), "n_chars", "letters").dropDuplicates(["id"])
+    profile = known.select("id", *TRAITS).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    profile = profile.select("id", F.coalesce("component", "id").alias("class"), *TRAITS).dropDuplicates(["id"])
     placed = live.select("key", "id", "is_index").join(profile, "id")
-    ours = placed.where("is_index").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", "n_chars", "letters")])
-    theirs = placed.where("NOT is_index").select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", "n_chars", "letters")])
-    # An edit changes the parity of two letters at most.
-    alike = F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2 * distance
-    apart = (F.col("class_a") != F.col("class_b")) & (F.abs(F.col("n_chars_a") - F.col("n_chars_b")) <= distance) & alike
+    open_keys = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    placed = cut_lineage(placed.join(open_keys, "key"))
+    ours = placed.where("is_index").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", *TRAITS)])
+    theirs = placed.where("NOT is_index").select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", *TRAITS)])
+    apart = (F.col("class_a") != F.col("class_b")) & _alike(distance)
     rest = ours.join(theirs, (ours["key"] == theirs["key"]) & apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     links = first.unionByName(_verified(rest, known, distance, chars_per_edit))
     classes = cut_lineage(components(links).withColumnRenamed("node", "id"))
@@ -272,6 +283,16 @@ def line_classes(
     )
 
 
+#: What two lines are told apart by before they meet.
+TRAITS = ("n_chars", "letters", "pairs", "more_pairs")
+
+
+def _alike(distance: int) -> Column:
+    """Whether lines can be within the distance: an edit changes the parity of two letters at most, and of four pairs of neighbours."""
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    return (F.abs(F.col("n_chars_a") - F.col("n_chars_b")) <= distance) & (differ("letters") <= 2 * distance) & (differ("pairs") + differ("more_pairs") <= 4 * distance)
+
+
 def _is_index() -> Column:
     return F.col("tag").bitwiseAND(F.lit(1)) == 1
 
@@ -291,12 +312,22 @@ def _portions(lines: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
 
 def letter_parity(line: str) -> int:
     """A bit for every letter class (code point modulo 64): whether the line has an odd number of them."""
-    counts = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-    return int(np.packbits((counts & 1).astype(np.uint8)).view(">i8")[0])
+    return _parity(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, 64)[0]
+
+
+def pair_parity(line: str) -> list[int]:
+    """The same for 128 classes of neighbouring characters, in two numbers."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _parity(((points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(13)) & np.uint32(127), 128)
+
+
+def _parity(classes: np.ndarray, count: int) -> list[int]:
+    odd = np.bincount(classes, minlength=count) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """``id, line, n_chars, letters`` of the given line ids."""
+    """``id, line`` and the traits of the given line ids."""
     ids = cut_lineage(ids)
     shared = bounded_filter(ids.select(F.shiftright("id", 1).alias("h")), "h")
 
@@ -306,25 +337,23 @@ def _texts_of(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
                 lines = _distinct_lines(whole.slice(start, 512), least)
                 found = np.array([line_id(x) & -2 for x in lines], np.int64)
                 chosen = np.flatnonzero(maybe_in(shared.value, found >> 1)).tolist()
+                pairs = [pair_parity(lines[k]) for k in chosen]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[chosen]), pa.array([lines[k] for k in chosen], pa.string()),
-                     pa.array([len(lines[k]) for k in chosen], pa.int32()), pa.array([letter_parity(lines[k]) for k in chosen], pa.int64())],
-                    ["id", "line", "n_chars", "letters"],
+                     pa.array([len(lines[k]) for k in chosen], pa.int32()), pa.array([letter_parity(lines[k]) for k in chosen], pa.int64()),
+                     *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))],
+                    ["id", "line", *TRAITS],
                 )
 
-    lines = texts.mapInArrow(trimmed(run), "id long, line string, n_chars int, letters long")
+    lines = texts.mapInArrow(trimmed(run), "id long, line string, n_chars int, letters long, pairs long, more_pairs long")
     return cut_lineage(lines.join(ids, "id", "left_semi").dropDuplicates(["id", "line"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, distance: int, chars_per_edit: int = 0) -> DataFrame:
     """The pairs ``a, b`` whose lines are within the distance, or the edits that their length allows."""
-    ours = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("n_chars").alias("chars_a"), F.col("letters").alias("letters_a"))
-    theirs = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("n_chars").alias("chars_b"), F.col("letters").alias("letters_b"))
+    ours, theirs = (texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("line", *TRAITS)]) for name in "ab")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = pairs.join(ours.drop("line_a"), "a").join(theirs.drop("line_b"), "b").where(
-        (F.abs(F.col("chars_a") - F.col("chars_b")) <= distance)
-        & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2 * distance)
-    ).select("a", "b").distinct()
+    likely = pairs.join(ours.drop("line_a"), "a").join(theirs.drop("line_b"), "b").where(_alike(distance)).select("a", "b").distinct()
     met = likely.join(ours.select("a", "line_a"), "a").join(theirs.select("b", "line_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
