@@ -86,7 +86,44 @@ def test_empty_table_null_ids_and_repeated_rows(documents):
     docs = documents(rows)
     got = minhash.near_duplicates(docs)
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
-    assert minhash.without_copies(docs, got).columns == docs.columns
+    left = minhash.without_copies(docs)
+    assert left.columns == docs.columns and left.count() == 1
+
+
+def test_rows_of_null_and_repeated_ids_are_documents_each(documents):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (7, text(1)), (7, text(3)), (7, text(3)), (8, None), (8, None), (9, "")]
+    left = sorted(str(r["text"]) for r in minhash.without_copies(documents(rows)).collect())
+    assert left == sorted([text(1), text(2), text(3), "None", "None", ""])
+
+
+def test_a_group_of_edited_copies_does_not_meet_in_pairs(documents, monkeypatch):
+    """Copies of one text with so many edits of their own that few are near another: what is held against each other grows with the group."""
+    draw, held = random.Random(12), []
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for d in range(400):
+        words = list(base)
+        for i in draw.sample(range(150), 0 if d == 77 else draw.randrange(1, 9)):
+            words[i] = f"e{d}x{i}"
+        rows.append((d, " ".join(words)))
+    real = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest: held.append(pairs.count()) or real(pairs, *rest))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(documents(rows)).collect()}
+    sets, up = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert got == {d: root(d) for d in sets} and len(set(got.values())) > 100
+    assert sum(held) < 10 * len(rows)
 
 
 def test_weighted_sets_count_repeats(documents):

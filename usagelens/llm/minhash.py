@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bounded_filter, components, maybe_in, merged, trimmed
+from usagelens.llm.common import bounded_filter, components, leaders, maybe_in, shared_keys, trimmed
 from usagelens.llm.shingles import batch_shingles, mixed
 from usagelens.sources.workspace import cut_lineage
 
 #: Bands and rows: a pair of similarity 0.8 shares no band once in 20,000 times, one of 0.3 shares one in 17 times.
 BANDS, ROWS = 25, 5
+#: Documents of a key that still meet in pairs in the second round; it bears on speed only.
+FEW = 32
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int, coordinates: int) -> np.ndarray:
@@ -122,6 +124,8 @@ def _signed(batch: pa.RecordBatch, group, coordinates: int, rows: int, weighted:
     bits[:, : min(128, coordinates)] = (signature[:, :128] & np.uint64(1)).astype(np.uint8)
     sketch = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
     some = sizes > 0
+    if weighted:
+        sizes = np.bincount(owner, counts, len(group)).astype(np.int64)
     at = pa.array(np.array([p for p, _, _ in group], np.int64)[some])
     flat = pa.array(keys[some].view(np.int64).ravel())
     offsets = pa.array(np.arange(int(some.sum()) + 1, dtype=np.int32) * (coordinates // rows))
@@ -144,12 +148,16 @@ def near_duplicates(
     shingles and are classes of their own; so are rows of null id. Ids must be whole numbers;
     rows that share an id are one document where their shingles are equal.
 
-    Documents of equal shingles are one from the start. Band keys that only one of them has drop
-    out as the keys are put together. In a first round the documents of a key meet its smallest
-    only; in a second round those of a key that are still in different classes meet, if sizes
-    and a bit of each coordinate agree well enough. Every pair found is then held against its
-    exact similarity. So a large group of copies costs its size, and what shares a band is
-    compared unless it is in one class already.
+    Documents of equal shingles are one from the start, and band keys of one document drop out.
+    In a first round the documents of a key meet its leader only: the one whose keys are the
+    most popular ones, as the original of a group of edited copies has what most of them share.
+    In a second round documents of a key that are still in different classes meet, if size and a
+    bit of each coordinate agree well enough, and what each has in common with any other such
+    document could make up the similarity. Under a key of more than ``FEW`` documents they meet
+    only where they differ from its leader alike (see ``_by_differences``, which leaves out no
+    pair that is near enough): a copy with many edits of its own has these in common with
+    hardly any other, so a group of such copies does not meet in pairs. Every pair found is held
+    against its exact similarity.
     """
     coordinates = bands * rows
     # Bits that differ between two sets of the least similarity: the mean and 5 standard deviations.
@@ -164,24 +172,36 @@ def near_duplicates(
     signed = cut_lineage(signed)
     same = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "s1", "s2", "keys")])
     same = cut_lineage(same)
-
-    # An entry carries what the bounds need, so what they rule out is never a row of a join.
-    traits = ("id", "size", "s1", "s2")
-    on_key = Window.partitionBy("key")
-    entries = same.select(*traits, F.explode("keys").alias("key"))
-    entries = entries.withColumns({"least": F.min(F.struct(*traits)).over(on_key), "most": F.max("id").over(on_key)})
-    live = cut_lineage(entries.where("least.id <> most").drop("most"))
-    side = lambda df, of, name: df.withColumns({f"{c}_{name}": of(c) for c in traits[1:]})
-    star = side(side(live.where("id <> least.id"), lambda c: F.col(f"least.{c}"), "a"), F.col, "b").where(_alike(similarity, apart))
-    star = cut_lineage(star.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct())
+    traits = same.select("id", "size", "s1", "s2")
+    side = lambda name: traits.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "s1", "s2")])
+
+    live = shared_keys(same.select("id", F.explode("keys").alias("key")))
+    first_of = leaders(live)
+    star = live.join(first_of, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(side("a"), "a").join(side("b"), "b").where(_alike(similarity, apart))
+    star = cut_lineage(star.select("a", "b"))
     first = cut_lineage(_verified(star, _sets_of(texts, _ends(star), words), similarity, weighted))
 
-    placed = live.drop("least").join(components(first).withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", *traits, F.coalesce("component", "id").alias("class"))
-    ours, theirs = (placed.withColumnsRenamed({c: f"{c}_{name}" for c in (*traits, "class")}) for name in "ab")
+    linked = cut_lineage(components(first))
+    placed = live.select("key", "id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", "id", "n", F.coalesce("component", "id").alias("class"))
+    open_keys = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    placed = cut_lineage(placed.join(open_keys, "key"))
+    sets = _sets_of(texts, placed.select("id").distinct(), words)
+    able = traits.join(_common(sets, weighted), "id")
+    able = cut_lineage(able.where(F.col("common") >= similarity * F.col("size") - 1e-9))
+    placed = cut_lineage(placed.join(able, "id"))
+    few = placed.where(F.col("n") <= FEW)
+    ours, theirs = (few.withColumnsRenamed({c: f"{c}_{name}" for c in (*able.columns, "class")}) for name in "ab")
+    least = F.least("common_a", "common_b")
     meets = (ours["key"] == theirs["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & _alike(similarity, apart)
-    rest = cut_lineage(ours.join(theirs, meets).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    links = first.unionByName(_verified(rest, _sets_of(texts, _ends(rest), words), similarity, weighted))
+    meets = meets & (least >= similarity * (F.col("size_a") + F.col("size_b") - least) - 1e-9)
+    rest = ours.join(theirs, meets).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    led = placed.where(F.col("n") > FEW).join(first_of, "key").select("leader", "id", "class").distinct()
+    many = _by_differences(cut_lineage(led), sets, similarity, weighted)
+    many = many.join(side("a"), "a").join(side("b"), "b").where(_alike(similarity, apart)).select("a", "b")
+    rest = cut_lineage(rest.unionByName(many).distinct())
+    links = first.unionByName(_verified(rest, sets.join(_ends(rest), "id", "left_semi"), similarity, weighted))
 
     classes = same.join(components(links).withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
@@ -197,6 +217,76 @@ def _alike(similarity: float, apart: int):
     return (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (bits <= apart)
 
 
+def _by_differences(led: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Pairs ``a, b`` of documents of different classes under one leader that may be near each other, from rows ``leader, id, class``.
+
+    With D a document's difference from the leader's set, two sets of sizes m and n differ by
+    their differences' difference. To be similar by s they may differ by c (m + n) at most, with
+    c = (1 - s) / (1 + s), so their differences share o = (|Di| + |Dj| - c (m + n)) / 2 elements
+    or more. That is at least one, as a document of another class than the leader's differs from
+    it by more than c times their sizes. In one order of all elements, the first shared one then
+    is not among the last o - 1 of either. What the leader lacks comes first in that order, as
+    it is rare.
+    """
+    c = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                mine, first = (_multiset(row[f"elements_{x}"], row[f"counts_{x}"], weighted) for x in "ba")
+                added, lost = np.setdiff1d(mine, first, assume_unique=True), np.setdiff1d(first, mine, assume_unique=True)
+                differ = np.concatenate([added, lost]).view(np.int64)
+                # No partner shares fewer than these: one outside the leader's class, or for such a document any.
+                least = (len(differ) + c * (len(first) - len(mine))) / 2 if row["inside"] else (len(differ) - c * (len(first) + len(mine))) / 2
+                n = len(differ) - max(1, math.ceil(least - 1e-9)) + 1
+                if n > 0:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, row["a"])), pa.array(np.full(n, row["b"])), pa.array(np.full(n, row["class"])), pa.array(differ[:n]),
+                         pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, len(differ), np.int32)), pa.array(np.full(n, len(mine), np.int32))],
+                        ["leader", "id", "class", "element", "place", "differ", "size"])
+
+    of_leader = led.where("id = leader").select(F.col("leader").alias("l"), F.col("class").alias("leader_class")).distinct()
+    pairs = led.where("id <> leader").join(of_leader, F.col("leader") == F.col("l"), "left")
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"), "class", F.coalesce(F.col("class") == F.col("leader_class"), F.lit(False)).alias("inside"))
+    met = pairs.join(sets.withColumnsRenamed({x: f"{x}_a" for x in ("elements", "counts")}).withColumnRenamed("id", "a"), "a")
+    met = met.join(sets.withColumnsRenamed({x: f"{x}_b" for x in ("elements", "counts")}).withColumnRenamed("id", "b"), "b")
+    rows = cut_lineage(met.mapInArrow(trimmed(run), "leader long, id long, class long, element long, place int, differ int, size int"))
+    names = ("id", "class", "place", "differ", "size")
+    ours, theirs = (rows.withColumnsRenamed({x: f"{x}_{side}" for x in names}) for side in "ab")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("differ_a") + F.col("differ_b") - c * (F.col("size_a") + F.col("size_b"))) / 2 - 1e-9))
+    reach = (F.col("place_a") <= F.col("differ_a") - shared) & (F.col("place_b") <= F.col("differ_b") - shared)
+    met = ours.join(theirs, ["leader", "element"]).where((F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & reach)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _multiset(elements: bytes, counts: bytes, weighted: bool) -> np.ndarray:
+    """The elements, ascending; with weights each as often as it occurs, told apart by number."""
+    found = np.frombuffer(elements, np.uint64)
+    if not weighted:
+        return found
+    times = np.frombuffer(counts, np.int32)
+    number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        return np.sort(mixed(np.repeat(found, times) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _common(sets: DataFrame, weighted: bool) -> DataFrame:
+    """``id, common``: how much of each set is in another of the sets too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                elements = np.frombuffer(batch.column("elements")[k].as_py(), np.int64)
+                weights = np.frombuffer(batch.column("counts")[k].as_py(), np.int32) if weighted else np.ones(len(elements), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(elements), batch.column("id")[k].as_py())), pa.array(elements), pa.array(weights)], ["id", "element", "weight"])
+
+    elements = sets.mapInArrow(trimmed(run), "id long, element long, weight int")
+    # An element of one set is gone after the partial sums; of the others only their hashes go on.
+    shared = elements.groupBy("element").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("element")
+    return elements.join(shared, "element").groupBy("id").agg(F.sum("weight").alias("common"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -248,7 +338,8 @@ def jaccard(a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.nda
     return common / everything if everything else 0.0
 
 
-def without_copies(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that their class keeps; columns as before. Needs ids that are unique."""
-    gone = classes.where("NOT kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(merged(gone), F.col(id_col) == F.col("__id"), "left_anti")
+def without_copies(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows without those that are near copies of another that stays; columns as before. Ids may be null or repeat, as each row is one document. ``options`` as for ``near_duplicates``."""
+    keyed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = near_duplicates(keyed, id_col="__row", text_col=text_col, **options).where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return keyed.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
