@@ -4,11 +4,15 @@ import datetime as dt
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__  # noqa: F401
+from checks.compare import differences
+from checks.registry import QUERIES
 from checks.roles import PERIOD, SETTINGS, Roles
 from usagelens.functions.period import Period
 from usagelens.operators import bitmaps, counts, reshape, sketches, windows
@@ -331,3 +335,25 @@ def test_frozen_extracts_can_be_taken_up_again(spark, folder, rows, tmp_path):
     kept = monthly.freeze(extracts, str(tmp_path), PERIOD)
     again = monthly.frozen(spark, str(tmp_path), PERIOD)
     assert rows(again.users) == rows(kept.users) and again.social is not None
+
+
+# ---- exact counts that merge
+
+
+def _orders_folder(path, spark, orders):
+    """A folder whose only table is ``orders``."""
+    orders.write.parquet(f"{path}/orders.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/orders.parquet/*.parquet'")
+    return connection
+
+
+def test_profile_of_more_values_than_a_sketch_holds_is_exact(spark, tmp_path):
+    many = spark.range(40_000).select(
+        F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).cast("int").alias("c_nationkey"),
+        F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
+    for name, rows in (("many", many), ("none", many.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/customer.parquet")
+        connection = duckdb.connect()
+        connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/{name}/customer.parquet/*.parquet'")
+        assert differences(QUERIES["profile_from_sketches"](spark, f"{tmp_path}/{name}"), connection, QUERIES["profile_from_sketches"].sql) == []
