@@ -357,3 +357,24 @@ def test_profile_of_more_values_than_a_sketch_holds_is_exact(spark, tmp_path):
         connection = duckdb.connect()
         connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/{name}/customer.parquet/*.parquet'")
         assert differences(QUERIES["profile_from_sketches"](spark, f"{tmp_path}/{name}"), connection, QUERIES["profile_from_sketches"].sql) == []
+
+
+def test_users_over_periods_beyond_a_sketch_are_exact(spark, tmp_path):
+    day = F.when(F.col("id") % 1_000 != 0, F.timestamp_seconds(F.lit(820_454_400) + (F.col("id") % 5) * 7_776_000))
+    orders = spark.range(100_000).select(
+        F.when(F.col("id") % 997 != 0, F.col("id") % 45_000).alias("o_custkey"), day.cast("timestamp_ntz").alias("o_orderdate"),
+        F.when(F.col("id") % 501 != 0, F.lit("p")).alias("o_orderpriority"))
+    connection = _orders_folder(tmp_path, spark, orders)
+    assert differences(QUERIES["users_over_periods_from_sketches"](spark, str(tmp_path)), connection, QUERIES["users_over_periods_from_sketches"].sql) == []
+
+
+def test_returning_users_beyond_a_sketch_are_exact(spark, tmp_path):
+    """Over the turn of a year, with a month without any row and one nobody comes back in."""
+    months = ["1996-11-05", "1996-12-30", "1997-01-01", "1997-03-02", "1997-04-03", None]
+    orders = spark.range(6).withColumn("user", F.explode(F.sequence(F.lit(0), F.lit(29_999)))).select(
+        F.when(F.col("user") % 999 != 0, F.col("user") + F.when(F.col("id") == 4, 50_000).otherwise(F.col("id") * 10_000)).alias("o_custkey"),
+        F.element_at(F.array(*[F.lit(m) for m in months]), (F.col("id") + 1).cast("int")).cast("timestamp_ntz").alias("o_orderdate"),
+        F.when(F.col("user") % 501 != 0, F.lit("p")).alias("o_orderpriority"))
+    orders = orders.unionByName(orders.limit(100))
+    connection = _orders_folder(tmp_path, spark, orders)
+    assert differences(QUERIES["returning_users_from_sketches"](spark, str(tmp_path)), connection, QUERIES["returning_users_from_sketches"].sql) == []
