@@ -378,3 +378,15 @@ def test_returning_users_beyond_a_sketch_are_exact(spark, tmp_path):
     orders = orders.unionByName(orders.limit(100))
     connection = _orders_folder(tmp_path, spark, orders)
     assert differences(QUERIES["returning_users_from_sketches"](spark, str(tmp_path)), connection, QUERIES["returning_users_from_sketches"].sql) == []
+
+
+def test_versions_are_counted_in_parts_that_grow_with_them(spark, rows, monkeypatch):
+    monkeypatch.setattr(versions, "PART_ROWS", 20)
+    current = spark.range(1_000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("k"), (F.col("id") % 3).alias("v"))
+    earlier = current.unionByName(current.where("k % 10 = 1")).withColumn("v", F.when(F.col("k") % 10 == 3, -1).otherwise(F.col("v")))
+    changed = versions.compare_versions(current, earlier, ["k"])
+    added, removed = current.exceptAll(earlier).count(), earlier.exceptAll(current).count()
+    assert {r["change"]: r["n"] for r in changed.groupBy("change").agg(F.sum("copies").alias("n")).collect()} == {"added": added, "removed": removed}
+    assert changed.where("NOT key_kept").count() == 0
+    # As many tasks as the rows of ranges that differ ask for, which the session's eight partitions do not bound.
+    assert changed.rdd.getNumPartitions() > 8

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from usagelens.sources.workspace import cut_lineage
 
 #: Ranges of key hashes, in two levels: so many upper ones, and so many inside each.
 UPPER, INNER = 256, 256
+#: Rows of both versions that one task counts, about.
+PART_ROWS = 1 << 19
 
 
 def _ranged(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -60,25 +63,29 @@ def compare_versions(
     in one row per distinct row. Columns must be the same on both sides; nulls are values, in keys too.
 
     Rows of equal ranges are dropped where they are read, so only differing ranges are shuffled.
-    The list of ranges is bounded and therefore may be broadcast.
+    The list of ranges is bounded and therefore may be broadcast. The digests say how many rows
+    these have, and so into how many parts they go: a task counts about ``PART_ROWS`` rows at any size.
     """
     columns = current.columns
     if sorted(columns) != sorted(earlier.columns):
         raise ValueError(f"different columns: {sorted(set(columns) ^ set(earlier.columns))}")
     now = cut_lineage(current_digests if current_digests is not None else range_digests(current, keys))
     then = cut_lineage(earlier_digests if earlier_digests is not None else range_digests(earlier, keys))
-    ranges = F.broadcast(cut_lineage(differing_ranges(now, then)))
+    ranges = cut_lineage(differing_ranges(now, then))
+    open_rows = now.select("range", "rows").unionByName(then.select("range", "rows")).join(ranges, "range", "left_semi")
+    parts = max(1, math.ceil((open_rows.agg(F.sum("rows")).first()[0] or 0) / PART_ROWS))
     sides = []
-    for table, sign in ((current, 1), (earlier, -1)):
-        open_rows = _ranged(table.select(columns), keys).join(ranges, F.col("__range") == F.col("range"), "left_semi")
-        sides.append(open_rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__n", F.col("__n") * sign))
-    counted = sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.sum("__n").alias("__more"), F.min("__n").alias("__low"), F.max("__n").alias("__high"))
-    counted = cut_lineage(counted)
-    key = F.struct(*[F.col(f"`{k}`") for k in keys])
-    sided = counted.groupBy(key.alias("__key")).agg((F.min("__low") < 0).alias("__then"), (F.max("__high") > 0).alias("__now"))
-    changed = counted.where("__more <> 0").withColumn("__key", key).join(sided, "__key")
-    added = F.col("__more") > 0
+    for table, is_now in ((current, True), (earlier, False)):
+        inside = _ranged(table.select(columns), keys).join(F.broadcast(ranges), F.col("__range") == F.col("range"), "left_semi")
+        sides.append(inside.select(*[F.col(f"`{c}`") for c in columns], F.lit(is_now).alias("__is_now")))
+    rows = sides[0].unionByName(sides[1]).repartition(parts, *[F.col(f"`{c}`") for c in columns])
+    counted = cut_lineage(rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count_if("__is_now").alias("__now"), F.count_if(~F.col("__is_now")).alias("__then")))
+    counted = counted.withColumn("__key", F.struct(*[F.col(f"`{k}`") for k in keys]))
+    sided = counted.select("__key", (F.col("__now") > 0).alias("__in_now"), (F.col("__then") > 0).alias("__in_then")).repartition(parts, "__key")
+    sided = sided.groupBy("__key").agg(F.max("__in_now").alias("__in_now"), F.max("__in_then").alias("__in_then"))
+    changed = counted.where("__now <> __then").repartition(parts, "__key").hint("merge").join(sided, "__key")
+    added = F.col("__now") > F.col("__then")
     return changed.select(
-        F.when(added, "added").otherwise("removed").alias("change"), F.when(added, F.col("__then")).otherwise(F.col("__now")).alias("key_kept"),
-        *[F.col(f"`{c}`") for c in columns], F.abs("__more").alias("copies"),
+        F.when(added, "added").otherwise("removed").alias("change"), F.when(added, F.col("__in_then")).otherwise(F.col("__in_now")).alias("key_kept"),
+        *[F.col(f"`{c}`") for c in columns], F.abs(F.col("__now") - F.col("__then")).alias("copies"),
     )
