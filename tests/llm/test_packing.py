@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -105,3 +106,8 @@ def test_mixed_lengths_are_packed_by_their_own_lengths(documents):
     assert len(packed) == 3000
     tokens = sum(r["length"] for r in packed)
     assert tokens / (4096 * len({r["sequence_id"] for r in packed})) > tokens / (4096 * -(-tokens // 4096)) - 1e-9
+
+
+def test_words_are_listed_together():
+    words = pa.array(["a", "né", "中\U0001f600", "b"])
+    assert packing._listed(words) == words.to_pylist() and packing._listed(words[:0]) == [] and packing._listed(words[:1]) == ["a"]
