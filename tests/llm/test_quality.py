@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,19 @@ def test_texts_of_very_many_letters(documents):
     docs = documents([(1, text, "zz"), (2, text[::-1], "zz"), (3, "plain words here", "en")])
     got = {r["doc_id"]: r for r in quality.classify(docs, docs.where("doc_id = 3").select("doc_id")).collect()}
     assert got[1]["n_grams"] == got[2]["n_grams"] == len(text) - 2 and np.isfinite(got[1]["perplexity"])
+
+
+def test_counting_a_shard_holds_little_beside_its_text():
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abcdefghij ", k=200_000)) for _ in range(16)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * len(texts)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    blocks = pa.table({"shard": [0], "block": [sink.getvalue().to_pybytes()], "first": [0]})
+    marked = pa.table({"row": pa.array([0, 3], pa.int64()), "fold": pa.array([0, 1], pa.int32())})
+    tracemalloc.start()
+    found = quality._counted(4, "text", "lang")(blocks, marked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows > 10_000 and peak < 40_000_000, peak

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import trimmed
+from usagelens.llm.common import trimmed, trimmed_group
 from usagelens.sources.bucketed import write_bucketed
 from usagelens.sources.workspace import cut_lineage
 
@@ -28,7 +28,9 @@ POOLED = "*"
 #: Code points there can be; one never seen has this share.
 POINTS = 0x110000
 #: Characters whose n-grams are taken together, characters and rows of a shard, and rows of a block.
-HELD_CHARS, SHARD_CHARS, SHARD_ROWS, BLOCK_ROWS = 1 << 21, 1 << 26, 1 << 20, 512
+HELD_CHARS, SHARD_CHARS, SHARD_ROWS, BLOCK_ROWS = 1 << 19, 1 << 26, 1 << 20, 512
+#: N-grams of a table that are text at one time.
+TABLE_ROWS = 1 << 16
 #: Letters of a shard at most, and letters beyond which a text is read without those outside the basic plane.
 ALPHABET, MANY_LETTERS = (1 << 16) - 2, 1 << 15
 #: Logarithms are whole numbers of this fraction, so sums do not depend on an order.
@@ -250,21 +252,23 @@ def _scored(order: int, id_col: str, text_col: str, lang_col: str):
     """Per shard: the log sums of its rows by their own model, and of the trusted ones by that of all languages too."""
 
     def table(values: pa.Table, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-        points = alphabet.symbols("".join(values.column("gram").to_pylist())).reshape(-1, order).astype(np.uint64)
-        codes = np.zeros(len(points), np.uint64)
-        for i in range(order):
-            codes = (codes << np.uint64(16)) | points[:, i]
-        logs = values.column("logs").to_numpy().astype("<i8").view("<i2").reshape(len(points), 4).astype(np.int32)
+        codes = np.zeros(values.num_rows, np.uint64)
+        for s in range(0, len(codes), TABLE_ROWS):
+            points = alphabet.symbols("".join(values.column("gram").slice(s, TABLE_ROWS).to_pylist())).reshape(-1, order)
+            for i in range(order):
+                codes[s: s + TABLE_ROWS] = (codes[s: s + TABLE_ROWS] << np.uint64(16)) | points[:, i]
+        logs = values.column("logs").to_numpy().astype("<i8", copy=False).view("<i2").reshape(len(codes), 4)
         by = np.argsort(codes)
         return codes[by], logs[by]
 
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
         alphabet, models, done = Alphabet(), {}, []
         marked = values.filter(values.column("name").is_null())
-        values = values.filter(values.column("name").is_valid())
+        values = values.select(["name", "gram", "logs"]).filter(values.column("name").is_valid())
         kinds = pa.concat_arrays([pa.array([], pa.string()), *values.column("name").chunks]).dictionary_encode()
         for k, name in enumerate(kinds.dictionary.to_pylist()):
             models[name] = table(values.take(pa.array(np.flatnonzero(kinds.indices.to_numpy() == k))), alphabet)
+        del values, kinds
         for first, batch in _unpacked(blocks):
             texts, langs, n = batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), batch.num_rows
             folds = _folds_of(marked, first, n)
@@ -327,7 +331,7 @@ def _judged(docs: DataFrame, trusted: DataFrame, order: int, quantile: float, id
     fold = (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int").alias("fold")
     marked = cut_lineage(places.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("shard", "row", fold))
     shards = blocks.groupBy("shard")
-    grams = cut_lineage(shards.cogroup(marked.groupBy("shard")).applyInArrow(_counted(order, text_col, lang_col), "shard long, lang string, gram string, counts array<long>"))
+    grams = cut_lineage(shards.cogroup(marked.groupBy("shard")).applyInArrow(trimmed_group(_counted(order, text_col, lang_col)), "shard long, lang string, gram string, counts array<long>"))
 
     able = grams.where("gram IS NULL AND lang IS NOT NULL").groupBy("lang").agg(F.sum(F.col("counts")[0]).alias("n"))
     own = cut_lineage(able.where(F.col("n") >= math.ceil(1 / max(1e-9, 1 - quantile) - 1e-6)).select(F.col("lang").alias("own")))
@@ -350,7 +354,7 @@ def _judged(docs: DataFrame, trusted: DataFrame, order: int, quantile: float, id
     brought = values.select("shard", F.col("lang").alias("name"), "gram", "logs", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("fold")).unionByName(marked, allowMissingColumns=True)
 
     result = f"shard long, row long, doc_id {kind}, lang string, trusted boolean, c long, own boolean, log long, pooled_log long"
-    scored = shards.cogroup(brought.groupBy("shard")).applyInArrow(_scored(order, id_col, text_col, lang_col), result)
+    scored = shards.cogroup(brought.groupBy("shard")).applyInArrow(trimmed_group(_scored(order, id_col, text_col, lang_col)), result)
     reading = lambda log: F.when(F.col("c") > 0, F.exp(-F.col(log) / LOG_UNIT / F.col("c")))
     pooled = F.when(F.col("own") & F.col("trusted"), reading("pooled_log")).alias("pooled")
     name = F.when(F.col("own"), F.concat(F.lit("="), "lang")).otherwise(F.lit(POOLED)).alias("name")
@@ -407,7 +411,7 @@ def kept_rows(
         return rows.filter(pa.array(keep))
 
     rejected = judged.where("NOT kept").select("shard", "row")
-    return blocks.groupBy("shard").cogroup(rejected.groupBy("shard")).applyInArrow(kept, docs.schema)
+    return blocks.groupBy("shard").cogroup(rejected.groupBy("shard")).applyInArrow(trimmed_group(kept), docs.schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
