@@ -119,6 +119,17 @@ def test_entitlement_base(extracts, rows):
     assert not [r for r in got if r[1] == "System Administrator"]
 
 
+def test_entitlement_rows_are_made_distinct_in_parts_that_grow_with_the_assignments(extracts, rows, monkeypatch):
+    usual = bases.entitlement_base(extracts, MINE)
+    monkeypatch.setattr(bases, "PART_ROWS", 1)
+    base = bases.entitlement_base(extracts, MINE)
+    assert rows(base, *usual.columns) == rows(usual, *usual.columns)
+    # As many as there are assignments, which the session's eight partitions do not bound, and no aggregate before they are dealt.
+    assert base.rdd.getNumPartitions() == 10
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "HashAggregate" not in plan[plan.index("Exchange"):plan.index("Expand")]
+
+
 def test_two_system_layouts(extracts, spark, rows):
     accounts = spark.createDataFrame([("ann@x", "Ann Account"), ("cy@x", "Cy Account"), ("nokey", "Lost")], "email string, name string")
     users = extracts.users.withColumn("net_id", F.when(F.col("net_id") == "Ann", "ann").otherwise(F.col("net_id")))
