@@ -1,6 +1,7 @@
 """The edit join against all pairs, and the documents it leaves."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -141,3 +142,15 @@ def test_short_lines_link_by_the_bounds_of_the_queries(documents):
     want = {place: min(group) for group in groups.values() for place in group}
     assert {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"]) for r in got} == want
     assert want[201, 0] == want[200, 0] and want[201, 1] == want[200, 1] != want[201, 2] and want[203, 0] == want[202, 0]
+
+
+def test_keys_of_many_lines_are_made_in_little_memory():
+    draw = random.Random(5)
+    many = ["".join(draw.choices("abcdefghij ", k=60)) for _ in range(30_000)]
+    tracemalloc.start()
+    found = 0
+    for part in lines._portions(many):
+        found += len(lines.segment_keys(part, 2)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > len(many) and peak < 25_000_000, peak

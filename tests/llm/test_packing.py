@@ -1,5 +1,6 @@
 """Patterns, ids and layout of packed sequences."""
 
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from usagelens.llm import packing
+from usagelens.llm.common import kept, trimmed, trimmed_group
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -111,3 +113,23 @@ def test_mixed_lengths_are_packed_by_their_own_lengths(documents):
 def test_words_are_listed_together():
     words = pa.array(["a", "né", "中\U0001f600", "b"])
     assert packing._listed(words) == words.to_pylist() and packing._listed(words[:0]) == [] and packing._listed(words[:1]) == ["a"]
+
+
+def test_a_worker_keeps_words_for_tasks_that_look_them_up_only():
+    class Words:
+        pass
+
+    refs = []
+
+    def lookup(batches):
+        refs.append(weakref.ref(kept("words", Words)))
+        yield from batches
+
+    for _ in range(2):
+        assert list(trimmed(lookup, keeps="words")(iter([1]))) == [1]
+    assert refs[0]() is refs[1]() is not None
+    assert list(trimmed(iter)(iter([2]))) == [2]
+    assert refs[0]() is None
+    list(trimmed(lookup, keeps="words")(iter([])))
+    trimmed_group(lambda left, right: left)(None, None)
+    assert refs[2]() is None

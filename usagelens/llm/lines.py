@@ -297,7 +297,7 @@ def _is_index() -> Column:
     return F.col("tag").bitwiseAND(F.lit(1)) == 1
 
 
-def _portions(lines: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def _portions(lines: list[str], chars: int = 1 << 18) -> Iterator[list[str]]:
     """Lists of lines of about ``chars`` characters; a longer line is one of its own."""
     part, held = [], 0
     for line in lines:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from usagelens.llm.common import trimmed
+from usagelens.llm.common import kept, trimmed
 from usagelens.sources.workspace import cut_lineage
 
 #: Pieces of one length class numbered by one task at most, about.
@@ -166,15 +166,10 @@ def _cut(words: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray)
     return {w: raw[s:e] for w, s, e in zip(words, (start * 4).tolist(), (end * 4).tolist())}
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, whose known words last from task to task."""
+    """One per worker process, whose known words last from task to task, until a task of another operator comes."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    return kept(path, lambda: WordTokenizer(path))
 
 
 def token_pieces(
@@ -210,7 +205,7 @@ def token_pieces(
                     )
                     texts, first, held = [], k + 1, 0
 
-    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(trimmed(run, keeps=tokenizer_path), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def combinations(units: int, depth: int) -> np.ndarray:
