@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 
@@ -159,3 +160,20 @@ def test_declared_tables():
             "marketing_logins", "social_logins", "licensed_users"} <= set(schemas.SCHEMAS)
     for table, names in schemas.ALIASES.items():
         assert set(names.values()) <= set(schemas.SCHEMAS[table].names)
+
+
+def test_work_files_on_the_way_to_a_table_go_when_it_is_written(spark):
+    folder = workspace.fresh_path(spark, "probe").rpartition("/")[0].removeprefix("file:")
+    files = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = files()
+
+    def doubled():
+        first = workspace.cut_lineage(spark.range(10))
+        second = workspace.written_alone(lambda: workspace.cut_lineage(first.where("id > 3")).where("id > 5"))
+        assert len(files() - before) == 2
+        return second.unionByName(second)
+
+    twice = workspace.written_alone(doubled)
+    assert len(files() - before) == 1 and twice.count() == 8
+    beside = workspace.cut_lineage(twice)
+    assert len(files() - before) == 2 and beside.count() == 8

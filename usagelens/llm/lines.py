@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.common import ROW, bounded_filter, components, leaders, maybe_in, merged, shared_keys, trimmed, with_row_keys
 from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
-from usagelens.sources.workspace import cut_lineage
+from usagelens.sources.workspace import cut_lineage, written_alone
 
 #: Words of the filter of keys that occur more than once: 2^26 bits.
 KEY_FILTER = 1 << 20
@@ -227,28 +227,7 @@ def line_classes(
 
         return trimmed(run)
 
-    # Keys met once are of one line. The others pass a filter, with a few more, and are then told apart by the lines that have them.
-    again = texts.mapInArrow(keyed(None), "key long, tag long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = texts.mapInArrow(keyed(bounded_filter(again, "key", KEY_FILTER)), "key long, tag long").distinct()
-    # The last bit of a tag tells an index entry from a probe; ids lose that bit throughout.
-    entries = cut_lineage(entries).select("key", F.col("tag").bitwiseAND(F.lit(-2)).alias("id"), _is_index().alias("is_index"))
-    live = shared_keys(entries, F.max("is_index"))
-
-    known = _texts_of(texts, live.select("id").distinct(), near_chars)
-    star = live.join(leaders(live, F.col("is_index")), "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    first = cut_lineage(_verified(star, known, distance, chars_per_edit))
-    labels = components(first)
-    profile = known.select("id", *TRAITS).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    profile = profile.select("id", F.coalesce("component", "id").alias("class"), *TRAITS).dropDuplicates(["id"])
-    placed = live.select("key", "id", "is_index").join(profile, "id")
-    open_keys = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    placed = cut_lineage(placed.join(open_keys, "key"))
-    ours = placed.where("is_index").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", *TRAITS)])
-    theirs = placed.where("NOT is_index").select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", *TRAITS)])
-    apart = (F.col("class_a") != F.col("class_b")) & _alike(distance)
-    rest = ours.join(theirs, (ours["key"] == theirs["key"]) & apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    links = first.unionByName(_verified(rest, known, distance, chars_per_edit))
-    classes = cut_lineage(components(links).withColumnRenamed("node", "id"))
+    classes = written_alone(lambda: _linked(texts, keyed, near_chars, distance, chars_per_edit).withColumnRenamed("node", "id"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -283,6 +262,32 @@ def line_classes(
     )
 
 
+def _linked(texts: DataFrame, keyed: Callable, near_chars: int, distance: int, chars_per_edit: int) -> DataFrame:
+    """``node, component`` of the line ids that links connect; ``keyed`` gives the keys of a batch's lines, all or those of a filter."""
+    # Keys met once are of one line. The others pass a filter, with a few more, and are then told apart by the lines that have them.
+    again = texts.mapInArrow(keyed(None), "key long, tag long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = texts.mapInArrow(keyed(bounded_filter(again, "key", KEY_FILTER)), "key long, tag long").distinct()
+    # The last bit of a tag tells an index entry from a probe; ids lose that bit throughout.
+    entries = cut_lineage(entries).select("key", F.col("tag").bitwiseAND(F.lit(-2)).alias("id"), _is_index().alias("is_index"))
+    live = shared_keys(entries, F.max("is_index"))
+
+    known = _texts_of(texts, live.select("id").distinct(), near_chars)
+    star = live.join(leaders(live, F.col("is_index")), "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    first = cut_lineage(_verified(star, known, distance, chars_per_edit))
+    labels = components(first)
+    profile = known.select("id", *TRAITS).join(labels.withColumnRenamed("node", "id"), "id", "left")
+    profile = profile.select("id", F.coalesce("component", "id").alias("class"), *TRAITS).dropDuplicates(["id"])
+    placed = live.select("key", "id", "is_index").join(profile, "id")
+    open_keys = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    placed = cut_lineage(placed.join(open_keys, "key"))
+    ours = placed.where("is_index").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "class", *TRAITS)])
+    theirs = placed.where("NOT is_index").select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "class", *TRAITS)])
+    apart = (F.col("class_a") != F.col("class_b")) & _alike(distance)
+    rest = ours.join(theirs, (ours["key"] == theirs["key"]) & apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = first.unionByName(_verified(rest, known, distance, chars_per_edit))
+    return components(links)
+
+
 #: What two lines are told apart by before they meet.
 TRAITS = ("n_chars", "letters", "pairs", "more_pairs")
 

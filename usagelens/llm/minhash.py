@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.common import bounded_filter, components, leaders, maybe_in, shared_keys, trimmed
 from usagelens.llm.shingles import batch_shingles, mixed
-from usagelens.sources.workspace import cut_lineage
+from usagelens.sources.workspace import cut_lineage, written_alone
 
 #: Bands and rows: a pair of similarity 0.8 shares no band once in 20,000 times, one of 0.3 shares one in 17 times.
 BANDS, ROWS = 25, 5
@@ -159,12 +159,20 @@ def near_duplicates(
     hardly any other, so a group of such copies does not meet in pairs. Every pair found is held
     against its exact similarity.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written_alone(lambda: _classes(texts, similarity, words, bands, rows, weighted))
+    joined = texts.select("doc_id").join(found, "doc_id", "left")
+    class_id = F.coalesce("class_id", "doc_id")
+    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _classes(texts: DataFrame, similarity: float, words: int, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """``doc_id, class_id`` of the ids with shingles."""
     coordinates = bands * rows
     # Bits that differ between two sets of the least similarity: the mean and 5 standard deviations.
     odds = (1 - similarity) / 2
     width = min(128, coordinates)
     apart = math.ceil(width * odds + 5 * math.sqrt(width * odds * (1 - odds)))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = texts.where("doc_id IS NOT NULL").mapInArrow(
         trimmed(_signatures(bands, rows, words, weighted)),
         "doc_id long, size long, d1 long, d2 long, s1 long, s2 long, keys array<long>",
@@ -206,10 +214,7 @@ def near_duplicates(
     classes = same.join(components(links).withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "id").alias("class_id"))
     # An id that has several texts is in the class of the smallest.
-    found = signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    joined = texts.select("doc_id").join(found, "doc_id", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def _alike(similarity: float, apart: int):
