@@ -1,11 +1,13 @@
 """The edit join against all pairs, and the documents it leaves."""
 
+import os
 import random
 import tracemalloc
+import uuid
 
 import pytest
 
-from usagelens.llm import lines
+from usagelens.llm import common, lines
 
 
 def edited(text, times, draw):
@@ -154,3 +156,38 @@ def test_keys_of_many_lines_are_made_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found > len(many) and peak < 25_000_000, peak
+
+
+def test_texts_come_to_python_in_short_batches(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def noted(run):
+        def inner(batches):
+            def each():
+                for batch in batches:
+                    open(f"{folder}/{uuid.uuid4().hex}-{batch.nbytes}", "w").close()
+                    yield batch
+            yield from run(each())
+        return inner
+
+    monkeypatch.setattr(lines, "trimmed", noted)
+    docs = spark.range(0, 96, 1, 1).selectExpr("id AS doc_id", "concat('this is the line of document ', id DIV 2, repeat(' ', 200000)) AS text")
+    got = lines.line_classes(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(96)) and sum(r["kept"] for r in got) < 49
+    sizes = [int(name.split("-")[1]) for name in os.listdir(folder)]
+    # Texts are read four times.
+    assert sum(sizes) > 4 * 96 * 200_000 and max(sizes) < common.BATCH_BYTES + 500_000, max(sizes)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_memory_goes_back_before_a_task_takes_more(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "_give_back", lambda: said.append("back"))
+
+    def run(batches):
+        for batch in batches:
+            said.append(batch)
+            yield batch
+
+    list(common.trimmed(run)(iter([1, 2])))
+    assert said == ["back", 1, 2, "back"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import ROW, bounded_filter, components, leaders, maybe_in, merged, shared_keys, trimmed, with_row_keys
+from usagelens.llm.common import ROW, bounded_filter, components, in_short_batches, leaders, maybe_in, merged, shared_keys, trimmed, with_row_keys
 from usagelens.llm.shingles import BASE, INVERSE, mixed, powers_of
 from usagelens.sources.workspace import cut_lineage, written_alone
 
@@ -174,6 +174,7 @@ def _distinct_lines(batch: pa.RecordBatch, least: int) -> list[str]:
     return list({line for text in batch.column("text") for line in split_lines(text.as_py()) if len(line) >= least})
 
 
+@in_short_batches
 def line_classes(
     docs: DataFrame, distance: int = 2, min_chars: int = 10, near_chars: int = 30,
     id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = 0,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bounded_filter, components, leaders, maybe_in, shared_keys, trimmed
+from usagelens.llm.common import bounded_filter, components, in_short_batches, leaders, maybe_in, shared_keys, trimmed
 from usagelens.llm.shingles import batch_shingles, mixed
 from usagelens.sources.workspace import cut_lineage, written_alone
 
@@ -166,6 +166,7 @@ def near_duplicates(
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+@in_short_batches
 def _classes(texts: DataFrame, similarity: float, words: int, bands: int, rows: int, weighted: bool) -> DataFrame:
     """``doc_id, class_id`` of the ids with shingles."""
     coordinates = bands * rows

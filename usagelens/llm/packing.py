@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from usagelens.llm.common import kept, trimmed
+from usagelens.llm.common import in_short_batches, kept, trimmed
 from usagelens.sources.workspace import cut_lineage
 
 #: Pieces of one length class numbered by one task at most, about.
@@ -355,6 +355,7 @@ def lay_out(patterns: list[tuple[tuple[int, ...], int]], units: int) -> Slots:
     return Slots(column(0), column(1), column(2), column(3))
 
 
+@in_short_batches
 def pack(pieces: DataFrame, window: int = 4096, unit: int = 16, depth: int = 4) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, start, length, ...``) of at most ``window`` tokens.
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import trimmed, trimmed_group
+from usagelens.llm.common import in_short_batches, trimmed, trimmed_group
 from usagelens.sources.bucketed import write_bucketed
 from usagelens.sources.workspace import cut_lineage, written_alone
 
@@ -311,6 +311,7 @@ def _portions(rows: list[int], texts: list[str], order: int) -> Iterator[tuple[l
         yield at, lines
 
 
+@in_short_batches
 def _judged(docs: DataFrame, trusted: DataFrame, order: int, quantile: float, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """The blocks of the rows, and per row ``shard, row, doc_id, lang, n_grams, perplexity, threshold, kept``."""
     if not 1 < order <= LONGEST:
@@ -408,10 +409,16 @@ def kept_rows(
     columns = docs.columns
 
     def kept(blocks: pa.Table, gone: pa.Table) -> pa.Table:
-        rows = pa.Table.from_batches([batch.select(columns) for _, batch in _unpacked(blocks)])
-        keep = np.ones(rows.num_rows, bool)
-        keep[gone.column("row").to_numpy()] = False
-        return rows.filter(pa.array(keep))
+        out = np.sort(gone.column("row").to_numpy())
+
+        def left(first: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = np.ones(batch.num_rows, bool)
+            begin, end = np.searchsorted(out, [first, first + batch.num_rows])
+            keep[out[begin:end] - first] = False
+            return batch.select(columns).filter(pa.array(keep))
+
+        # Block by block, so that a shard is not held twice.
+        return pa.Table.from_batches([left(first, batch) for first, batch in _unpacked(blocks)])
 
     rejected = judged.where("NOT kept").select("shard", "row")
     return blocks.groupBy("shard").cogroup(rejected.groupBy("shard")).applyInArrow(trimmed_group(kept), docs.schema)
