@@ -133,3 +133,20 @@ def test_a_worker_keeps_words_for_tasks_that_look_them_up_only():
     list(trimmed(lookup, keeps="words")(iter([])))
     trimmed_group(lambda left, right: left)(None, None)
     assert refs[2]() is None
+
+
+def test_words_of_few_texts_are_looked_up_at_one_time(documents, monkeypatch):
+    asked, runs = [], []
+
+    class Counting:
+        def all_ids(self, texts):
+            asked.append(sum(map(len, texts)))
+            return [b"" for _ in texts]
+
+    monkeypatch.setattr(packing, "trimmed", lambda run, keeps: runs.append(run) or run)
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Counting())
+    packing.token_pieces(documents([(1, "a")]), PATH)
+    texts = pa.array(["word " * 60_000] * 12)
+    found = list(runs[0](iter([pa.RecordBatch.from_arrays([pa.array(range(12)), texts], ["doc_id", "text"])])))
+    assert [x for b in found for x in b.column("doc_id").to_pylist()] == list(range(12))
+    assert sum(asked) == 12 * 300_000 and max(asked) < packing.TEXT_CHARS + 300_000 < 2_000_000

@@ -16,6 +16,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from usagelens.llm.common import in_short_batches, kept, trimmed
 from usagelens.sources.workspace import cut_lineage
 
+#: Characters of texts whose words are looked up together, about: their arrays are many times as large.
+TEXT_CHARS = 1_000_000
 #: Pieces of one length class numbered by one task at most, about.
 RANK_ROWS = 100_000
 
@@ -190,7 +192,7 @@ def token_pieces(
             for k, text in enumerate(whole.column("text")):
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held > 4_000_000 or k == whole.num_rows - 1:
+                if held > TEXT_CHARS or k == whole.num_rows - 1:
                     at, start, total, parts = [], [], [], []
                     for i, found in enumerate(tokenizer.all_ids(texts), first):
                         ids = found + end
